@@ -47,11 +47,11 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int, int]]:
 
 def _pieces(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode, end = tokenizer(path).encode, int(end_id).to_bytes(4, "little")
+        encode, end = tokenizer(path).encode_many, int(end_id).to_bytes(4, "little")
         rows: list[list] = [[] for _ in range(6)]
         ids, row_of = [], []
-        for i, text in enumerate(texts_of(batch)):
-            data = encode(text) + end
+        for i, data in enumerate(encode(texts_of(batch))):
+            data += end
             n = len(data) // 4
             for start, length, k in cuts(n, capacity):
                 part = data[4 * start : 4 * (start + length)]

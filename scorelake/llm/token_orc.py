@@ -40,9 +40,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     """
 
     def encode(batches):
-        pos, code, end = 0, tokenizer(tokenizer_path).encode, int(end_id).to_bytes(4, "little")
+        pos, code, end = 0, tokenizer(tokenizer_path).encode_many, int(end_id).to_bytes(4, "little")
         for batch in batches:
-            data = [code(t) + end for t in texts_of(batch)]
+            data = [ids + end for ids in code(texts_of(batch))]
             ends = np.cumsum([0, *(len(x) // 4 for x in data)])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, batch.column("part"), pa.array(np.arange(pos, pos + len(data)), pa.int64())], ["doc_id", "ids", "part", "pos"])

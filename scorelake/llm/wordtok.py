@@ -20,11 +20,12 @@ from scorelake.llm.common import Memo
 
 #: Longer pieces are encoded but not remembered.
 LONGEST_KEPT = 64
-MOST_PIECES = MOST_WORDS = 400_000
+MOST_PIECES, MOST_WORDS = 800_000, 600_000
+CHARS_AT_ONCE = 1_000_000
 #: Fixed value: the split pattern in word_bpe_49k.json.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Visible characters below U+0250 but for the one whose lower case is two; none of them composes under NFC.
-_PLAIN = regex.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
+PLAIN = "\\x21-\\x7e\\xa1-\\u012f\\u0131-\\u024f"
 WORD_END = "</w>"
 
 
@@ -37,7 +38,9 @@ class WordTokenizer:
         vocabulary = self._encoder.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self._special = [t.content for t in self._encoder.get_added_tokens_decoder().values()]
+        # A piece with a special token's first character may hold one, so the library gets it whole.
+        special = "".join(sorted({regex.escape(t.content[0]) for t in self._encoder.get_added_tokens_decoder().values()}))
+        self._plain = regex.compile(f"[[{PLAIN}]--[{special}]]+" if special else f"[{PLAIN}]+", regex.V1)
         self._pieces, self._words = Memo(MOST_PIECES), Memo(MOST_WORDS)
         self._find = regex.compile(WORDS).findall
 
@@ -55,33 +58,47 @@ class WordTokenizer:
         self._words.update(zip(words, coded, strict=True))
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        self._pieces.make_room(), self._words.make_room()
-        plain, other = {}, []
+        """The ids of pieces that aren't remembered; most of them are from now on."""
+        split, other, find, plain = {}, [], self._find, self._plain.fullmatch
         for p in pieces:
-            if _PLAIN.fullmatch(p) and not any(s in p for s in self._special):
-                plain[p] = self._find(p.lower())
+            if p.isalpha() and p.isascii():
+                split[p] = (p.lower(),)
+            elif plain(p):
+                split[p] = find(p.lower())
             else:
                 other.append(p)
-        unknown = [w for w in dict.fromkeys(w for words in plain.values() for w in words) if w not in self._words]
+        words = self._words
+        unknown = [w for w in {w for ws in split.values() for w in ws} if w not in words]
         if unknown:
             self._learn_words(unknown)
-        new = {p: b"".join([self._words[w] for w in words]) for p, words in plain.items()}
+        new = {p: words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws]) for p, ws in split.items()}
         if other:
             new.update(zip(other, self._whole(other), strict=True))
-        self._pieces.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST_KEPT)
         return new
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        pieces = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self._pieces.__getitem__, pieces))
-        except KeyError:
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            stop, chars = at, 0
+            while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= CHARS_AT_ONCE):
+                chars += len(texts[stop])
+                stop += 1
+            split = [t.replace("\n", " ").split(" ") for t in texts[at:stop]]
+            self._pieces.make_room(), self._words.make_room()
+            # A small table of the chunk's own pieces is faster to read than the large one.
             known = self._pieces
-            missing = [p for p in dict.fromkeys(pieces) if p not in known]
-            held = {p: known[p] for p in pieces if p in known} if len(known) > known.most else known
-            new = self._learn(missing)
-            return b"".join([new[p] if p in new else held[p] for p in pieces])
+            own = {p: known.get(p) for p in set().union(*split)}
+            new = self._learn([p for p, ids in own.items() if ids is None])
+            own.update(new)
+            known.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST_KEPT)
+            out += [b"".join(map(own.__getitem__, pieces)) for pieces in split]
+            at = stop
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
 
 
 @lru_cache(maxsize=2)
