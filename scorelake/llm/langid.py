@@ -188,10 +188,11 @@ class Scorer:
 
     def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether accepted, of each text."""
-        sums, langs = self.sums(texts), self.model.langs
-        chars = np.maximum(1, sums[:, -1])
+        langs = self.model.langs
         if not langs:
             return [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        sums = self.sums(texts)
+        chars = np.maximum(1, sums[:, -1])
         entropy = sums[:, :-1] / chars[:, None]
         best = entropy.argmin(axis=1)
         low = entropy[np.arange(len(texts)), best]
