@@ -8,7 +8,9 @@ offset) stays; all others are cut out of their texts, and their offsets in the o
 
 Digests are first only counted. What occurs more than once goes into a bit map of fixed size
 (2^26 bits, 8 MB), by which the second pass leaves out nearly all others before they are shuffled;
-ranking then is exact, so a chance hit in the map changes nothing.
+ranking then is exact, so a chance hit in the map changes nothing. Digests that occur more than HOT times
+have a map of their own: their occurrences meet their first place under one of SALTS salts, so that a
+passage in a third of all documents is no single task's work.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ MIN_WORDS = 25
 LONG_UNIT_STEP = 8
 #: Fixed whatever the input: 2^MAP_BITS bits.
 MAP_BITS = 26
+#: A digest of more occurrences is dealt over so many tasks.
+HOT, SALTS = 1000, 256
 _BASE = 0x9E3779B97F4A7C15
 _BASE2 = 0xC2B2AE3D27D4EB4F
 _SPACE = np.zeros(256, bool)
@@ -92,33 +96,44 @@ def stretches(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return _digests(h, a, b, _BASE), _digests(h, a, b, _BASE2), first[a], last[b - 1]
 
 
-def _occurrences(docs: DataFrame, min_words: int, bit_map=None) -> DataFrame:
-    """A row for each stretch; with a bit map, only those whose digest is in it."""
+def _hits(bits: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    bit = digest >> np.uint64(64 - MAP_BITS)
+    return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _occurrences(docs: DataFrame, min_words: int, maps=None) -> DataFrame:
+    """A row for each stretch; with the two bit maps, only those whose digest is in the first; salt is -1 for those that aren't in the second."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [stretches(t, min_words) for t in texts_of(batch)]
         of = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
         digest, check, start, end = (np.concatenate([m[i] for m in made]) if made else np.empty(0, np.int64) for i in range(4))
-        if bit_map is not None:
-            bit = digest >> np.uint64(64 - MAP_BITS)
-            keep = (bit_map.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-            of, digest, check, start, end = of[keep], digest[keep], check[keep], start[keep], end[keep]
-        columns = [pa.array(digest.astype(np.uint64).view(np.int64))]
-        if bit_map is None:
-            return pa.RecordBatch.from_arrays(columns, ["digest"])
-        columns += [pa.array(check.astype(np.uint64).view(np.int64)), *(batch.column(c).take(pa.array(of)) for c in ("doc_id", "version")), pa.array(start, pa.int64()), pa.array(end, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["digest", "check", "doc_id", "version", "start", "end"])
-
-    return map_batches(docs, make, "digest long" if bit_map is None else "digest long, check long, doc_id long, version long, start long, end long")
-
-
-def _bit_map(digests: DataFrame) -> np.ndarray:
-    """The digests' highest bits as a map of 2^MAP_BITS bits; it comes to the driver as at most 2^(MAP_BITS - 6) words."""
+        digest = digest.astype(np.uint64)
+        if maps is None:
+            return pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64))], ["digest"])
+        twice, hot = maps.value
+        keep = _hits(twice, digest)
+        of, digest, check, start, end = of[keep], digest[keep], check[keep].astype(np.uint64), start[keep], end[keep]
+        doc_id, version = (batch.column(c).to_numpy()[of] for c in ("doc_id", "version"))
+        # The salt follows from the place alone, so a task that runs again deals alike.
+        mixed = (doc_id.astype(np.uint64) * np.uint64(_BASE) + version.view(np.uint64) + start.astype(np.uint64)) * np.uint64(_BASE2)
+        salt = np.where(_hits(hot, digest), (mixed >> np.uint64(40)) % np.uint64(SALTS), 1 << 20).astype(np.int32)
+        salt[salt == 1 << 20] = -1
+        columns = [pa.array(digest.view(np.int64)), pa.array(check.view(np.int64)), pa.array(salt), pa.array(doc_id), pa.array(version), pa.array(start, pa.int64()), pa.array(end, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["digest", "check", "salt", "doc_id", "version", "start", "end"])
+
+    return map_batches(docs, make, "digest long" if maps is None else "digest long, check long, salt int, doc_id long, version long, start long, end long")
+
+
+def _bit_maps(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The highest bits of digests with n > 1, and of those with n > HOT, as maps of 2^MAP_BITS bits; they come to the driver as at most 2^(MAP_BITS - 6) rows."""
     bit = f"shiftrightunsigned(digest, {64 - MAP_BITS})"
-    words = digests.groupBy(F.expr(f"shiftrightunsigned({bit}, 6)").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit} & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return out
+    one = f"shiftleft(1L, cast({bit} & 63 as int))"
+    words = counted.groupBy(F.expr(f"shiftrightunsigned({bit}, 6)").alias("word")).agg(F.expr(f"bit_or({one})").alias("twice"), F.expr(f"bit_or(if(n > {HOT}, {one}, 0L))").alias("hot")).toArrow()
+    maps = np.zeros((2, 1 << (MAP_BITS - 6)), np.uint64)
+    for row, name in zip(maps, ("twice", "hot"), strict=True):
+        row[words["word"].to_numpy()] = words[name].to_numpy().view(np.uint64)
+    return maps[0], maps[1]
 
 
 def _cut_text(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
@@ -160,13 +175,15 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("version"))
     keyed = keyed.where("doc_id is not null and text is not null")
-    twice = _occurrences(keyed, min_words).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    shared = docs.sparkSession.sparkContext.broadcast(_bit_map(twice))
+    counted = _occurrences(keyed, min_words).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_maps(counted))
     found = cut(_occurrences(keyed, min_words, shared))
     place = F.struct("doc_id", "version", "start")
-    first = found.groupBy("digest", "check").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "check", "first")
-    later = found.join(first, ["digest", "check"]).where(place != F.col("first"))
-    spans = later.select("doc_id", "version", "start", "end").distinct().groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    first = found.groupBy("digest", "check").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("salt").alias("salt")).where("first <> last")
+    salts = F.when(F.col("salt") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    first = first.select("digest", "check", "first", F.explode(salts).alias("salt"))
+    later = found.join(first, ["digest", "check", "salt"]).where(place != F.col("first"))
+    spans = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
 
     names = docs.columns
     left = docs.withColumn("__version", F.xxhash64(F.col("text").cast("string"))).alias("d")
