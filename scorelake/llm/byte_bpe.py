@@ -7,18 +7,21 @@ encoding their joined bytes gives just these two; a sequence whose neighbours ar
 encoding of its bytes, so from then on nothing outside the window can change. Decoding joins the
 ids' bytes up the same tree.
 
-Matches never reach over a single space between two other characters, so a text is cut there first
-and every distinct stretch is encoded once a worker.
+Texts are worked off in chunks, every distinct match of a chunk once; matches that were seen lately are
+remembered. The leaves of the trees (up to LEAF_BYTES bytes) of a chunk's new matches are merged
+side by side, a matrix row each.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,9 +30,33 @@ from pyspark.sql import functions as F
 from scorelake.llm.common import Memo, map_batches, texts_of
 
 LEAF_BYTES, SHORT_BYTES = 16, 64
-MOST_STRETCHES, MOST_PIECES, MOST_PAIRS, LONGEST_KEPT = 400_000, 400_000, 200_000, 64
-#: White space next to a space: there a text is not cut.
-_WIDE = re.compile(r"\s | \s|\x00")
+MOST_PIECES, MOST_PAIRS, LONGEST_KEPT = 300_000, 200_000, 64
+CHARS_AT_ONCE = 1_000_000
+#: Above every rank; a place behind a row's last id.
+_NONE, _GONE = 1 << 30, -1
+#: Decimal ids joined by spaces, and the bytes they decode to.
+Coded = tuple[str, bytes]
+
+
+class Recent:
+    """A bounded cache of two generations: what was asked for since the last turn, and what was before it."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key: str) -> Coded | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.young[key] = found
+        return found
+
+    def put(self, key: str, value: Coded) -> None:
+        if len(key) <= LONGEST_KEPT:
+            self.young[key] = value
+
+    def turn(self) -> None:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
 
 
 class ByteBPE:
@@ -38,9 +65,11 @@ class ByteBPE:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, f))}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self._find = regex.compile(pattern).findall
-        self._pieces: Memo = Memo(MOST_PIECES)
+        self._byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        halves = [(self.ranks[t[:i]] << 32 | self.ranks[t[i:]], rank) for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
+        self._pair_keys, self._pair_ranks = np.array(sorted(halves), np.int64).reshape(-1, 2).T.copy()
         self._pairs: Memo = Memo(MOST_PAIRS)
-        self._stretches: Memo = Memo(MOST_STRETCHES)
+        self._pieces = Recent(MOST_PIECES)
 
     def _merge(self, data: bytes) -> list[int]:
         """The lowest-ranked pair is merged again and again, the leftmost first."""
@@ -83,6 +112,32 @@ class ByteBPE:
             i = end[i]
         return out
 
+    def _pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, _NONE for those that don't merge."""
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self._pair_keys, keys), len(self._pair_keys) - 1)
+        return np.where((self._pair_keys[at] == keys) & (left >= 0) & (right >= 0), self._pair_ranks[at], _NONE)
+
+    def _merge_rows(self, rows: np.ndarray) -> np.ndarray:
+        """_merge for many byte strings of one length, a row each; _GONE fills up the rows of ids."""
+        ids, n = self._byte_ids[rows], rows.shape[1]
+        out, of, place = np.full_like(ids, _GONE), np.arange(len(ids)), np.arange(n)
+        pairs = self._pair_rank(ids[:, :-1], ids[:, 1:])
+        while len(of):
+            at = pairs.argmin(axis=1)
+            low = pairs[np.arange(len(of)), at]
+            merges = low < _NONE
+            out[of[~merges]] = ids[~merges]
+            of, ids, pairs, at, low = of[merges], ids[merges], pairs[merges], at[merges], low[merges]
+            row = np.arange(len(of))
+            ids = np.take_along_axis(np.pad(ids, ((0, 0), (0, 1)), constant_values=_GONE), place + (place > at[:, None]), axis=1)
+            ids[row, at] = low
+            pairs = np.take_along_axis(np.pad(pairs, ((0, 0), (0, 1)), constant_values=_NONE), place[:-1] + (place[:-1] > at[:, None]), axis=1)
+            after, before = np.flatnonzero(at < n - 1), np.flatnonzero(at > 0)
+            pairs[after, at[after]] = self._pair_rank(ids[after, at[after]], ids[after, at[after] + 1])
+            pairs[before, at[before] - 1] = self._pair_rank(ids[before, at[before] - 1], ids[before, at[before]])
+        return out
+
     def _compatible(self, a: int, b: int) -> bool:
         known = self._pairs.get((a, b))
         if known is None:
@@ -111,16 +166,7 @@ class ByteBPE:
         return self.join(self.encode_match(data[:half]), self.encode_match(data[half:]))
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self._find(text):
-            ids = self._pieces.get(piece)
-            if ids is None:
-                ids = self.encode_match(piece.encode())
-                if len(piece) <= LONGEST_KEPT:
-                    self._pieces.make_room()
-                    self._pieces[piece] = ids
-            out += ids
-        return out
+        return [i for piece in self._find(text) for i in self.encode_match(piece.encode())]
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= 4096:
@@ -128,26 +174,48 @@ class ByteBPE:
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
-    def _stretch(self, text: str) -> tuple[str, int, bytes]:
-        ids = self.encode(text)
-        made = " ".join(map(str, ids)), len(ids), self.decode(ids)
-        if len(text) <= LONGEST_KEPT:
-            self._stretches[text] = made
-        return made
-
-    def round_trip(self, text: str) -> tuple[str, int, bytes]:
-        """Decimal ids joined by spaces, their number, and the bytes they decode to."""
-        if not text:
-            return "", 0, b""
-        parts = [text] if _WIDE.search(text) else text.replace(" ", "\x00 ").split("\x00")
-        parts = parts if parts[0] else parts[1:]
-        try:
-            made = list(map(self._stretches.__getitem__, parts))
-        except KeyError:
-            self._stretches.make_room()
-            made = [self._stretches.get(p) or self._stretch(p) for p in parts]
-        ids, counts, data = zip(*made, strict=True)
-        return " ".join(ids), sum(counts), b"".join(data)
+    def encode_matches(self, pieces: list[str]) -> Iterator[tuple[str, Coded]]:
+        """encode_match for many matches; those that are one leaf are merged side by side."""
+        leaves = defaultdict(list)
+        for piece in pieces:
+            data = piece.encode()
+            if (rank := self.ranks.get(data)) is not None:
+                yield piece, (str(rank), self.tokens[rank])
+            elif len(data) <= LEAF_BYTES:
+                leaves[len(data)].append((piece, data))
+            else:
+                ids = self.encode_match(data)
+                yield piece, (" ".join(map(str, ids)), self.decode(ids))
+        tokens = self.tokens
+        for n, found in leaves.items():
+            rows = self._merge_rows(np.frombuffer(b"".join([data for _, data in found]), np.uint8).reshape(-1, n))
+            for (piece, _), row, size in zip(found, rows.tolist(), (rows != _GONE).sum(axis=1).tolist(), strict=True):
+                ids = row[:size]
+                yield piece, (" ".join(map(str, ids)), b"".join([tokens[i] for i in ids]))
+
+    def round_trips(self, texts: list[str]) -> list[Coded]:
+        """Of each text the decimal ids joined by spaces and the bytes they decode to."""
+        out: list[Coded] = []
+        at = 0
+        while at < len(texts):
+            stop, chars = at, 0
+            while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= CHARS_AT_ONCE):
+                chars += len(texts[stop])
+                stop += 1
+            split = list(map(self._find, texts[at:stop]))
+            self._pieces.turn()
+            ids, data, missing = {}, {}, []
+            for piece in set().union(*split):
+                if (made := self._pieces.get(piece)) is None:
+                    missing.append(piece)
+                else:
+                    ids[piece], data[piece] = made
+            for piece, made in self.encode_matches(missing):
+                self._pieces.put(piece, made)
+                ids[piece], data[piece] = made
+            out += [(" ".join(map(ids.__getitem__, pieces)), b"".join(map(data.__getitem__, pieces))) for pieces in split]
+            at = stop
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -165,10 +233,9 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -
     """
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = coder(path, pattern)
-        made = [bpe.round_trip(t) for t in texts_of(batch)]
+        made = coder(path, pattern).round_trips(texts_of(batch))
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        columns = [batch.column("doc_id"), pa.array([m[1] for m in made], pa.int64()), pa.array([sha(m[0].encode()) for m in made], pa.string()), pa.array([sha(m[2]) for m in made], pa.string())]
+        columns = [batch.column("doc_id"), pa.array([m[0].count(" ") + 1 if m[0] else 0 for m in made], pa.int64()), pa.array([sha(m[0].encode()) for m in made], pa.string()), pa.array([sha(m[1]) for m in made], pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
             columns.append(pa.array([[int(i) for i in m[0].split()] for m in made], pa.list_(pa.int32())))
