@@ -34,7 +34,7 @@ STEADY_CHARS = 400
 MOST_PIECES = MOST_WORDS = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_CHARS_AT_ONCE = 2_000_000
+_CHARS_AT_ONCE, WORDS_AT_ONCE = 2_000_000, 20_000
 
 
 def words_of(piece: str) -> list[str]:
@@ -102,31 +102,46 @@ class LanguageModel:
         return (entropy - self.mean[best]) * np.sqrt(np.minimum(chars, STEADY_CHARS)) / self.deviation[best]
 
 
+def _gather(words: list[str], times: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """By order: the n-grams' hashes ascending, their counts by language, their contexts, and the n-gram one character shorter at their end."""
+    of, grams, contexts = _grams(words)
+    out = []
+    for n in range(ORDER):
+        keys, first, at = np.unique(grams[n], return_index=True, return_inverse=True)
+        out.append((keys, _summed(at, times[of], len(keys)), contexts[n][first], grams[max(0, n - 1)][first]))
+    return out
+
+
+def _summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(at, values[:, k], n) for k in range(values.shape[1])], axis=1)
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """One table of the same n-grams' tables from several sets of words."""
+    keys, first, at = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    return keys, _summed(at, np.concatenate([p[1] for p in parts]), len(keys)), *(np.concatenate([p[i] for p in parts])[first] for i in (2, 3))
+
+
 def fit(counts: dict[str, Counter]) -> LanguageModel:
-    """Models of the languages from their words' counts."""
+    """Models of the languages from their words' counts. Words are taken WORDS_AT_ONCE at a time, so that memory follows the distinct n-grams."""
     langs = sorted(counts)
     words = sorted(set().union(*counts.values()))
-    times = np.array([[counts[x][w] for x in langs] for w in words], float)
-    of, grams, contexts = _grams(words)
+    tables: list[tuple[np.ndarray, ...]] = []
+    for i in range(0, len(words), WORDS_AT_ONCE):
+        some = words[i : i + WORDS_AT_ONCE]
+        new = _gather(some, np.array([[counts[x][w] for x in langs] for w in some], float))
+        tables = [_merged([old, more]) for old, more in zip(tables, new, strict=True)] if tables else new
     model = LanguageModel(langs)
-    model.n_chars = len(np.unique(grams[0])) + 1
-    full = [np.unique(g, return_index=True, return_inverse=True) for g in grams]
-
-    def summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(at, values[:, k], n) for k in range(len(langs))], axis=1)
-
-    seen = [summed(inv, times[of], len(keys)) for keys, _, inv in full]
+    model.n_chars = len(tables[0][0]) + 1
     for n in range(ORDER):
-        keys, first, inv = full[n]
-        if n == ORDER - 1:
-            c = seen[n]
-        else:  # in how many contexts of one more character it was seen
-            longer, where, _ = full[n + 1]
-            c = summed(inv[where], (seen[n + 1] > 0).astype(float), len(keys))
+        keys, c, contexts, _ = tables[n]
+        if n < ORDER - 1:  # in how many contexts of one more character it was seen
+            _, longer, _, ending = tables[n + 1]
+            c = _summed(np.searchsorted(keys, ending), (longer > 0).astype(float), len(keys))
         once, twice = (c == 1).sum(axis=0), (c == 2).sum(axis=0)
         cut_by = np.where(once > 0, once / np.maximum(1, once + 2 * twice), 0.5)
-        ctx, back = np.unique(contexts[n][first], return_inverse=True)
-        total, kinds = summed(back, c, len(ctx)), summed(back, (c > 0).astype(float), len(ctx))
+        ctx, back = np.unique(contexts, return_inverse=True)
+        total, kinds = _summed(back, c, len(ctx)), _summed(back, (c > 0).astype(float), len(ctx))
         with np.errstate(divide="ignore", invalid="ignore"):
             share = np.maximum(c - cut_by, 0) / total[back]
             backoff = cut_by * kinds / total
