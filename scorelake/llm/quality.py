@@ -94,8 +94,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
         order = rng.permutation(len(rows))
         for a in range(0, len(order), batch):
             pick = order[a : a + batch]
-            at = np.concatenate([rows[i][0] for i in pick])
-            x = np.concatenate([rows[i][1] for i in pick])
+            at = np.concatenate([rows[i][0] for i in pick]).astype(np.int64)
+            x = np.concatenate([rows[i][1] for i in pick]).astype(np.float64)
             sizes = np.array([len(rows[i][0]) for i in pick])
             of, first = np.repeat(np.arange(len(pick)), sizes), np.r_[0, np.cumsum(sizes)[:-1]]
             v = theta[at, 1:] * x[:, None]
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, ho
     # The sample has at most most_labels rows of two numbers, so it can be sent to every task.
     known = inputs(docs).select("doc_id", "text", "n_chars").join(F.broadcast(sample), "doc_id")
     got = map_batches(known, make, "quality int, doc_id long, at array<int>, x array<float>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    rows = [(np.asarray(a.values, dtype=np.int64), np.asarray(x.values, dtype=np.float64)) for a, x in zip(got["at"], got["x"], strict=True)]
+    rows = [(np.asarray(a.values), np.asarray(x.values)) for a, x in zip(got["at"], got["x"], strict=True)]
     return fit(rows, got["quality"].to_numpy().astype(float))
 
 
