@@ -53,7 +53,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     map_batches(ordered.limit(0), lambda b: b, ordered.schema)  # shares the code with the workers
     (
         ordered.mapInArrow(encode, "doc_id long, ids array<int>, part int, pos long")
-        .write.option("orc.compress", "ZSTD").option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", ROW_STRIDE)
+        .write.option("orc.compress", "LZ4").option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", ROW_STRIDE)
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
         .orc(folder)
     )
