@@ -18,7 +18,6 @@ import base64
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -27,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import Memo, map_batches, texts_of
+from scorelake.llm.common import Memo, Recent, held, map_batches, texts_of
 
 LEAF_BYTES, SHORT_BYTES = 16, 64
 MOST_PIECES, MOST_PAIRS, LONGEST_KEPT = 300_000, 200_000, 64
@@ -38,27 +37,6 @@ _NONE, _GONE = 1 << 30, -1
 Coded = tuple[str, bytes]
 
 
-class Recent:
-    """A bounded cache of two generations: what was asked for since the last turn, and what was before it."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
-
-    def get(self, key: str) -> Coded | None:
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.young[key] = found
-        return found
-
-    def put(self, key: str, value: Coded) -> None:
-        if len(key) <= LONGEST_KEPT:
-            self.young[key] = value
-
-    def turn(self) -> None:
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-
-
 class ByteBPE:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
@@ -211,17 +189,16 @@ class ByteBPE:
                 else:
                     ids[piece], data[piece] = made
             for piece, made in self.encode_matches(missing):
-                self._pieces.put(piece, made)
+                if len(piece) <= LONGEST_KEPT:
+                    self._pieces.young[piece] = made
                 ids[piece], data[piece] = made
             out += [(" ".join(map(ids.__getitem__, pieces)), b"".join(map(data.__getitem__, pieces))) for pieces in split]
             at = stop
         return out
 
 
-@lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> ByteBPE:
-    """One a worker process and vocabulary."""
-    return ByteBPE(path, pattern)
+    return held((path, pattern), lambda: ByteBPE(path, pattern))
 
 
 def byte_bpe(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import gc
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,3 +65,34 @@ class Memo(dict):
     def make_room(self) -> None:
         if len(self) > self.most:
             self.clear()
+
+
+class Recent:
+    """A bounded cache of two generations: what was asked for since the last turn, and what was before it."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key: str) -> Any:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.young[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+
+
+_holds: list[Any] = []
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What make gives, kept until another key is asked for.
+
+    Stages share worker processes. A worker holds the caches of one stage at a time, so they don't add up.
+    """
+    if not _holds or _holds[0] != key:
+        _holds.clear()
+        _holds.extend((key, make()))
+    return _holds[1]

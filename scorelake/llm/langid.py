@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import cut, map_batches, texts_of
+from scorelake.llm.common import cut, held, map_batches, texts_of
 
 ORDER = 4
 MOST_DOCS = 1500
@@ -217,15 +217,8 @@ class Scorer:
         return [langs[b] if ok else UND for b, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0), accepted
 
 
-_scorers: dict[int, tuple[LanguageModel, Scorer]] = {}
-
-
 def scorer(model: LanguageModel) -> Scorer:
-    """One a worker process and model."""
-    if id(model) not in _scorers:
-        _scorers.clear()
-        _scorers[id(model)] = model, Scorer(model)
-    return _scorers[id(model)][1]
+    return held(("language", id(model)), lambda: Scorer(model))
 
 
 def train(docs: DataFrame, most_docs: int = MOST_DOCS, holdout: int = 2) -> LanguageModel:

@@ -11,12 +11,11 @@ tests/llm compares both ways.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import numpy as np
 import regex
 
-from scorelake.llm.common import Memo
+from scorelake.llm.common import Memo, held
 
 #: Longer pieces are encoded but not remembered.
 LONGEST_KEPT = 64
@@ -101,7 +100,5 @@ class WordTokenizer:
         return self.encode_many([text])[0]
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
-    """One a worker process and file."""
-    return WordTokenizer(path)
+    return held(path, lambda: WordTokenizer(path))
