@@ -8,6 +8,7 @@ from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from scorelake.session import share_code
@@ -41,6 +42,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     """mapInArrow over single batches; a batch for which fn gives None is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _let_go()
         for batch in batches:
             out = fn(batch)
             if out is not None:
@@ -85,6 +87,16 @@ class Recent:
 
 
 _holds: list[Any] = []
+_stage: list[int] = []
+
+
+def _let_go() -> None:
+    """Where a task of another stage begins, drop what the stage before it held and give its memory back."""
+    task = TaskContext.get()
+    if task is not None and _stage != [task.stageId()]:
+        _stage[:] = [task.stageId()]
+        _holds.clear()
+        pa.default_memory_pool().release_unused()
 
 
 def held(key: Hashable, make: Callable[[], Any]) -> Any:
