@@ -1,16 +1,24 @@
-"""Repeated passages by hashing of normalised units.
+"""Repeated passages by hashing of normalised units and of picked windows of words.
 
 Units are lines, cut further at sentence ends and before capitalised words, so that a passage set into the
 middle of a line has units of its own; long units are cut before words picked by their hash. A digest covers a stretch of whole units: from every unit on, the
-shortest stretch of at least `min_words` words, and up to every unit's end likewise. Words are
+shortest stretch of at least `min_words` words, and up to every unit's end likewise. Besides, windows of
+`min_words` words are picked wherever they begin: of every min_words + 1 neighbours the one of lowest digest
+(winnowing), so two texts that share a run of 2 * min_words words share a picked window of it. Words are
 lower-cased and white space doesn't count. Of each digest the occurrence that comes first by (doc_id,
-offset) stays; all others are cut out of their texts, and their offsets in the original text are kept.
+version, word) stays; all others are cut out of their texts, and their offsets in the original text are kept.
+
+The cut-out runs are then extended word by word as far as the text goes on like that of the first place. The
+outermost picked window of a run of 2 * min_words words lies at most min_words words from either end of it,
+so so many words beside the first place, hashed, are all that has to be fetched; only stretches
+near the ends of what is cut out ask for them.
 
 Digests are first only counted. What occurs more than once goes into a bit map of fixed size
 (2^26 bits, 8 MB), by which the second pass leaves out nearly all others before they are shuffled;
 ranking then is exact, so a chance hit in the map changes nothing. Digests that occur more than HOT times
 have a map of their own: their occurrences meet their first place under one of SALTS salts, so that a
-passage in a third of all documents is no single task's work.
+passage in a third of all documents is no single task's work. A third pass gives the words beside the
+first places that are asked for, found by a map of the same size.
 """
 
 from __future__ import annotations
@@ -18,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,23 +71,48 @@ def _digests(words: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.n
     return h ^ (h >> np.uint64(29))
 
 
-def stretches(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """digest, check, first and last byte (exclusive) of each stretch of units."""
-    none = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+def _picked(digest: np.ndarray, n: int) -> np.ndarray:
+    """Places of digests that are the lowest of any n neighbours; equal ones all count."""
+    if len(digest) < n:
+        return np.empty(0, np.int64)
+
+    def slide(row: np.ndarray, of) -> np.ndarray:
+        size = 1
+        while 2 * size <= n:
+            row = of(row[:-size], row[size:])
+            size *= 2
+        return of(row[: len(row) - n + size], row[n - size :]) if size < n else row
+
+    pad = np.zeros(n - 1, np.uint64)
+    return np.flatnonzero(slide(np.concatenate([pad, slide(digest, np.minimum), pad]), np.maximum) == digest)
+
+
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte (exclusive) of each word."""
+    edge = np.diff(np.concatenate([[1], _SPACE[raw].astype(np.int8), [1]]))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def stretches(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """digest, check, first and last word (exclusive) of each stretch of units and each picked window; and the words' hashes."""
+    none = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     data = text.encode("utf-8", "surrogatepass")
     words = data.lower().split()
     if len(words) < min_words:
         return none
     raw = np.frombuffer(data, np.uint8)
-    edge = np.diff(np.concatenate([[1], _SPACE[raw].astype(np.int8), [1]]))
-    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    first, last = _edges(raw)
     # A word begins a unit after a line's or a sentence's end, or if it begins with A-Z or a capital of U+00C0 to U+00DE.
     lines = np.concatenate([[0], np.cumsum(raw == 10)])
     lead, second = raw[first], raw[np.minimum(first + 1, len(raw) - 1)]
     begins = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     begins[1:] |= (lines[first[1:]] > lines[last[:-1]]) | _STOP[raw[last[:-1] - 1]]
     begins[0] = True
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    h = _hashed(words)
     unit = np.cumsum(begins) - 1
     long = np.bincount(unit) > min_words
     begins |= long[unit] & (h % np.uint64(LONG_UNIT_STEP) == 0)
@@ -88,12 +121,14 @@ def stretches(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.nda
     fits = to < len(bounds)
     back = np.searchsorted(bounds, bounds[1:] - min_words, side="right") - 1
     enough = back >= 0
-    n = len(bounds)
-    pairs = np.unique(np.concatenate([np.flatnonzero(fits) * n + to[fits], back[enough] * n + np.flatnonzero(enough) + 1]))
+    n = len(words) + 1
+    every = np.arange(len(words) - min_words + 1)
+    window = every[_picked(_digests(h, every, every + min_words, _BASE), min_words + 1)]
+    pairs = np.unique(np.concatenate([bounds[:-1][fits] * n + bounds[to[fits]], bounds[back[enough]] * n + bounds[1:][enough], window * n + window + min_words]))
     if not len(pairs):
         return none
-    a, b = bounds[pairs // n], bounds[pairs % n]
-    return _digests(h, a, b, _BASE), _digests(h, a, b, _BASE2), first[a], last[b - 1]
+    a, b = pairs // n, pairs % n
+    return _digests(h, a, b, _BASE), _digests(h, a, b, _BASE2), a, b, h
 
 
 def _hits(bits: np.ndarray, digest: np.ndarray) -> np.ndarray:
@@ -101,8 +136,12 @@ def _hits(bits: np.ndarray, digest: np.ndarray) -> np.ndarray:
     return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
 
 
+def _marks(doc_id: np.ndarray, version: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return (doc_id.astype(np.uint64) * np.uint64(_BASE) + version.view(np.uint64) + start.astype(np.uint64)) * np.uint64(_BASE2)
+
+
 def _occurrences(docs: DataFrame, min_words: int, maps=None) -> DataFrame:
-    """A row for each stretch; with the two bit maps, only those whose digest is in the first; salt is -1 for those that aren't in the second."""
+    """A row for each stretch, its span the first word and, in the low 32 bits, the number of words; with the two bit maps, only those whose digest is in the first; salt is -1 for those that aren't in the second."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [stretches(t, min_words) for t in texts_of(batch)]
@@ -116,13 +155,39 @@ def _occurrences(docs: DataFrame, min_words: int, maps=None) -> DataFrame:
         of, digest, check, start, end = of[keep], digest[keep], check[keep].astype(np.uint64), start[keep], end[keep]
         doc_id, version = (batch.column(c).to_numpy()[of] for c in ("doc_id", "version"))
         # The salt follows from the place alone, so a task that runs again deals alike.
-        mixed = (doc_id.astype(np.uint64) * np.uint64(_BASE) + version.view(np.uint64) + start.astype(np.uint64)) * np.uint64(_BASE2)
-        salt = np.where(_hits(hot, digest), (mixed >> np.uint64(40)) % np.uint64(SALTS), 1 << 20).astype(np.int32)
+        mark = _marks(doc_id, version, start)
+        salt = np.where(_hits(hot, digest), (mark >> np.uint64(40)) % np.uint64(SALTS), 1 << 20).astype(np.int32)
         salt[salt == 1 << 20] = -1
-        columns = [pa.array(digest.view(np.int64)), pa.array(check.view(np.int64)), pa.array(salt), pa.array(doc_id), pa.array(version), pa.array(start, pa.int64()), pa.array(end, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["digest", "check", "salt", "doc_id", "version", "start", "end"])
+        columns = [pa.array(digest.view(np.int64)), pa.array(check.view(np.int64)), pa.array(salt), pa.array(doc_id), pa.array(version), pa.array(start << 32 | end - start)]
+        return pa.RecordBatch.from_arrays(columns, ["digest", "check", "salt", "doc_id", "version", "span"])
+
+    return map_batches(docs, make, "digest long" if maps is None else "digest long, check long, salt int, doc_id long, version long, span long")
+
 
-    return map_batches(docs, make, "digest long" if maps is None else "digest long, check long, salt int, doc_id long, version long, start long, end long")
+def _beside(h: np.ndarray, a: int, b: int, most: int) -> tuple[bytes, bytes]:
+    """The hashes, cut to 32 bits, of at most so many words before a and from b on, the nearest first."""
+    return h[max(0, a - most) : a][::-1].astype(np.uint32).tobytes(), h[b : b + most].astype(np.uint32).tobytes()
+
+
+def _surroundings(docs: DataFrame, min_words: int, maps, wanted) -> DataFrame:
+    """The words beside each stretch whose mark is in the bit map `wanted`; hot if its digest is."""
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, versions = (batch.column(c).to_numpy() for c in ("doc_id", "version"))
+        columns: list[list] = [[] for _ in range(7)]
+        for i, text in enumerate(texts_of(batch)):
+            digest, _, start, end, h = stretches(text, min_words)
+            if not len(digest):
+                continue
+            at = np.flatnonzero(_hits(wanted.value, _marks(ids[i : i + 1], versions[i : i + 1], start)))
+            for k, hot in zip(at, _hits(maps.value[1], digest[at]), strict=True):
+                row = ids[i], versions[i], start[k], end[k], hot, *_beside(h, start[k], end[k], min_words)
+                for column, value in zip(columns, row, strict=True):
+                    column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["f_doc", "f_version", "f_start", "f_end", "hot", "before", "behind"])
+
+    return map_batches(docs, make, "f_doc long, f_version long, f_start int, f_end int, hot boolean, before binary, behind binary")
 
 
 def _bit_maps(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +201,43 @@ def _bit_maps(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return maps[0], maps[1]
 
 
+def _ends(later: DataFrame, around: int) -> DataFrame:
+    """Of the stretches to cut out, those within `around` words of an end of their run: low and high are the run's ends, left and right say which."""
+    doc = Window.partitionBy("doc_id", "version").orderBy("start", "end")
+    reached = F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))
+    runs = later.withColumn("fresh", (F.coalesce(reached, F.lit(-1)) < F.col("start")).cast("int"))
+    runs = runs.withColumn("run", F.sum("fresh").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("doc_id", "version", "run")
+    runs = runs.withColumn("low", F.min("start").over(run)).withColumn("high", F.max("end").over(run))
+    runs = runs.withColumn("left", F.col("start") - around < F.col("low")).withColumn("right", F.col("end") + around > F.col("high"))
+    return runs.where("left or right").drop("fresh", "run")
+
+
+def _marked(ends: DataFrame) -> DataFrame:
+    """The marks of the first places, as digests for the bit map."""
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        mark = _marks(*(batch.column(c).to_numpy() for c in ("f_doc", "f_version", "f_start")))
+        return pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(np.ones(len(mark), np.int64))], ["digest", "n"])
+
+    return map_batches(ends.select("f_doc", "f_version", "f_start"), make, "digest long, n long")
+
+
+def _extended(h: np.ndarray, spans: list[dict]) -> list[tuple[int, int]]:
+    """Runs of words, each stretch as far as the words beside it equal those beside its first place."""
+    out = []
+    for s in spans:
+        a, b = s["start"], s["end"]
+        n = []
+        for own, first in zip(_beside(h, a, b, b - a), (s["before"], s["behind"]), strict=True):
+            x, y = np.frombuffer(own, np.uint32), np.frombuffer(first or b"", np.uint32)
+            size = min(len(x), len(y))
+            other = np.flatnonzero(x[:size] != y[:size])
+            n.append(int(other[0]) if len(other) else size)
+        out += [(s["low"], s["high"]), (a - n[0], b + n[1])]
+    return out
+
+
 def _cut_text(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
     """The text without the bytes of the spans, and the spans' union as character offsets."""
     data = text.encode("utf-8", "surrogatepass")
@@ -168,6 +270,9 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spans as an array of (start, end) character offsets in the original text, ascending. A text without
     repeats is returned as it is.
 
+    A run of 2 * min_words words that repeats is found wherever it begins, and so are shorter ones, of min_words words
+    or more, of whole units. Extension follows the first place of each stretch.
+
     Null text stays null and texts of fewer than min_words words are never touched. Rows with a null
     doc_id have no rank: they neither lose nor claim passages. Rows that share doc_id and text count as one
     document; rows that share just a doc_id rank by their text's hash. A passage that a document holds twice
@@ -178,12 +283,21 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     counted = _occurrences(keyed, min_words).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
     shared = docs.sparkSession.sparkContext.broadcast(_bit_maps(counted))
     found = cut(_occurrences(keyed, min_words, shared))
-    place = F.struct("doc_id", "version", "start")
-    first = found.groupBy("digest", "check").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("salt").alias("salt")).where("first <> last")
+    place = F.struct("doc_id", "version", "span")
+    first = found.groupBy("digest", "check").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("salt").alias("salt")).where("n > 1")
     salts = F.when(F.col("salt") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     first = first.select("digest", "check", "first", F.explode(salts).alias("salt"))
     later = found.join(first, ["digest", "check", "salt"]).where(place != F.col("first"))
-    spans = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
+    word = lambda span: F.shiftright(span, 32).cast("int")
+    end = lambda span: word(span) + F.col(span).bitwiseAND(0xFFFFFFFF).cast("int")
+    later = later.select("doc_id", "version", word("span").alias("start"), end("span").alias("end"), "salt", F.col("first.doc_id").alias("f_doc"), F.col("first.version").alias("f_version"), word("first.span").alias("f_start"), end("first.span").alias("f_end"))
+    ends = cut(_ends(later, min_words))
+    wanted = docs.sparkSession.sparkContext.broadcast(_bit_maps(_marked(ends))[0])
+    at = ["f_doc", "f_version", "f_start", "f_end"]
+    beside = _surroundings(keyed, min_words, shared, wanted).dropDuplicates(at)
+    beside = beside.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1))))).drop("hot")
+    near = ends.join(beside, [*at, "salt"], "left").select("doc_id", "version", "low", "high", "start", "end", F.when(F.col("left"), F.col("before")).alias("before"), F.when(F.col("right"), F.col("behind")).alias("behind"))
+    spans = near.groupBy("doc_id", "version").agg(F.collect_set(F.struct("low", "high", "start", "end", "before", "behind")).alias("__spans"))
 
     names = docs.columns
     left = docs.withColumn("__version", F.xxhash64(F.col("text").cast("string"))).alias("d")
@@ -196,7 +310,10 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         texts, removed = batch.column("text").to_pylist(), []
         for i, spans in enumerate(batch.column("__spans").to_pylist()):
             if spans and texts[i] is not None:
-                texts[i], gone = _cut_text(texts[i], [(s["start"], s["end"]) for s in spans])
+                data = texts[i].encode("utf-8", "surrogatepass")
+                first, last = _edges(np.frombuffer(data, np.uint8))
+                runs = _extended(_hashed(data.lower().split()), spans)
+                texts[i], gone = _cut_text(texts[i], [(int(first[a]), int(last[b - 1])) for a, b in set(runs)])
                 removed.append([{"start": a, "end": b} for a, b in gone])
             else:
                 removed.append([])

@@ -166,6 +166,22 @@ def test_repeats(spark):
     assert got[3].text == rows[2][1] and got[4].text is None and got[5].text == "" and got[None].text == passage
 
 
+def test_repeats_at_any_word(spark):
+    rnd = random.Random(11)
+    plain = lambda n: " ".join(f"w{rnd.randrange(50000)}" for _ in range(n))
+    titled = lambda n: " ".join(w.title() if rnd.random() < 0.1 else w for w in plain(n).split())
+    rows, slices = [], {}
+    for i in range(120):
+        source = (plain if i % 2 else titled)(200).split()
+        n, at = rnd.choice((51, 55, 60, 80)), rnd.randrange(1, 110)
+        slices[1000 + i] = " ".join(source[at : at + n])
+        rows += [(i, " ".join(source)), (1000 + i, f"{plain(rnd.randrange(40))} u{i} {slices[1000 + i]} v{i} {plain(30)}".strip())]
+    got = {r.doc_id: r for r in line_dedup.without_repeats(frame(spark, rows)).collect()}
+    for i, text in rows:
+        cut_out = [text[a:b] for a, b in got[i].removed]
+        assert cut_out == ([slices[i]] if i in slices else []), i
+
+
 def test_quality(spark):
     good, bad = [(i, words(60).capitalize() + ".") for i in range(120)], [(i, " ".join(w.upper() + "!!" for w in words(60).split())) for i in range(200, 320)]
     docs = frame(spark, [*good, *bad, (900, None), (901, "")])
