@@ -5,7 +5,8 @@ a text's cross-entropy is a sum over its words and every distinct word is scored
 order the n-grams of all languages stand in one sorted array of 64-bit hashes beside a matrix of
 discounted probabilities, and the contexts in another beside their back-off weights. The language with the lowest
 cross-entropy a character wins; a text is rejected if that is further above what is usual for the language
-than calibration texts ever reach.
+than nearly all calibration texts reach. What is usual is the median, and the spread follows from the median
+absolute deviation, so a few wrong labels among the calibration texts change neither.
 
 Models are fitted on a bounded sample of labelled documents: about `most_docs` a language, those of lowest hash.
 """
@@ -26,9 +27,9 @@ from scorelake.llm.common import cut, held, map_batches, texts_of
 ORDER = 4
 MOST_DOCS = 1500
 UND = "und"
-#: Rejected: over this many standard deviations (of calibration texts of like length) above the mean, and
-#: over this many times what any calibration text reached.
-MOST_DEVIATIONS, BEYOND_SEEN = 8.0, 1.5
+#: Rejected: over this many deviations (of calibration texts of like length) above the median, and over this
+#: many times what all but a few calibration texts reached: those above the quantile SEEN may be wrongly labelled.
+MOST_DEVIATIONS, BEYOND_SEEN, SEEN = 8.0, 1.5, 0.95
 #: Beyond so many characters a longer text is not expected to lie closer to the mean.
 STEADY_CHARS = 400
 MOST_PIECES = MOST_WORDS = 300_000
@@ -98,7 +99,7 @@ class LanguageModel:
         return out
 
     def strangeness(self, best: np.ndarray, entropy: np.ndarray, chars: np.ndarray) -> np.ndarray:
-        """How many standard deviations above the language's mean."""
+        """How many deviations above the language's median."""
         return (entropy - self.mean[best]) * np.sqrt(np.minimum(chars, STEADY_CHARS)) / self.deviation[best]
 
 
@@ -267,9 +268,10 @@ def train(docs: DataFrame, most_docs: int = MOST_DOCS, holdout: int = 2) -> Lang
     for k in range(len(model.langs)):
         e, n = entropy[lang == k], np.minimum(chars[lang == k], STEADY_CHARS)
         if len(e) >= 2:
-            model.mean[k] = np.average(e, weights=n)
-            model.deviation[k] = max(0.5, np.sqrt(np.mean(np.square(e - model.mean[k]) * n)))
-            seen_most = model.strangeness(np.full(len(e), k), e, n).max()
+            by = np.argsort(e)
+            model.mean[k] = e[by][np.searchsorted(np.cumsum(n[by]), n.sum() / 2)]
+            model.deviation[k] = max(0.5, 1.4826 * np.median(np.abs(e - model.mean[k]) * np.sqrt(n)))
+            seen_most = np.quantile(model.strangeness(np.full(len(e), k), e, n), SEEN, method="lower")
             model.limit[k] = max(MOST_DEVIATIONS, BEYOND_SEEN * seen_most)
         else:
             model.mean[k], model.deviation[k] = np.log2(model.n_chars), 1.0

@@ -200,3 +200,18 @@ def test_language(spark):
     got = langid.languages(docs, langid.train(docs)).toPandas().set_index("doc_id")
     assert all(got.loc[i].lang_pred == lang for i, _, lang in rows) and got.loc[900].lang_pred == got.loc[901].lang_pred == "und"
     assert langid.languages(docs, langid.train(docs.limit(0))).where("lang_pred = 'und'").count() == 202
+
+
+def test_language_with_wrong_labels(spark):
+    rnd = random.Random(3)
+    en, de = "the and that with have this from they which would there their about".split(), "und der die das nicht mit sich auch eine werden haben durch über".split()
+    fi = "että oli hän mutta kuin myös sekä joka tämä olla voi kun jos niin mukaan jälkeen".split()
+    said = lambda pool: " ".join(rnd.choice(pool) for _ in range(40))
+    noise = lambda: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 8))) for _ in range(60))
+    rows = [(i, said(en if i % 2 else de), "en" if i % 2 else "de") for i in range(1600)]
+    rows += [(2000 + i, noise(), "en" if i % 2 else "de") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    asked = spark.createDataFrame([*rows[:200], *((5000 + i, said(fi) if i % 2 else noise(), "") for i in range(40))], docs.schema)
+    got = langid.languages(asked, model).toPandas().set_index("doc_id").accepted
+    assert got[got.index < 200].all() and not got[got.index >= 5000].any()
