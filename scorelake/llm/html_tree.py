@@ -29,8 +29,10 @@ from scorelake.llm.common import map_batches
 BOILER, CONTENT, MIXED = 0, 1, 2
 THRESHOLD = 0.5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "object", "select", "xmp")
-UNSEEN = frozenset([*RAW, "head"])
+RAW = ("script", "style", "title", "textarea", "noscript", "iframe", "xmp")
+#: Parsed like others, but nothing in them is shown.
+HIDES = ("template", "svg", "object", "select")
+UNSEEN = frozenset([*RAW, *HIDES, "head"])
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -41,6 +43,8 @@ CLOSED_BY = {
     "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
     "tbody": (("thead", "tbody", "tr", "td", "th"), ("table",)), "option": (("option",), ("select",)), "body": (("head",), ("html",)),
 }
+#: Start tags that end an open svg, besides those of blocks.
+ENDS_SVG = BLOCK | frozenset("b big br code em embed hr i img meta nobr ruby s small span strong strike sub sup tt u var".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -95,23 +99,24 @@ def parse(page: str) -> list[Node]:
     """
     nodes = [Node("html", -1)]
     stack, n_block, fresh = [0], 0, True
-    in_link = 0
+    in_link = in_hidden = 0
     run = -1
     at, end = 0, len(page)
     lower = None
 
     def close_to(depth: int) -> None:
-        nonlocal n_block, run, in_link
+        nonlocal n_block, run, in_link, in_hidden
         for i in stack[depth:]:
             if nodes[i].tag in BLOCK:
                 n_block += 1
                 run = -1
             in_link -= nodes[i].tag == "a"
+            in_hidden -= nodes[i].tag in HIDES
         del stack[depth:]
 
     def text(raw: str) -> None:
         nonlocal run
-        if not raw:
+        if not raw or in_hidden:
             return
         shown = html.unescape(raw) if "&" in raw else raw
         if run < 0 or nodes[run].block != n_block:
@@ -147,9 +152,22 @@ def parse(page: str) -> list[Node]:
                 if other == tag:
                     close_to(depth)
                     break
+                if other == "template":
+                    break
+                if tag in HIDES:
+                    continue
                 if other in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "article", "div") or (other in BLOCK and tag not in BLOCK):
                     break
             continue
+        if in_hidden:
+            for depth in range(len(stack) - 1, 0, -1):
+                other = nodes[stack[depth]].tag
+                if other == "svg" and tag in ENDS_SVG or other == "select" and (tag in BLOCK or tag in ("select", "input", "textarea")):
+                    close_to(depth)
+                elif other in ("template", "foreignobject"):
+                    break
+            if any(nodes[i].tag == "svg" for i in stack) and (m[3] or "").endswith("/"):
+                continue
         if tag == "br" or tag == "hr":
             n_block += tag == "hr"
             if tag == "hr":
@@ -167,6 +185,12 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in VOID:
             continue
+        if tag in HIDES:
+            if lower is None:
+                lower = page.lower()
+            # A template or object that is never closed hides nothing; start tags end the other two.
+            if tag == "svg" and (m[3] or "").endswith("/") or tag in ("template", "object") and lower.find(f"</{tag}", at) < 0:
+                continue
         if tag in ENDS_P:
             for depth in range(len(stack) - 1, 0, -1):
                 if nodes[stack[depth]].tag == "p":
@@ -187,6 +211,7 @@ def parse(page: str) -> list[Node]:
         nodes.append(Node(tag, stack[-1], _hint(m[3] or "")))
         stack.append(len(nodes) - 1)
         in_link += tag == "a"
+        in_hidden += tag in HIDES
         run = -1 if tag in BLOCK else run
         if len(stack) > 400:  # deeper nesting says nothing more
             close_to(399)

@@ -136,6 +136,16 @@ def test_pages(spark):
     assert right / seen > 0.97
 
 
+@pytest.mark.parametrize("broken", [
+    '<svg class="icon" viewBox="0 0 9 9"/>', "<svg><path d=x>", "<svg><path d=x/><text>no</text></svg>", "<div><select><option>no</div>", "<select><option>no</select>",
+    "<object data=x>", "<div><object data=x>no</div>", "<object><p>no</object>", "<template>", "<template><div>no</template>", "<svg/><p></p>", "<table><tr><td><svg/></table>",
+])
+def test_page_goes_on_after_hidden_elements(broken):
+    page = f"<html><body><nav><ul><li><a href=a>m</a></ul></nav>{broken}<article><h1>Title</h1><p>One two three.</p><p>Four <svg class=x/> five.</p></article><footer><svg><path d=x></svg>x</footer>"
+    for shown in (page, page.replace("<footer>", "<footer><select><option>b</select>")):
+        assert html_tree.default_model().extract(shown) == "Title\nOne two three.\nFour five."
+
+
 def test_near_duplicates(spark):
     got = minhash.near_duplicates(frame(spark, EDGE), 4, 80).toPandas()
     assert len(got) == len(EDGE)
