@@ -360,19 +360,60 @@ _CLX = "cl AS (SELECT DISTINCT source, dense_rank() OVER (ORDER BY source) - 1 A
 
 @_query(f"WITH {_PL}, {_CLX.format(b=_BIN.replace('t = 1', 'pl.t = 1').replace('p = 1', 'pl.p = 1').replace('t <> 1', 'pl.t <> 1').replace('p <> 1', 'pl.p <> 1'))}, {_DRAW}, rc AS (SELECT rep, cond, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM draws JOIN cx USING (idx) GROUP BY ALL), v AS (SELECT rep, avg({_Z('2 * tp', '2 * tp + fp + fn')}) FILTER (tp + fn > 0) AS v FROM rc GROUP BY rep) {_CI}")
 def bootstrap_macro_ci_md5(spark, sf_dir):
+    ids, c = _macro_counts(spark, sf_dir)
+    return _rounded(resample.macro_over_conditions(c, resample.md5_draws(spark, ids.count(), REPS), "cond"))
+
+
+def _macro_counts(spark, sf_dir):
     rows = _per_label(spark, sf_dir).join(_slots(spark, sf_dir).select("doc_id", "source"), "doc_id")
     ids = resample.clusters(rows.select("source").distinct(), [], "source")
-    c = confusion.binary_counts(rows, ["source", "cond"], "t", "p").join(ids, "source")
-    return _rounded(resample.macro_over_conditions(c, resample.md5_draws(spark, ids.count(), REPS), "cond"))
+    return ids, confusion.binary_counts(rows, ["source", "cond"], "t", "p").join(ids, "source")
 
 
 @_query(f"WITH {_S}, cl AS (SELECT DISTINCT source, dense_rank() OVER (ORDER BY source) - 1 AS idx FROM s), two AS (SELECT source, 'a' AS arm, t, p FROM s UNION ALL SELECT source, 'b' AS arm, t, CAST(n_chars >= 300 AS INT) AS p FROM s), cx AS (SELECT arm, idx, tp, fp, fn, tn FROM (SELECT source, arm, {_BIN} FROM two GROUP BY ALL) JOIN cl USING (source)), {_DRAW}, ra AS (SELECT rep, arm, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM draws JOIN cx USING (idx) GROUP BY ALL), f AS (SELECT rep, arm, {_MF1} AS f FROM ra), v AS (SELECT rep, max(f) FILTER (arm = 'a') - max(f) FILTER (arm = 'b') AS v FROM f GROUP BY rep) {_CI}")
 def paired_bootstrap_md5(spark, sf_dir):
+    ids, c = _arm_counts(spark, sf_dir)
+    return _rounded(resample.paired_interval(c, resample.md5_draws(spark, ids.count(), REPS), "arm", "a", "b"))
+
+
+def _arm_counts(spark, sf_dir):
     s = _slots(spark, sf_dir)
     two = s.select("source", F.lit("a").alias("arm"), "t", "p").union(s.select("source", F.lit("b"), "t", (F.col("n_chars") >= 300).cast("int")))
     ids = resample.clusters(s.select("source").distinct(), [], "source")
-    c = confusion.binary_counts(two, ["source", "arm"], "t", "p").join(ids, "source")
-    return _rounded(resample.paired_interval(c, resample.md5_draws(spark, ids.count(), REPS), "arm", "a", "b"))
+    return ids, confusion.binary_counts(two, ["source", "arm"], "t", "p").join(ids, "source")
+
+
+# The same with the reference's number of replicates, under names of their own: the SQL above is fixed at REPS.
+
+FULL_REPS = 5000
+
+
+def _full(sql: str) -> str:
+    return sql.replace(f"range({REPS})", f"range({FULL_REPS})")
+
+
+@_query(_full(ORACLE_SQL["bootstrap_ci_md5"]))
+def bootstrap_ci_md5_5000(spark, sf_dir):
+    c = _cluster_counts(spark, sf_dir)
+    return _rounded(resample.macro_f1_interval(c, resample.md5_draws(spark, c.count(), FULL_REPS), []))
+
+
+@_query()
+def bootstrap_ci_numpy_5000(spark, sf_dir):
+    c = _cluster_counts(spark, sf_dir)
+    return _rounded(resample.macro_f1_interval(c, resample.numpy_draws(spark, c.count(), FULL_REPS), []))
+
+
+@_query(_full(ORACLE_SQL["bootstrap_macro_ci_md5"]))
+def bootstrap_macro_ci_md5_5000(spark, sf_dir):
+    ids, c = _macro_counts(spark, sf_dir)
+    return _rounded(resample.macro_over_conditions(c, resample.md5_draws(spark, ids.count(), FULL_REPS), "cond"))
+
+
+@_query(_full(ORACLE_SQL["paired_bootstrap_md5"]))
+def paired_bootstrap_md5_5000(spark, sf_dir):
+    ids, c = _arm_counts(spark, sf_dir)
+    return _rounded(resample.paired_interval(c, resample.md5_draws(spark, ids.count(), FULL_REPS), "arm", "a", "b"))
 
 
 # Text: a user's turn and the answer to it.

@@ -36,3 +36,8 @@ def test_same_rows(spark, con, name):
     got, want = catalogue.QUERIES[name](spark, DATA).toPandas(), con.execute(catalogue.ORACLE_SQL[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert _rows(got) == _rows(want)
+
+
+@pytest.mark.parametrize("name", ["bootstrap_ci_md5", "bootstrap_ci_numpy", "bootstrap_macro_ci_md5", "paired_bootstrap_md5"])
+def test_full_number_of_replicates(spark, name):
+    assert catalogue.QUERIES[f"{name}_5000"](spark, DATA).first().n_boot == 5000
