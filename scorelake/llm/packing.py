@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import cut, map_batches, texts_of
+from scorelake.llm.common import cut, map_batches
 from scorelake.llm.wordtok import tokenizer
 
 #: Remainders of at most capacity // FINE tokens are not cut again.
@@ -47,20 +47,19 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int, int]]:
 
 def _pieces(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode, end = tokenizer(path).encode_many, int(end_id).to_bytes(4, "little")
-        rows: list[list] = [[] for _ in range(6)]
-        ids, row_of = [], []
-        for i, data in enumerate(encode(texts_of(batch))):
-            data += end
-            n = len(data) // 4
+        flat, ends = tokenizer(path).encode_array(batch.column("text"), end_id)
+        rows: list[list] = [[] for _ in range(5)]
+        ids, row_of, at, data = [], [], ends.tolist(), memoryview(flat).cast("B") if len(flat) else b""
+        for i in range(batch.num_rows):
+            first, n = at[i], at[i + 1] - at[i]
             for start, length, k in cuts(n, capacity):
-                part = data[4 * start : 4 * (start + length)]
+                a, b = first + start, first + start + length
                 row_of.append(i)
-                for column, value in zip(rows, (start, length, zlib.crc32(part), n, k), strict=False):
+                for column, value in zip(rows, (start, length, zlib.crc32(data[4 * a : 4 * b]), n, k), strict=True):
                     column.append(value)
                 if with_ids:
-                    ids.append(np.frombuffer(part, "<i4"))
-        columns = [batch.column("doc_id").take(pa.array(row_of, pa.int64())), *(pa.array(c, pa.int64()) for c in rows[:5])]
+                    ids.append(flat[a:b].view("<i4"))
+        columns = [batch.column("doc_id").take(pa.array(row_of, pa.int64())), *(pa.array(c, pa.int64()) for c in rows)]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class"]
         if with_ids:
             columns.append(pa.array(ids, pa.list_(pa.int32())))

@@ -29,7 +29,9 @@ def op2_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_orc.new_folder(spark)
     token_orc.write_token_files(_table(spark, sf_dir, "documents"), folder, WORD_VOCABULARY, end_id=1)
-    return token_orc.token_index(token_orc.read_token_files(spark, folder))
+    index = token_orc.token_index(token_orc.read_token_files(spark, folder))
+    token_orc.remove_folder(spark, folder)  # the index is in the checkpoint folder by now
+    return index
 
 
 def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import checkpoint_dir, cut, map_batches, texts_of
+from scorelake.llm.common import checkpoint_dir, cut, map_batches
 from scorelake.llm.wordtok import tokenizer
 
 ROW_STRIDE = 1000
@@ -40,13 +40,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     """
 
     def encode(batches):
-        pos, code, end = 0, tokenizer(tokenizer_path).encode_many, int(end_id).to_bytes(4, "little")
+        pos, encode_array = 0, tokenizer(tokenizer_path).encode_array
         for batch in batches:
-            data = [ids + end for ids in code(texts_of(batch))]
-            ends = np.cumsum([0, *(len(x) // 4 for x in data)])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4"), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, batch.column("part"), pa.array(np.arange(pos, pos + len(data)), pa.int64())], ["doc_id", "ids", "part", "pos"])
-            pos += len(data)
+            flat, ends = encode_array(batch.column("text"), end_id)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view("<i4"), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, batch.column("part"), pa.array(np.arange(pos, pos + batch.num_rows), pa.int64())], ["doc_id", "ids", "part", "pos"])
+            pos += batch.num_rows
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
