@@ -4,28 +4,36 @@ from __future__ import annotations
 
 import gc
 import tempfile
-from collections.abc import Callable, Hashable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scorelake.session import share_code
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where it names none (tests)."""
+    """The shared folder that the cluster names. Where it names none, a temporary one in local mode (tests); a cluster must name one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     folder = named or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="scorelake-checkpoint-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
     return folder
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once, keep it in the checkpoint folder and forget its lineage.
 
@@ -38,15 +46,41 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow over single batches; a batch for which fn gives None is left out."""
+#: At most so many keys are hot, whatever the input; so many rows of a key are none; a hot key's rows are dealt over so many tasks.
+MOST_HOT, NEVER_HOT, SALTS = 20_000, 400, 64
+
+
+def hot_limit(total: int) -> int:
+    """A key with more of `total` rows than this is hot; fewer than MOST_HOT keys can be."""
+    return max(NEVER_HOT, total // MOST_HOT)
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str | list[str], total: int, by: str, how: str = "inner") -> DataFrame:
+    """rows and what facts, one row a key with the number of its rows as n, say of their key.
+
+    Rows of hot keys are dealt over SALTS tasks by the column `by`, and those keys' facts are copied to all of them. The
+    list of hot keys is broadcast; it has fewer than MOST_HOT entries, as rows has at most `total`.
+    """
+    limit, keys = hot_limit(total), [key] if isinstance(key, str) else key
+    hot = facts.where(F.col("n") > limit).select(*keys, F.lit(True).alias("__hot"))
+    place = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", place).drop("__hot")
+    salts = F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = facts.withColumn("__salt", F.explode(salts)).drop("n")
+    return dealt.join(copied, [*keys, "__salt"], how).drop("__salt")
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch] | None], schema: str) -> DataFrame:
+    """mapInArrow over single batches; fn gives one batch, several or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _let_go()
         for batch in batches:
             out = fn(batch)
-            if out is not None:
+            if isinstance(out, pa.RecordBatch):
                 yield out
+            elif out is not None:
+                yield from out
 
     share_code(df.sparkSession)
     return df.mapInArrow(run, schema)

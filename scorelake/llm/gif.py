@@ -2,8 +2,14 @@
 
 `decode` reads any GIF87a or GIF89a image, `render` composes its timed frames, `media_columns` makes
 table columns of them. `encode_payload` stores bytes as the palette indices of frames 64 pixels wide,
-under a grey palette whose entry i is (i, i, i); its code streams start a new table every 254 codes, so
-that all codes have nine bits and both packing and reading are array operations.
+under a grey palette whose entry i is (i, i, i), in code streams whose table grows with every code; a frame is small enough for its
+table not to fill up. Many frames are coded in step, a byte of each at a time: their tables are rows of one array, in which a pair
+of code and byte has one place. A place that another pair holds makes the encoder miss an entry, which only makes the stream longer.
+
+Reading a code stream is array work. The width of a code follows from its place since the last clear code, so
+all codes up to the next one are taken out at once. The entry that a code adds is what the code wrote and one
+byte more, so every entry is a stretch of the output itself: a code's length is its depth in the tree of entries, and each byte
+it writes points to an earlier place. Both are found by following all pointers in steps that double.
 """
 
 from __future__ import annotations
@@ -21,8 +27,13 @@ from pyspark.sql import functions as F
 
 from scorelake.llm.common import map_batches, texts_of
 
-WIDTH, ROWS_A_FRAME, UNIT = 64, 1024, 64
-CLEAR, END, RUN = 256, 257, 254
+WIDTH, ROWS_A_FRAME, UNIT = 64, 59, 64
+#: Fixed values of the format: the widest codes, and how many codes fill a table at most.
+MOST_BITS, MOST_CODES = 12, 4096
+#: So many codes of eight bits can't fill a table. Frames that are coded in step; places in a frame's table; a factor that spreads pairs.
+MOST_LITERALS, STREAMS, PLACES, MIX = MOST_CODES - 258, 1024, 2048, 0x9E3779B1
+#: Streams that are read side by side.
+AT_ONCE = 64
 DELAY_CS = 10
 GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 BINS = 16
@@ -50,29 +61,78 @@ class Gif:
     frames: list[Frame]
 
 
-def _pack9(codes: np.ndarray) -> bytes:
-    """Nine-bit codes, lowest bit first: eight codes make nine bytes."""
-    n = len(codes)
-    c = np.zeros(-(-n // 8) * 8, np.uint16)
-    c[:n] = codes
-    c = c.reshape(-1, 8)
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, 0] = c[:, 0] & 0xFF
-    for k in range(1, 8):
-        out[:, k] = (c[:, k - 1] >> (9 - k)) | ((c[:, k] << k) & 0xFF)
-    out[:, 8] = c[:, 7] >> 1
-    return out.tobytes()[: -(-n * 9 // 8)]
+def _widths(least_bits: int) -> np.ndarray:
+    """The width of the code at each place since a clear code, up to where it stays at MOST_BITS."""
+    known = (1 << least_bits) + 2 + np.maximum(0, np.arange(MOST_CODES) - 1)
+    return np.minimum(MOST_BITS, np.maximum(least_bits + 1, np.floor(np.log2(known)).astype(np.int64) + 1))
 
 
-def _unpack9(data: bytes) -> np.ndarray:
-    n = len(data) * 8 // 9
-    raw = np.zeros(-(-len(data) // 9) * 9, np.uint8)
-    raw[: len(data)] = np.frombuffer(data, np.uint8)
-    b = raw.reshape(-1, 9).astype(np.uint16)
-    out = np.empty((len(b), 8), np.uint16)
-    for k in range(8):
-        out[:, k] = (b[:, k] >> k) | ((b[:, k + 1] << (8 - k)) & 0x1FF)
-    return out.reshape(-1)[:n]
+def lzw_encode(parts: list[bytes]) -> list[bytes]:
+    """The code streams, of least eight bits, of byte strings of at most MOST_LITERALS bytes. Each code adds an entry."""
+    order = sorted(range(len(parts)), key=lambda k: -len(parts[k]))
+    out = [b""] * len(parts)
+    for at in range(0, len(order), STREAMS):
+        some = order[at : at + STREAMS]
+        for k, data in zip(some, _in_step([parts[k] for k in some]), strict=True):
+            out[k] = data
+    return out
+
+
+def _in_step(parts: list[bytes]) -> list[bytes]:
+    """lzw_encode of byte strings in descending order of length."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    if sizes[0] > MOST_LITERALS:
+        raise ValueError(f"a frame has at most {MOST_LITERALS} bytes")
+    steps, clear = int(sizes[0]), 256
+    columns = np.zeros((len(parts), steps), np.uint8)
+    columns[np.arange(steps) < sizes[:, None]] = np.frombuffer(b"".join(parts), np.uint8)
+    columns = np.ascontiguousarray(columns.T).astype(np.int64)
+    active = np.searchsorted(-sizes, -np.arange(steps), side="left")
+    # A place holds the pair (code << 8 | byte) above twelve bits of the entry's code; at first one that no frame gets to.
+    table = np.full(len(parts) * PLACES, 0xFFFFFFFF, np.uint32)
+    row = np.arange(len(parts)) * PLACES
+    codes = np.empty((len(parts), steps + 3), np.int64)
+    codes[:, 0], count = clear, np.ones(len(parts), np.int64)
+    flat, first, last = codes.reshape(-1), np.arange(len(parts)) * codes.shape[1], columns[0].copy() if steps else np.zeros(0, np.int64)
+    for t in range(1, steps):
+        n = active[t]
+        byte = columns[t, :n]
+        pair = last[:n] << 8 | byte
+        place = (pair * MIX >> 20 & PLACES - 1) + row[:n]
+        found = table.take(place)
+        other = found >> MOST_BITS != pair
+        miss = np.flatnonzero(other)
+        ended = count[miss]
+        flat[first[miss] + ended] = last[miss]
+        count[miss] = ended + 1
+        # The first code after the clear code adds the table's first entry.
+        table[place[miss]] = pair[miss] << MOST_BITS | clear + 1 + ended
+        np.copyto(last[:n], found & (1 << MOST_BITS) - 1, casting="unsafe")
+        last[miss] = byte[miss]
+    some = np.flatnonzero(sizes > 0)
+    flat[first[some] + count[some]] = last[some]
+    count[some] += 1
+    flat[first + count] = clear + 1
+    count += 1
+    values = codes[np.arange(codes.shape[1]) < count[:, None]]
+    since = np.arange(len(values)) - np.repeat(np.cumsum(count) - count, count) - 1
+    width = _WIDTHS[8][np.maximum(0, since)]
+    ends = np.cumsum(width)
+    bits = ends[np.cumsum(count) - 1]
+    bits = np.diff(bits, prepend=0)
+    whole = (bits + 7) >> 3
+    begin = np.cumsum(whole) - whole
+    offset = ends - width - np.repeat(np.cumsum(bits) - bits, count)
+    at, shifted, total = np.repeat(begin, count) + (offset >> 3), values << (offset & 7), int(whole.sum())
+    data = sum(np.bincount(at + k, shifted >> 8 * k & 0xFF, total + 2) for k in range(3)).astype(np.uint8).tobytes()
+    return [data[a : a + n] for a, n in zip(begin.tolist(), whole.tolist(), strict=True)]
+
+
+_WIDTHS = {bits: _widths(bits) for bits in range(1, 12)}
+#: By place since a clear code, how far above the clear code a code may be.
+_LIMITS = {bits: np.concatenate([[-1], np.minimum(1 + np.arange(1, MOST_CODES), (1 << MOST_BITS) - 1 - (1 << bits))]) for bits in _WIDTHS}
+_MASKS = ((1 << np.arange(MOST_BITS + 1)) - 1).astype(np.uint32)
+_OFFSETS = {bits: np.concatenate([np.zeros(1, np.int64), np.cumsum(w)]) for bits, w in _WIDTHS.items()}
 
 
 def _blocks(data: bytes) -> bytes:
@@ -83,60 +143,122 @@ def _blocks(data: bytes) -> bytes:
     return first + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def encode_payload(payload: bytes) -> bytes:
-    """A GIF whose frames' indices are the payload; its length is a positive multiple of UNIT."""
-    if not payload or len(payload) % UNIT:
-        raise ValueError("the payload must be a positive multiple of 64 bytes")
-    rows = len(payload) // WIDTH
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, ROWS_A_FRAME), 0xF7, 0, 0), GREY.tobytes()]
-    for top in range(0, rows, ROWS_A_FRAME):
-        part = np.frombuffer(payload, np.uint8, min(ROWS_A_FRAME, rows - top) * WIDTH, top * WIDTH)
-        runs = -(-len(part) // RUN)
-        codes = np.full(runs * (RUN + 1), CLEAR, np.uint16)
-        table = codes.reshape(runs, RUN + 1)
-        padded = np.full(runs * RUN, END, np.uint16)
-        padded[: len(part)] = part
-        table[:, 1:] = padded.reshape(runs, RUN)
-        codes = np.append(codes[: len(part) + runs], np.uint16(END))
-        out += [b"\x21\xf9\x04", struct.pack("<BHB", 0x04, DELAY_CS, 0), b"\0\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0), b"\x08", _blocks(_pack9(codes))]
-    return b"".join(out) + b"\x3b"
-
-
-def lzw_decode(data: bytes, least_bits: int, n: int) -> np.ndarray:
-    """The first n indices of a code stream; a stream that ends early or breaks off gives fewer."""
-    if least_bits == 8:
-        codes = _unpack9(data)
-        at_clear = codes == CLEAR
-        if len(codes) and at_clear[:: RUN + 1].all():
-            stop = np.flatnonzero(codes == END)
-            codes, at_clear = (codes[: stop[0]], at_clear[: stop[0]]) if len(stop) else (codes, at_clear)
-            plain = codes[~at_clear]
-            if (plain < 256).all() and len(plain) >= n:
-                return plain[:n].astype(np.uint8)
-    clear, end = 1 << least_bits, (1 << least_bits) + 1
-    table = [bytes([i]) for i in range(clear)] + [b"", b""]
-    out, size, acc, have, last = [], least_bits + 1, 0, 0, None
-    made = 0
-    for byte in data:
-        acc |= byte << have
-        have += 8
-        while have >= size:
-            code, acc, have = acc & ((1 << size) - 1), acc >> size, have - size
-            if code == clear:
-                del table[clear + 2 :]
-                size, last = least_bits + 1, None
-                continue
-            if code == end or made >= n or (last is None and code >= clear) or code > len(table):
-                return np.frombuffer(b"".join(out), np.uint8)[:n]
-            entry = table[code] if code < len(table) else last + last[:1]
-            if last is not None and len(table) < 4096:
-                table.append(last + entry[:1])
-                if len(table) == 1 << size and size < 12:
-                    size += 1
-            out.append(entry)
-            made += len(entry)
-            last = entry
-    return np.frombuffer(b"".join(out), np.uint8)[:n]
+def encode_payloads(payloads: list[bytes]) -> list[bytes]:
+    """GIFs whose frames' indices are the payloads, whose lengths are positive multiples of UNIT."""
+    if any(not p or len(p) % UNIT for p in payloads):
+        raise ValueError("a payload must be a positive multiple of 64 bytes")
+    size = WIDTH * ROWS_A_FRAME
+    parts = [[p[at : at + size] for at in range(0, len(p), size)] for p in payloads]
+    streams, out = iter(lzw_encode([part for own in parts for part in own])), []
+    for own in parts:
+        image = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(ROWS_A_FRAME, len(own[0]) // WIDTH), 0xF7, 0, 0), GREY.tobytes()]
+        for part in own:
+            image += [b"\x21\xf9\x04", struct.pack("<BHB", 0x04, DELAY_CS, 0), b"\0\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0), b"\x08", _blocks(next(streams))]
+        out.append(b"".join(image) + b"\x3b")
+    return out
+
+
+@dataclass
+class Stream:
+    """A code stream: its data, least bits, and how many indices are wanted."""
+
+    data: bytes
+    least_bits: int
+    n: int
+
+
+def lzw_decode(streams: list[Stream]) -> list[np.ndarray]:
+    """The first n indices of every code stream; one that ends early or breaks off gives fewer."""
+    out: list[list[np.ndarray]] = [[] for _ in streams]
+    for bits in {x.least_bits for x in streams if 1 <= x.least_bits < MOST_BITS}:
+        some = [k for k, x in enumerate(streams) if x.least_bits == bits and x.n > 0]
+        for at in range(0, len(some), AT_ONCE):
+            _read(streams, some[at : at + AT_ONCE], bits, out)
+    return [np.concatenate(parts) if parts else np.empty(0, np.uint8) for parts in out]
+
+
+def _read(streams: list[Stream], some: list[int], least_bits: int, out: list[list[np.ndarray]]) -> None:
+    """Read what some streams write up to their next clear codes, again and again; all have the same least bits."""
+    clear, offsets, widths, limits = 1 << least_bits, _OFFSETS[least_bits], _WIDTHS[least_bits], _LIMITS[least_bits]
+    joined = b"".join([streams[k].data for k in some]) + bytes(4)
+    window = np.ndarray((len(joined) - 3,), "<u4", joined, 0, (1,))  # the four bytes from every byte on
+    sizes = np.fromiter((len(streams[k].data) for k in some), np.int64, len(some))
+    base, bits = np.cumsum(sizes) - sizes, 8 * sizes
+    wanted = np.fromiter((streams[k].n for k in some), np.int64, len(some))
+    at, pending = np.zeros(len(some), np.int64), np.arange(len(some))
+    # Codes since the last clear code of a stream whose full table isn't cleared, and so goes on with the widest codes.
+    held: dict[int, np.ndarray] = {}
+    while len(pending):
+        had = np.array([len(held[k]) if k in held else 0 for k in pending.tolist()]) if held else np.zeros(len(pending), np.int64)
+        # No more codes than bits are left for, each of at least least_bits + 1.
+        most = np.minimum(np.minimum(MOST_CODES, wanted[pending] - had + 1), (bits - at)[pending] // (least_bits + 1) + 1)
+        starts = np.cumsum(most) - most
+        of = np.repeat(np.arange(len(pending)), most)
+        since = np.arange(len(of)) - np.repeat(starts, most)
+        offset, width, limit = offsets[since], widths[since], limits[since]
+        if held:
+            again = (had > 0)[of]
+            offset, width, limit = np.where(again, MOST_BITS * since, offset), np.where(again, MOST_BITS, width), np.where(again, limits[-1], limit)
+        offset = offset + np.repeat(at[pending], most)
+        fits = offset + width <= np.repeat(bits[pending], most)
+        byte = np.repeat(base[pending], most) + np.where(fits, offset >> 3, 0)
+        above = ((window[byte] >> (offset & 7).astype(np.uint32)) & _MASKS[width]).astype(np.int64) - clear
+        wrong = above > limit
+        wrong |= above >> 1 == 0
+        wrong |= ~fits
+        stop = np.minimum.reduceat(np.where(wrong, since, MOST_CODES), starts)
+        stop = np.minimum(stop, most)
+        keep = since < stop[of]
+        codes, own = above[keep] + clear, of[keep]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(stop)])
+        last = starts + np.minimum(stop, most - 1)
+        cleared = (stop < most) & fits[last] & (above[last] == 0)
+        following, full = offset[last] + width[last], stop == most
+        if (had > 0).any() or full.any():
+            parts, ready = [], []
+            for k, i in enumerate(pending.tolist()):
+                part = codes[ends[k] : ends[k + 1]]
+                part = np.concatenate([held.pop(i), part]) if i in held else part
+                if full[k] and len(part) < wanted[i]:
+                    held[i] = part
+                else:
+                    parts.append(part)
+                    ready.append(k)
+            ready = np.array(ready, np.int64)
+            codes, stop = (np.concatenate(parts) if parts else codes[:0]), np.array([len(p) for p in parts], np.int64)
+            own = np.repeat(np.arange(len(ready)), stop)
+        else:
+            ready = np.arange(len(pending))
+        written, made = _stretch(codes, own, stop, clear)
+        at[pending] = following
+        cuts = np.concatenate([np.zeros(1, np.int64), np.cumsum(made)]).tolist()
+        for k, i in enumerate(pending[ready].tolist()):
+            if made[k]:
+                out[some[i]].append(written[cuts[k] : cuts[k + 1]][: wanted[i]])
+                wanted[i] = max(0, wanted[i] - made[k])
+        go_on = np.zeros(len(pending), bool)
+        go_on[ready] = cleared[ready] & (wanted[pending[ready]] > 0)
+        go_on |= np.array([i in held for i in pending.tolist()], bool)
+        pending = pending[go_on]
+
+
+def _stretch(codes: np.ndarray, of: np.ndarray, n_codes: np.ndarray, clear: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the codes of several streams since their clear codes write, end to end, and how much each stream does. All codes are bytes or entries that are known by then."""
+    begin = np.cumsum(n_codes) - n_codes
+    entry = codes > clear
+    up = np.where(entry, begin[of] + codes - clear - 2, np.arange(len(codes)))
+    depth, above = entry.astype(np.int64), up
+    while (more := depth[above]).any():
+        depth, above = depth + more, above[above]
+    sizes = depth + 1
+    first = np.cumsum(sizes) - sizes
+    source = np.arange(int(sizes.sum())) + np.repeat(first[up] - first, sizes)
+    while not np.array_equal(earlier := source[source], source):
+        source = earlier
+    written = np.zeros(len(source), np.uint8)
+    written[first[~entry]] = codes[~entry]
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+    return written[source], total[begin + n_codes] - total[begin]
 
 
 def _deinterlaced(rows: np.ndarray) -> np.ndarray:
@@ -148,8 +270,8 @@ def _deinterlaced(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def decode(data: bytes) -> Gif:
-    """Frames with their raw indices; missing indices count as 0. Raises BadGif if the structure is broken."""
+def _parse(data: bytes) -> tuple[Gif, list[tuple[Stream, bool]]]:
+    """The frames, without indices, and each one's code stream and whether it is interlaced. Raises BadGif if the structure is broken."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise BadGif("no GIF header")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
@@ -158,7 +280,7 @@ def decode(data: bytes) -> Gif:
         n = 2 << (flags & 7)
         palette = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
         at += 3 * n
-    frames: list[Frame] = []
+    gif, streams = Gif(width, height, []), []
     delay, disposal, transparent = 0, 0, None
 
     def chain(at: int) -> tuple[bytes, int]:
@@ -184,42 +306,74 @@ def decode(data: bytes) -> Gif:
                     own = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
                     at += 3 * n
                 body, after = chain(at + 1)
-                got = lzw_decode(body, data[at], w * h)
-                indices = np.zeros(w * h, np.uint8)
-                indices[: len(got)] = got
-                indices = indices.reshape(h, w)
-                frames.append(Frame(left, top, _deinterlaced(indices) if flags & 0x40 else indices, own, delay, disposal, transparent))
+                streams.append((Stream(body, data[at], w * h), bool(flags & 0x40)))
+                gif.frames.append(Frame(left, top, np.zeros((h, w), np.uint8), own, delay, disposal, transparent))
                 at, delay, disposal, transparent = after, 0, 0, None
             else:
                 raise BadGif(f"unknown block {data[at]:#x}")
     except (IndexError, struct.error, ValueError) as e:
         raise BadGif(f"broken off: {e}") from e
-    return Gif(width, height, frames)
+    return gif, streams
+
+
+def decode_many(images: list[bytes | None]) -> list[Gif | BadGif]:
+    """Frames with their raw indices; missing indices count as 0. An image of broken structure gives the error."""
+    out: list[Gif | BadGif] = []
+    streams: list[tuple[Frame, Stream, bool]] = []
+    for data in images:
+        try:
+            if data is None:
+                raise BadGif("null")
+            gif, own = _parse(data)
+            streams += [(frame, *x) for frame, x in zip(gif.frames, own, strict=True)]
+            out.append(gif)
+        except BadGif as e:
+            out.append(e)
+    for (frame, _, interlaced), got in zip(streams, lzw_decode([x for _, x, _ in streams]), strict=True):
+        shape = frame.indices.shape
+        if len(got) < shape[0] * shape[1]:
+            got = np.concatenate([got, np.zeros(shape[0] * shape[1] - len(got), np.uint8)])
+        frame.indices = _deinterlaced(got.reshape(shape)) if interlaced else got.reshape(shape)
+    return out
+
+
+def decode(data: bytes) -> Gif:
+    """decode_many for one image. Raises BadGif if the structure is broken."""
+    (made,) = decode_many([data])
+    if isinstance(made, BadGif):
+        raise made
+    return made
 
 
 def render(gif: Gif) -> Iterator[tuple[np.ndarray, int]]:
-    """Each frame as shown: RGBA pixels of the canvas and its delay in hundredths of a second."""
+    """Each frame as shown: RGBA pixels of the canvas and its delay in hundredths of a second. The pixels hold until the next frame is asked for."""
     canvas = np.zeros((gif.height, gif.width, 4), np.uint8)
+    cells = canvas.view(np.uint32)[..., 0]
     for f in gif.frames:
-        before = canvas.copy() if f.disposal == 3 else None
         h, w = max(0, min(f.indices.shape[0], gif.height - f.top)), max(0, min(f.indices.shape[1], gif.width - f.left))
         part = f.indices[:h, :w]
         colours = np.zeros((256, 4), np.uint8)
         colours[: len(f.palette), :3], colours[:, 3] = f.palette, 255
-        view = canvas[f.top : f.top + h, f.left : f.left + w]
-        shown = np.ones(part.shape, bool) if f.transparent is None else part != f.transparent
-        view[shown] = colours[part][shown]
-        yield canvas.copy(), f.delay_cs
+        if f.transparent is not None:
+            colours[f.transparent] = 0
+        view = cells[f.top : f.top + h, f.left : f.left + w]
+        before = view.copy() if f.disposal == 3 else None
+        shown = colours.view(np.uint32)[:, 0][part]
+        view[:] = shown if f.transparent is None else np.where(part == f.transparent, view, shown)
+        yield canvas, f.delay_cs
         if f.disposal == 2:
             view[:] = 0
         elif f.disposal == 3:
-            canvas = before
+            view[:] = before
 
 
 def histogram(pixels: np.ndarray, bins: int = BINS) -> list[int]:
     """Counts of the opaque pixels by red, then green, then blue in `bins` equal ranges each."""
-    opaque = pixels[pixels[..., 3] > 0]
-    return [int(n) for c in range(3) for n in np.bincount(opaque[:, c].astype(np.int64) * bins // 256, minlength=bins)]
+    flat = pixels.reshape(-1, 4)
+    if not flat[:, 3].all():
+        flat = flat[flat[:, 3] > 0]
+    by_value = (np.bincount(flat[:, c], minlength=256) for c in range(3))
+    return [int(n) for counts in by_value for n in np.bincount(np.arange(256) * bins // 256, counts, bins)]
 
 
 def media_columns(images: DataFrame) -> DataFrame:
@@ -233,17 +387,15 @@ def media_columns(images: DataFrame) -> DataFrame:
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for data in batch.column("gif").to_pylist():
-            try:
-                if data is None:
-                    raise BadGif("null")
-                gif, start, frames = decode(data), 0, []
-                for pixels, delay in render(gif):
-                    frames.append({"start_ms": start, "duration_ms": delay * 10, "rgba": pixels.tobytes(), "histogram": histogram(pixels)})
-                    start += delay * 10
-                rows.append((gif.width, gif.height, len(frames), frames, None))
-            except BadGif as e:
-                rows.append((None, None, None, None, str(e)))
+        for gif in decode_many(batch.column("gif").to_pylist()):
+            if isinstance(gif, BadGif):
+                rows.append((None, None, None, None, str(gif)))
+                continue
+            start, frames = 0, []
+            for pixels, delay in render(gif):
+                frames.append({"start_ms": start, "duration_ms": delay * 10, "rgba": pixels.tobytes(), "histogram": histogram(pixels)})
+                start += delay * 10
+            rows.append((gif.width, gif.height, len(frames), frames, None))
         types = [pa.int32(), pa.int32(), pa.int32(), kind, pa.string()]
         return pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], ["id", "width", "height", "n_frames", "frames", "error"])
 
@@ -259,22 +411,21 @@ def text_media(docs: DataFrame, with_media: bool = False) -> DataFrame:
     """docs: doc_id long, text string; other columns are ignored. Null text counts as empty.
 
     Each text's UTF-8 bytes, padded with zeros to a positive multiple of 64, are stored as a GIF and read
-    back by the decoder. Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature (frames, time shown and a 16-bin grey histogram), and with_media the GIF. All
+    back by the decoder; the feature comes from its rendered frames. Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, feature (frames, time shown and the colour histogram over all frames), and with_media the GIF. All
     but n_bytes, media_bytes and media_sha256 come from the stored form. Equal texts have equal values;
     repeated rows and null doc_ids stay; an empty table gives an empty one.
     """
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, media = [], []
-        for text in texts_of(batch):
-            payload, n = padded(text)
-            stored = encode_payload(payload)
-            gif = decode(stored)
+        payloads = [padded(text) for text in texts_of(batch)]
+        images = encode_payloads([payload for payload, _ in payloads])
+        for stored, gif, (_, n) in zip(images, decode_many(images), payloads, strict=True):
             back = b"".join([f.indices.tobytes() for f in gif.frames])
-            # Grey and opaque, so a frame's histogram is that of its indices.
-            counts = np.bincount(np.frombuffer(back, np.uint8), minlength=256).reshape(BINS, -1).sum(axis=1)
-            feature = f"frames={len(gif.frames)};ms={sum(f.delay_cs for f in gif.frames) * 10};grey={','.join(map(str, counts.tolist()))}"
+            shown = [(histogram(pixels), delay) for pixels, delay in render(gif)]
+            counts = np.sum([h for h, _ in shown], axis=0)
+            feature = f"frames={len(shown)};ms={sum(d for _, d in shown) * 10};rgb={','.join(map(str, counts.tolist()))}"
             rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
             media.append(stored if with_media else None)
         names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -66,13 +67,37 @@ def test_byte_bpe(spark):
     other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
     pool = list("aaaabbc  \n\t'sdtre.,!?0123é漢字́  \x1c\x85<|>")
     for text in ["".join(RND.choice(pool) for _ in range(RND.choice([0, 5, 60, 700]))) for _ in range(300)] + ["a" * 5000, "abc" * 900]:
-        assert bpe.encode(text) == other.encode_ordinary(text) and bpe.round_trips([text]) == [(" ".join(map(str, bpe.encode(text))), text.encode())]
+        (ids, back, n), = bpe.round_trips(pa.array([text]))
+        assert bpe.encode(text) == other.encode_ordinary(text) and bytes(ids).decode() == " ".join(map(str, bpe.encode(text))) and bytes(back) == text.encode() and n == len(bpe.encode(text))
     rows = byte_bpe.byte_bpe(frame(spark, EDGE), BYTE_RANKS, public_tokenizers.PATTERN).toPandas()
     assert len(rows) == len(EDGE) and set(rows[rows.doc_id == 4].ids_sha256) == {hashlib.sha256(b"").hexdigest()}
 
 
-def _lzw(data, bits):
-    """A plain encoder with a growing table."""
+def _plain_lzw(data, bits):
+    """A plain decoder: a table of byte strings, a code at a time."""
+    clear, out, acc, have = 1 << bits, [], 0, 0
+    table, size, last = [bytes([i]) for i in range(clear)] + [b"", b""], bits + 1, None
+    for byte in data:
+        acc, have = acc | byte << have, have + 8
+        while have >= size:
+            code, acc, have = acc & (1 << size) - 1, acc >> size, have - size
+            if code == clear:
+                del table[clear + 2 :]
+                size, last = bits + 1, None
+                continue
+            if code == clear + 1 or last is None and code > clear or code > len(table) or code == len(table) == 4096:
+                return b"".join(out)
+            entry = table[code] if code < len(table) else last + last[:1]
+            if last is not None and len(table) < 4096:
+                table.append(last + entry[:1])
+                size += len(table) == 1 << size and size < 12
+            out.append(entry)
+            last = entry
+    return b"".join(out)
+
+
+def _lzw(data, bits, clears=True):
+    """A plain encoder with a growing table; without `clears`, a full table stays."""
     clear = 1 << bits
     table, size, acc, have, out = {bytes([i]): i for i in range(clear)}, bits + 1, 0, 0, bytearray()
 
@@ -90,12 +115,14 @@ def _lzw(data, bits):
             last = longer
             continue
         put(table[last])
-        if following == 4096:
+        if following == 4096 and not clears:
+            pass
+        elif following == 4096:
             put(clear)
             table, size, following = {bytes([i]): i for i in range(clear)}, bits + 1, clear + 2
         else:
             table[longer] = following
-            size += following == 1 << size
+            size += following == 1 << size and size < 12
             following += 1
         last = bytes([byte])
     put(table[last])
@@ -104,9 +131,23 @@ def _lzw(data, bits):
 
 
 def test_gif(spark):
-    for n in (64, 64 * 1025, 64 * 3000):
-        data = RND.randbytes(n)
-        assert b"".join(f.indices.tobytes() for f in gif.decode(gif.encode_payload(data)).frames) == data
+    payloads = [RND.randbytes(n) for n in (64, 64 * 1025, 64 * 3000)] + [(text * (n + 1))[:n].encode() for text, n in (("a", 64 * 700), (BASE, 64 * 59), (BASE, 64 * 60))]
+    for data, made, stored in zip(payloads, gif.decode_many(gif.encode_payloads(payloads)), gif.encode_payloads(payloads), strict=True):
+        assert b"".join(f.indices.tobytes() for f in made.frames) == data
+        assert b"".join(_plain_lzw(x.data, x.least_bits) for x, _ in gif._parse(stored)[1]) == data
+    assert len(gif.encode_payloads([payloads[3]])[0]) < 0.2 * len(payloads[3])
+    streams = []
+    for bits, n, kinds in ((8, 100_000, 3), (8, 30_000, 256), (2, 9000, 4), (5, 20_000, 32), (8, 0, 1)):
+        data = bytes(RND.randrange(kinds) for _ in range(n))
+        coded = _lzw(data, bits) if n else b"\x00"
+        streams += [(data, gif.Stream(coded, bits, n)), (data[: n // 2], gif.Stream(coded, bits, n // 2)), (_plain_lzw(coded[: n // 9], bits), gif.Stream(coded[: n // 9], bits, n))]
+        streams.append((_plain_lzw(never := _lzw(data, bits, clears=False), bits)[:n], gif.Stream(never, bits, n))) if n else None
+    for (data, _), got in zip(streams, gif.lzw_decode([s for _, s in streams]), strict=True):
+        assert got.tobytes() == data
+    for _ in range(60):
+        noise, bits = RND.randbytes(300), RND.choice((2, 4, 8))
+        (got,) = gif.lzw_decode([gif.Stream(noise, bits, 5000)])
+        assert got.tobytes() == _plain_lzw(noise, bits)[:5000]
     pixels = bytes(RND.choice((0, 1, 1, 2, 3)) for _ in range(60 * 90))
     head = b"GIF89a" + bytes([60, 0, 90, 0, 0x81, 0, 0]) + bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
     control = b"\x21\xf9\x04\x05\x07\x00\x03\x00"
