@@ -100,6 +100,27 @@ def pairwise_delta(summaries: DataFrame, by: list[str], model: str, value: list[
 
 
 def aligned(rows: DataFrame, by: list[str], model: str, image: str, position: str) -> DataFrame:
-    """Whether all models of a group have the same images in the same order, by a digest of each one's list."""
-    lists = rows.groupBy(*by, model).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.col(position), F.col(image))).alias("digest"))
-    return lists.groupBy(*by).agg(F.count("*").cast("bigint").alias("models"), (F.count_distinct("n", "digest") == 1).alias("aligned"))
+    """Whether the models of a group (two at least) have the same images in the same order: each one's positions are
+    ranked from 1, and a digest of (rank, image) pairs is compared."""
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by, model).orderBy(position, image)))
+    pair = F.xxhash64("__r", image)
+    lists = ranked.groupBy(*by, model).agg(F.count("*").alias("n"), F.bit_xor(pair).alias("x"), F.sum(F.shiftright(pair, 34)).alias("s"))
+    return lists.groupBy(*by).agg(F.count("*").cast("bigint").alias("models"), ((F.count_distinct("n", "x", "s") == 1) & (F.count("*") > 1)).alias("aligned"))
+
+
+def merged_report(summaries: DataFrame, conditions: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows by condition beside their run's summary and intervals; runs without intervals stay."""
+    return conditions.join(summaries, keys).join(intervals, keys, "left")
+
+
+def slot_inventory(truth: DataFrame, images: DataFrame, image: list[str], location: str, slots: int) -> DataFrame:
+    """One row: images, all their slots, those with a finding and those without."""
+    n = images.agg(F.count_distinct(*image).alias("images"))
+    abnormal = truth.select(*image, location).distinct().agg(F.count("*").alias("abnormal"))
+    return abnormal.crossJoin(n).select("images", (F.col("images") * slots).alias("slots"), "abnormal", (F.col("images") * slots - F.col("abnormal")).alias("clear"))
+
+
+def labels_per_slot(truth: DataFrame, image: list[str], location: str, condition: str) -> DataFrame:
+    """How many slots have how many labels."""
+    per = truth.select(*image, location, condition).distinct().groupBy(*image, location).agg(F.count("*").alias("labels"))
+    return per.groupBy("labels").agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ a table (rep, idx, w): by md5, reproducible in any SQL engine, or by NumPy's gen
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,19 @@ from scorelake.operators.confusion import macro_f1
 
 
 def clusters(rows: DataFrame, by: list[str], cluster: str) -> DataFrame:
-    """Rows with idx: the cluster's place in its group, from 0."""
-    return rows.withColumn("idx", (F.dense_rank().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(cluster)) - 1).cast("bigint"))
+    """Rows with idx: the cluster's place in its group, from 0.
+
+    The distinct clusters are sorted by range partitions and numbered within each; the partitions' counts give the rest, so no task sees all.
+    """
+    keys = rows.select(*by, cluster).distinct().repartitionByRange(*by, cluster).sortWithinPartitions(*by, cluster)
+    # Ids are partition << 33 | place, so they ascend as the clusters do.
+    keys = keys.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
+    sizes = keys.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part")) - F.col("__n")).alias("__before"))
+    keys = keys.join(F.broadcast(before), "__part").withColumn("__place", F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1)).select(*by, cluster, "__place")
+    if by:
+        keys = keys.join(keys.groupBy(*by).agg(F.min("__place").alias("__first")), by).withColumn("__place", F.col("__place") - F.col("__first")).drop("__first")
+    return rows.join(keys.withColumnRenamed("__place", "idx"), [*by, cluster])
 
 
 def md5_draws(spark: SparkSession, n: int, reps: int, seed: int = 42) -> DataFrame:
@@ -28,13 +40,17 @@ def md5_draws(spark: SparkSession, n: int, reps: int, seed: int = 42) -> DataFra
 
 
 def numpy_draws(spark: SparkSession, n: int, reps: int, seed: int = 42) -> DataFrame:
-    """The same from default_rng(seed).integers, replicate after replicate; made on the driver, at most reps x n rows."""
-    rng = np.random.default_rng(seed)
-    rows = []
-    for rep in range(reps):
-        weights = np.bincount(rng.integers(0, n, size=n), minlength=n)
-        rows += [(rep, int(i), int(weights[i])) for i in np.flatnonzero(weights)]
-    return spark.createDataFrame(rows, "rep long, idx long, w long")
+    """The same from default_rng(seed).integers, replicate after replicate. The generator's stream has no places to jump to, so one task makes it, a replicate at a time."""
+
+    def draw(frames):
+        for frame in frames:
+            rng = np.random.default_rng(seed)
+            for rep in range(reps if len(frame) else 0):
+                weights = np.bincount(rng.integers(0, n, size=n), minlength=n)
+                idx = np.flatnonzero(weights)
+                yield pd.DataFrame({"rep": np.full(len(idx), rep), "idx": idx, "w": weights[idx]})
+
+    return spark.range(1, numPartitions=1).mapInPandas(draw, "rep long, idx long, w long")
 
 
 def replicates(counts: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:
@@ -64,3 +80,59 @@ def paired_interval(counts: DataFrame, draws: DataFrame, arm: str, first: str, s
     per = replicates(counts, draws, [arm]).withColumn("f1", macro_f1())
     wide = per.groupBy("rep").agg(F.max(F.when(F.col(arm) == first, F.col("f1"))).alias("a"), F.max(F.when(F.col(arm) == second, F.col("f1"))).alias("b"))
     return interval(wide, [], F.col("a") - F.col("b"))
+
+
+def _summed(counts: DataFrame, draws: DataFrame, by: list[str], names: tuple[str, ...]) -> DataFrame:
+    return counts.join(draws, "idx").groupBy(*by, "rep").agg(F.sum("w").alias("images"), *(F.sum(F.col("w") * F.col(c)).alias(c) for c in names))
+
+
+#: Scores of findings over images; undefined ones are null and drop out of their own interval only.
+FINDING_SCORES = ("precision", "recall", "f1", "chr", "image_rate")
+
+
+def _finding_scores(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows: tp, fp, fn, hit (images with a false finding) and images, summed."""
+    chr_ = rates.ratio(F.col("fp"), F.col("tp") + F.col("fp"))
+    scores = (rates.precision(), rates.recall(), rates.f1_of_rates(), chr_, rates.ratio(F.col("hit"), F.col("images")))
+    return rows.select(*by, *(x.alias(n) for x, n in zip(scores, FINDING_SCORES, strict=True)))
+
+
+def finding_intervals(images: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:
+    """images: by, idx, tp, fp and fn of each image. Returns by, metric, point, low, high, mean and n_boot, all of an image's findings staying together."""
+    images = images.withColumn("hit", (F.col("fp") > 0).cast("int"))
+    long = lambda rows: rows.select(*by, F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in FINDING_SCORES))).alias("x")).select(*by, "x.*")
+    point = long(_finding_scores(images.groupBy(*by).agg(F.count("*").alias("images"), *(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "hit"))), by)).withColumnRenamed("v", "point")
+    drawn = long(_finding_scores(_summed(images, draws, by, ("tp", "fp", "fn", "hit")), by))
+    return point.join(interval(drawn, [*by, "metric"], F.col("v")), [*by, "metric"], "left").fillna(0, ["n_boot"])
+
+
+def paired_findings(images: DataFrame, draws: DataFrame, model: str, first: str, second: str) -> DataFrame:
+    """One row: CHR and false findings an image of two models on the same images (by idx), their differences and the intervals of these.
+
+    A replicate in which either CHR is undefined is left out of that interval alone.
+    """
+    side = lambda x: images.where(F.col(model) == x)
+    both = side(first).select("idx", F.col("tp").alias("tp_a"), F.col("fp").alias("fp_a")).join(side(second).select("idx", F.col("tp").alias("tp_b"), F.col("fp").alias("fp_b")), "idx")
+    names = ("tp_a", "fp_a", "tp_b", "fp_b")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        chr_ = lambda s: rates.ratio(F.col(f"fp_{s}"), F.col(f"tp_{s}") + F.col(f"fp_{s}")).alias(f"chr_{s}")
+        out = rows.select("images", chr_("a"), chr_("b"), *(rates.ratio(F.col(f"fp_{s}"), F.col("images")).alias(f"fp_per_image_{s}") for s in "ab"))
+        return out.select("*", (F.col("chr_a") - F.col("chr_b")).alias("chr_delta"), (F.col("fp_per_image_a") - F.col("fp_per_image_b")).alias("fp_per_image_delta"))
+
+    point = scored(both.agg(F.count("*").alias("images"), *(F.sum(c).alias(c) for c in names)))
+    q = lambda c, p, a: F.percentile(c, F.lit(p)).alias(f"{c}_{a}")
+    drawn = scored(_summed(both, draws, [], names))
+    return point.crossJoin(drawn.agg(*(q(c, p, a) for c in ("chr_delta", "fp_per_image_delta") for p, a in ((0.025, "low"), (0.975, "high")))))
+
+
+def paired_macro_interval(counts: DataFrame, draws: DataFrame, arm: str, first: str, second: str, condition: str) -> DataFrame:
+    """Interval of macro F1 over conditions of `first` less `second`, both under the same draws, and the difference itself.
+
+    A condition without support in a replicate is left out there; the truth is the arms' own, so both leave out the same.
+    """
+    f1 = F.avg(F.when(F.col("tp") + F.col("fn") > 0, rates.f1_of_counts(F.col("tp"), F.col("fp"), F.col("fn")))).alias("f1")
+    of = lambda x: F.max(F.when(F.col(arm) == x, F.col("f1")))
+    drawn = replicates(counts, draws, [arm, condition]).groupBy(arm, "rep").agg(f1).groupBy("rep").agg(of(first).alias("a"), of(second).alias("b"))
+    whole = counts.groupBy(arm, condition).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))).groupBy(arm).agg(f1).agg((of(first) - of(second)).alias("delta"))
+    return interval(drawn, [], F.col("a") - F.col("b")).crossJoin(whole)

@@ -66,3 +66,53 @@ def ordered_models(models: DataFrame, model: str, known: list[str]) -> DataFrame
 def audit_sample(rows: DataFrame, by: list[str], key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows a group in the order of a digest of seed and key."""
     return ranked(rows, by, [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)]).where(F.col("rank") <= n)
+
+
+def plain_order(key: str) -> list[Column]:
+    """By the text alone: a_10 before a_2."""
+    return [F.col(key)]
+
+
+def first_cases(cases: DataFrame, order: list[Column | str], n: int | None) -> DataFrame:
+    """The first n cases, or all of them where n is None or 0."""
+    return cases.orderBy(*order).limit(n) if n else cases
+
+
+def first_of_models(rows: DataFrame, model: str, order: list[str], by: list[str], within: list[Column | str]) -> DataFrame:
+    """The first row of each group among those of the first model, in the given order, that has any row in it."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(model))
+    return first_match(rows.where(place > 0), by, [place, *within])
+
+
+def same_strategy(done: DataFrame, strategy: str, wanted: str) -> DataFrame:
+    """done, unless a row was made with another strategy: then evaluating it is an error."""
+    other = F.raise_error(F.concat(F.lit(f"this run uses {wanted}, but a finished one "), F.coalesce(F.col(strategy), F.lit("none")))).cast("boolean")
+    return done.where(F.when(F.coalesce(F.col(strategy) == wanted, F.lit(False)), F.lit(True)).otherwise(other))
+
+
+def hard_cases(images: DataFrame, tests: dict[str, Column], order: list[Column | str]) -> DataFrame:
+    """The first image of each test, by the given order, with `role`; an image of several tests keeps the last one's name."""
+    at = F.struct(*order)
+    first = images.agg(*(F.min(F.when(test, at)).alias(role) for role, test in tests.items()))
+    picks = first.select(F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(r).alias("role"), F.col(r).alias("__at")) for i, r in enumerate(tests)))).alias("x")).select("x.*")
+    picks = picks.where(F.col("__at").isNotNull()).groupBy("__at").agg(F.max_by("role", "ord").alias("role"))
+    return images.withColumn("__at", at).join(picks, "__at").drop("__at")
+
+
+def audit_cases(images: DataFrame, hard: DataFrame, key: str, n: int = 10, seed: int = 42) -> DataFrame:
+    """key and role: the hard cases, then others in the order of a digest of seed and key, n in all."""
+    others = images.select(key).distinct().join(hard.select(key), key, "left_anti").withColumn("role", F.lit(None).cast("string"))
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    both = hard.select(key, "role", F.lit(0).alias("__o")).unionByName(others.withColumn("__o", F.lit(1)))
+    return both.orderBy("__o", drawn, key).limit(n).select(key, "role")
+
+
+def whiskers(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """A box plot's whiskers, the furthest values within one and a half times the quartiles' distance of the box, and the number of values beyond."""
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
+    box = rows.groupBy(*by).agg(q.alias("__q")).select(*by, F.col("__q")[0].alias("__q1"), F.col("__q")[1].alias("__q3"))
+    reach = 1.5 * (F.col("__q3") - F.col("__q1"))
+    low, high, v = F.col("__q1") - reach, F.col("__q3") + reach, F.col(value)
+    return rows.join(box, by).groupBy(*by).agg(
+        F.count_if((v < low) | (v > high)).alias("outliers"), F.min(F.when(v >= low, v)).alias("whisker_low"), F.max(F.when(v <= high, v)).alias("whisker_high")
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,27 +22,46 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) < n, none).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " ")))
 
 
-def overlap(pairs: DataFrame, key: str, ref: str, hyp: str, n: int) -> DataFrame:
-    """key, hits (clipped), n_ref, n_hyp of the n-grams of token columns; pairs without any n-gram stay."""
-    grams = lambda c, a: pairs.select(key, F.explode(ngrams(F.col(c), n)).alias("g")).groupBy(key, "g").agg(F.count("*").alias(a))
-    both = grams(ref, "r").join(grams(hyp, "h"), [key, "g"], "full_outer").fillna(0, ["r", "h"])
-    sums = both.groupBy(key).agg(F.sum(F.least("r", "h")).alias("hits"), F.sum("r").alias("n_ref"), F.sum("h").alias("n_hyp"))
-    return pairs.select(key).join(sums, key, "left").fillna(0, ["hits", "n_ref", "n_hyp"])
+def overlaps(pairs: DataFrame, keep: list[str], ref: str, hyp: str, sizes: tuple[int, ...]) -> DataFrame:
+    """A row for each row of pairs, repeated keys too: keep, and for each n hits_n (clipped), ref_n and hyp_n of the n-grams of token columns.
+
+    Rows are dealt out once, by a number of their own, so that n-grams are counted and summed where they are made.
+    """
+    grams = lambda c, n, r, h: F.transform(ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(r).alias("r"), F.lit(h).alias("h")))
+    made = F.concat(*(x for n in sizes for x in (grams(ref, n, 1, 0), grams(hyp, n, 0, 1))))
+    rows = pairs.withColumn("__row", F.monotonically_increasing_id()).repartition("__row").select("__row", *keep, F.explode_outer(made).alias("x"))
+    counts = rows.groupBy("__row", *keep, "x.n", "x.g").agg(F.sum("x.r").alias("r"), F.sum("x.h").alias("h"))
+    of = lambda n, v, a: F.coalesce(F.sum(F.when(F.col("n") == n, v)), F.lit(0)).alias(f"{a}_{n}")
+    return counts.groupBy("__row", *keep).agg(*(x for n in sizes for x in (of(n, F.least("r", "h"), "hits"), of(n, F.col("r"), "ref"), of(n, F.col("h"), "hyp")))).drop("__row")
 
 
 def rouge_n(pairs: DataFrame, key: str, ref: str, hyp: str, n: int) -> DataFrame:
     """F1 of clipped n-gram overlap, 0 if either side has none."""
-    f1 = F.coalesce(F.try_divide(2.0 * F.col("hits"), F.col("n_ref") + F.col("n_hyp")), F.lit(0.0))
-    return overlap(pairs, key, ref, hyp, n).select(key, f1.alias(f"rouge{n}_f1"))
+    f1 = F.coalesce(F.try_divide(2.0 * F.col(f"hits_{n}"), F.col(f"ref_{n}") + F.col(f"hyp_{n}")), F.lit(0.0))
+    return overlaps(pairs, [key], ref, hyp, (n,)).select(key, f1.alias(f"rouge{n}_f1"))
+
+
+def _lcs(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: a bit for each token of b, all of a row of the table in one whole number."""
+    places: dict[str, int] = {}
+    for i, token in enumerate(b):
+        places[token] = places.get(token, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for token in a:
+        if hit := row & places.get(token, 0):
+            row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
 
 
 def lcs(a: str, b: str) -> Column:
-    """Length of the longest common subsequence of two token columns: a fold over rows of the table."""
-    return F.expr(
-        f"""element_at(aggregate({a}, array_repeat(0, size({b}) + 1),
-        (above, x) -> aggregate(transform({b}, (y, j) -> named_struct('hit', y = x, 'corner', above[j], 'over', above[j + 1])), array(0),
-        (row, z) -> array_append(row, if(z.hit, z.corner + 1, greatest(z.over, element_at(row, -1)))))), -1)"""
-    )
+    """Length of the longest common subsequence of two token columns, in Arrow batches: a token costs one operation on whole numbers of as many bits as the other side has tokens."""
+
+    @F.pandas_udf("int")
+    def length(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([_lcs(list(x), list(y)) for x, y in zip(left, right, strict=True)], dtype="int32")
+
+    return length(F.col(a), F.col(b))
 
 
 def rouge_l(pairs: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
@@ -51,27 +71,42 @@ def rouge_l(pairs: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
 
 def bleu4(pairs: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
     """Uniform weights to 4-grams; a zero numerator counts as EPSILON, no unigram in common gives 0, so does an empty side."""
-    parts = pairs.select(key, F.size(ref).alias("len_r"), F.size(hyp).alias("len_h"))
-    for n in (1, 2, 3, 4):
-        parts = parts.join(overlap(pairs, key, ref, hyp, n).select(key, F.col("hits").alias(f"x{n}")), key)
+    parts = overlaps(pairs, [key], ref, hyp, (1, 2, 3, 4)).select(key, F.col("ref_1").alias("len_r"), F.col("hyp_1").alias("len_h"), *(F.col(f"hits_{n}").alias(f"x{n}") for n in (1, 2, 3, 4)))
     logs = sum((F.ln(F.when(F.col(f"x{n}") == 0, F.lit(EPSILON)).otherwise(F.col(f"x{n}").cast("double")) / F.greatest(F.col("len_h") - (n - 1), F.lit(1))) for n in (2, 3, 4)), F.ln(F.col("x1").cast("double") / F.col("len_h")))
     brevity = F.when(F.col("len_h") > F.col("len_r"), 1.0).otherwise(F.exp(1 - F.col("len_r").cast("double") / F.col("len_h")))
     return parts.select(key, F.when((F.col("len_r") == 0) | (F.col("len_h") == 0) | (F.col("x1") == 0), 0.0).otherwise(brevity * F.exp(logs / 4)).alias("bleu4"))
 
 
 def divergences(pairs: DataFrame, key: str, ref: str, hyp: str, alpha: float = ALPHA) -> DataFrame:
-    """KL(ref || hyp) and Jensen-Shannon divergence in bits of smoothed word shares; null if both sides are empty."""
-    words = lambda c, a: pairs.select(key, F.explode(c).alias("g")).groupBy(key, "g").agg(F.count("*").alias(a))
-    both = words(ref, "r").join(words(hyp, "h"), [key, "g"], "full_outer").fillna(0, ["r", "h"])
-    sizes = both.groupBy(key).agg(F.sum("r").alias("n_r"), F.sum("h").alias("n_h"), F.count("*").alias("v"))
+    """KL(ref || hyp) and Jensen-Shannon divergence in bits of smoothed word shares; null if both sides are empty. A row for each row of pairs."""
+    tagged = lambda c, r, h: F.transform(F.col(c), lambda g: F.struct(g.alias("g"), F.lit(r).alias("r"), F.lit(h).alias("h")))
+    rows = pairs.withColumn("__row", F.monotonically_increasing_id()).repartition("__row")
+    rows = rows.select("__row", key, F.size(ref).alias("n_r"), F.size(hyp).alias("n_h"), F.size(F.array_union(ref, hyp)).alias("v"), F.explode_outer(F.concat(tagged(ref, 1, 0), tagged(hyp, 0, 1))).alias("x"))
+    both = rows.groupBy("__row", key, "n_r", "n_h", "v", "x.g").agg(F.sum("x.r").alias("r"), F.sum("x.h").alias("h"))
     share = lambda c, n: (F.col(c) + alpha) / (F.col(n) + alpha * F.col("v"))
     p, q = F.col("p"), F.col("q")
-    shares = both.join(sizes, key).select(key, share("r", "n_r").alias("p"), share("h", "n_h").alias("q"))
     half = (p + q) / 2
-    bits = shares.groupBy(key).agg(
+    bits = both.select("__row", key, share("r", "n_r").alias("p"), share("h", "n_h").alias("q")).groupBy("__row", key).agg(
         (F.sum(p * F.ln(p / q)) / math.log(2)).alias("kl_bits"), (F.sum(p * F.ln(p / half) + q * F.ln(q / half)) / (2 * math.log(2))).alias("js_bits")
     )
-    return pairs.select(key).join(bits, key, "left")
+    return bits.drop("__row")
+
+
+#: The scores of a pair of texts, null where undefined.
+TEXT_SCORES = ("bleu4", "rouge1_f1", "rouge2_f1", "rouge_l_f1", "kl_bits", "js_bits")
+
+
+def text_scores(rows: DataFrame, key: str, reference: str, response: str) -> DataFrame:
+    """rows and all TEXT_SCORES of their reference and response; rows without a response have nulls. key names a row."""
+    pairs = rows.where(F.col(response).isNotNull()).select(key, tokens(reference).alias("r"), tokens(response).alias("h"))
+    for scores in (bleu4(pairs, key, "r", "h"), rouge_n(pairs, key, "r", "h", 1), rouge_n(pairs, key, "r", "h", 2), rouge_l(pairs, key, "r", "h"), divergences(pairs, key, "r", "h")):
+        rows = rows.join(scores, key, "left")
+    return rows
+
+
+def score_means(scored: DataFrame, by: list[str], response: str, names: tuple[str, ...] = TEXT_SCORES) -> DataFrame:
+    """Means by group, each over the rows that have the score; n_scored and n_errors count rows with and without a response."""
+    return scored.groupBy(*by).agg(F.count(response).alias("n_scored"), F.count_if(F.col(response).isNull()).alias("n_errors"), *(F.avg(n).alias(f"{n}_mean") for n in names))
 
 
 def term_frequency(texts: DataFrame, by: list[str], text: str, terms: list[str] | None = None) -> DataFrame:

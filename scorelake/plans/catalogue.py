@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions import parsing, rates
 from scorelake.operators import confusion, findings, resample, select, textsim
+from scorelake.sources import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,10 +162,12 @@ def finding_location_examples(spark, sf_dir):
     return findings.examples(findings.located(_matches(spark, sf_dir), ["image"], "loc", "cond"), ["image", "loc", "cond"])
 
 
-@_query("SELECT CAST(3 AS BIGINT) AS models, (SELECT count(DISTINCT n) FROM (SELECT event_id % 3 AS model, count(DISTINCT user_id) AS n FROM events GROUP BY 1)) = 1 AS aligned")
+@_query("""WITH f AS (SELECT event_id % 3 AS model, user_id AS image, min(event_id) AS pos FROM events GROUP BY ALL), l AS (SELECT model, string_agg(image, ',' ORDER BY pos) AS x FROM f GROUP BY model)
+SELECT CAST(count(*) AS BIGINT) AS models, count(DISTINCT x) = 1 AND count(*) > 1 AS aligned FROM l""")
 def alignment_check(spark, sf_dir):
-    rows = _events(spark, sf_dir).select("model", "image").distinct()
-    return findings.aligned(rows.withColumn("pos", F.col("image")), [], "model", "image", "pos")
+    """Each model's users in the order of their first events."""
+    rows = _t(spark, sf_dir, "events").groupBy((F.col("event_id") % 3).alias("model"), F.col("user_id").alias("image")).agg(F.min("event_id").alias("pos"))
+    return findings.aligned(rows, [], "model", "image", "pos")
 
 
 # Slots: labels and documents.
@@ -244,9 +247,9 @@ _PL = _SETS + ", pl AS (SELECT doc_id, lang, cond, CAST(list_contains(g, cond) A
 
 @_query(f"WITH {_PL}, c AS (SELECT lang, cond, {_BIN} FROM pl GROUP BY ALL) SELECT lang, round(avg({_Z('2 * tp', '2 * tp + fp + fn')}) FILTER (tp + fn > 0), 6) AS macro_f1, round(avg({_Z('tp', 'tp + fn')}) FILTER (tp + fn > 0), 6) AS balanced_accuracy FROM c GROUP BY lang")
 def ovr_multilabel_macro(spark, sf_dir):
-    c = confusion.binary_counts(_per_label(spark, sf_dir), ["lang", "cond"], "t", "p")
-    shown = lambda v: F.avg(F.when(F.col("tp") + F.col("fn") > 0, v))
-    return _rounded(c.groupBy("lang").agg(shown(rates.f1_of_counts(F.col("tp"), F.col("fp"), F.col("fn"))).alias("macro_f1"), shown(rates.recall(rates.ZERO)).alias("balanced_accuracy")))
+    c = confusion.binary_counts(_per_label(spark, sf_dir), ["lang", "cond"], "t", "p").withColumnRenamed("cond", "label")
+    shown = confusion.macro(confusion.class_rates(c), ["lang"], skip_zero=True)
+    return _rounded(shown.select("lang", "macro_f1", F.col("macro_recall").alias("balanced_accuracy")))
 
 
 _EX = _SETS + """, x AS (SELECT lang, CASE WHEN list_contains(g, 'toxic') THEN 'toxic' WHEN list_contains(g, 'quality') THEN 'quality' ELSE 'none' END AS t,
@@ -298,15 +301,12 @@ def support_counts(spark, sf_dir):
 @_query(f"WITH {_EV}, a AS (SELECT count(*) AS n FROM (SELECT DISTINCT image, loc FROM g)) SELECT CAST(a.n AS BIGINT) AS abnormal, CAST(imgs.n * 8 - a.n AS BIGINT) AS clear, CAST(imgs.n * 8 AS BIGINT) AS slots FROM a, imgs")
 def support_partition_check(spark, sf_dir):
     e = _events(spark, sf_dir)
-    n = e.agg(F.count_distinct("image").alias("n"))
-    a = e.where("is_truth").select("image", "loc").distinct().agg(F.count("*").alias("abnormal"))
-    return a.crossJoin(n).select("abnormal", (F.col("n") * LOCATIONS - F.col("abnormal")).alias("clear"), (F.col("n") * LOCATIONS).alias("slots"))
+    return findings.slot_inventory(e.where("is_truth"), e.select("image"), ["image"], "loc", LOCATIONS).select("abnormal", "clear", "slots")
 
 
 @_query(f"WITH {_EV}, a AS (SELECT image, loc, count(*) AS labels FROM g GROUP BY ALL) SELECT CAST(labels AS BIGINT) AS labels, CAST(count(*) AS BIGINT) AS n FROM a GROUP BY 1")
 def labels_per_slot_histogram(spark, sf_dir):
-    g = _events(spark, sf_dir).where("is_truth").select("image", "loc", "cond").distinct()
-    return g.groupBy("image", "loc").agg(F.count("*").alias("labels")).groupBy("labels").agg(F.count("*").alias("n"))
+    return findings.labels_per_slot(_events(spark, sf_dir).where("is_truth"), ["image"], "loc", "cond")
 
 
 @_query(f"WITH {_EV}, i AS (SELECT DISTINCT image FROM ev), x AS (SELECT i.image, (SELECT count(*) FROM p WHERE p.image = i.image AND p.cond = 'error') AS n FROM i) SELECT round(avg(CASE WHEN n = 0 THEN 1e2 ELSE 0e0 END), 6) AS abstained_percent, CAST(count(*) AS BIGINT) AS images FROM x")
@@ -533,7 +533,11 @@ def confidence_extract(spark, sf_dir):
     return _replies(spark, sf_dir).select("event_id", parsing.confidence("reply").alias("confidence"))
 
 
-@_query()
+_SLOT = "((user_id % 4 + 1) * 10 + hour(ts) % 8 + 1)"
+_SAID = "(['Impacted', 'Caries', 'Deep Caries', 'Periapical Lesion'])[CAST({0} % 4 AS INT) + 1]"
+
+
+@_query(f"""SELECT event_id, '{{"' || {_SLOT} || '":["' || {_SAID.format('event_id')} || '"' || CASE WHEN event_id % 4 <> user_id % 4 THEN ',"' || {_SAID.format('user_id')} || '"' ELSE '' END || ']}}' AS findings FROM events""")
 def finding_text_parser(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     slot = (F.col("user_id") % 4 + 1) * 10 + F.hour("ts") % 8 + 1
@@ -573,7 +577,7 @@ def tail_sort_rank(spark, sf_dir):
 @_query("SELECT o_orderpriority, o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r FROM orders WHERE o_totalprice > 200000) WHERE r = 1")
 def first_match_per_category(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").where("o_totalprice > 200000").select("o_orderpriority", "o_orderkey", "o_custkey")
-    return o.groupBy("o_orderpriority").agg(F.min_by(F.struct("o_orderkey", "o_custkey"), "o_orderkey").alias("x")).select("o_orderpriority", "x.*")
+    return select.first_match(o, ["o_orderpriority"], ["o_orderkey"])
 
 
 _HELD = "picks AS (SELECT min(c_custkey) FILTER (c_acctbal < 0) AS a, min(c_custkey) FILTER (c_mktsegment = 'BUILDING') AS b, min(c_custkey) FILTER (c_nationkey = 3) AS c FROM customer), held AS (SELECT c_custkey, arg_min(role, ord) AS role FROM (SELECT a AS c_custkey, 'negative' AS role, 0 AS ord FROM picks UNION ALL SELECT b, 'building', 1 FROM picks UNION ALL SELECT c, 'nation', 2 FROM picks) WHERE c_custkey IS NOT NULL GROUP BY c_custkey)"
@@ -623,7 +627,7 @@ def hierarchical_dims_findings(spark, sf_dir):
 @_query("SELECT user_id, array_to_string(list_sort(list_filter(range(0, 24), lambda h: NOT list_contains(list(DISTINCT hour(ts)), h))), ',') AS missing FROM events GROUP BY user_id")
 def complement_of_detected(spark, sf_dir):
     seen = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.hour("ts")).alias("seen"))
-    return seen.select("user_id", F.array_join(F.array_except(F.sequence(F.lit(0), F.lit(23)), F.col("seen")), ",").alias("missing"))
+    return seen.select("user_id", F.array_join(ingest.complement("seen", 0, 23), ",").alias("missing"))
 
 
 @_query("SELECT event_id, 'k' AS key, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,54 +31,118 @@ LABEL_WORDS = {
     "lezyon": "Periapical Lesion",
     "kanal": "Periapical Lesion",
 }
-IMAGE_TYPES = (".jpg", ".jpeg", ".png", ".JPG", ".JPEG", ".PNG")
+IMAGE_TYPES = (".JPG", ".jpg", ".jpeg", ".JPEG", ".png", ".PNG")
 
 
 def annotation_file(spark: SparkSession, path: str, split: str) -> dict[str, DataFrame]:
-    """images (image_id, case_id), boxes (a row an annotation) and findings (distinct, sorted labels a slot); images without any annotation stay in images."""
+    """images (image_id, case_id), boxes (a row an annotation) and findings (distinct, sorted labels a slot); images without any annotation stay in images.
+
+    An annotation of a category that the file doesn't name is an error; one of an image that it doesn't name belongs to none.
+    """
     raw = spark.read.schema(ANNOTATIONS).option("multiLine", True).json(path)
     part = lambda c: raw.select(F.explode(c).alias("x")).select("x.*")
     images = part("images").select(F.col("id").alias("image_id"), "file_name", stem(F.col("file_name")).alias("case_id"), F.lit(split).alias("split"))
     boxes = part("annotations")
     for level, name in ((1, "quadrant"), (2, "position"), (3, "condition")):
-        names = part(f"categories_{level}").select(F.col("id").alias(f"category_id_{level}"), F.col("name").alias(name))
-        boxes = boxes.join(names, f"category_id_{level}")
+        key = f"category_id_{level}"
+        names = part(f"categories_{level}").select(F.col("id").alias(key), F.col("name").alias(name))
+        unknown = F.raise_error(F.concat(F.lit(f"unknown {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("string")
+        boxes = boxes.join(names, key, "left").withColumn(name, F.coalesce(name, unknown))
     boxes = boxes.join(images.select("image_id", "case_id"), "image_id").select("image_id", "case_id", F.concat("quadrant", "position").cast("int").alias("slot"), "condition", "bbox")
     findings = boxes.groupBy("image_id", "case_id", "slot").agg(F.array_sort(F.collect_set("condition")).alias("conditions"))
     return {"images": images, "boxes": boxes, "findings": findings}
 
 
-def missing_from_objects(records: DataFrame, first: int = 1, last: int = 32) -> DataFrame:
-    """case_id and its missing numbers: the complement of all integers in the titles. Of records with one id the last (by `pos`) counts."""
+def annotated_cases(parts: dict[str, DataFrame]) -> DataFrame:
+    """case_id, file_name, split and findings (a map from slot to conditions) of every image, empty for those without annotations."""
+    maps = parts["findings"].groupBy("image_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slot", "conditions")))).alias("findings"))
+    none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<array<string>>"))
+    return parts["images"].join(maps, "image_id", "left").withColumn("findings", F.coalesce("findings", none))
+
+
+def annotation_inventory(parts: dict[str, DataFrame], files: DataFrame) -> DataFrame:
+    """One row: images and raw annotations of a file, images that exist (files: file_name and length) and don't, and the latter's names."""
+    there = files.where("length > 0").select("file_name").distinct().withColumn("there", F.lit(True))
+    images = parts["images"].join(there, "file_name", "left").agg(
+        F.count("*").alias("n_images_json"), F.count("there").alias("n_images_on_disk"), F.count_if(F.col("there").isNull()).alias("n_missing_files"),
+        F.array_sort(F.collect_list(F.when(F.col("there").isNull(), F.col("file_name")))).alias("missing_files"),
+    )
+    return images.crossJoin(parts["boxes"].agg(F.count("*").alias("n_annotations_raw")))
+
+
+def usable(cases: DataFrame, images: DataFrame) -> DataFrame:
+    """Cases with a readable image."""
+    return cases.join(images.where("readable").select("case_id"), "case_id", "left_semi")
+
+
+def object_numbers(first: int = 1, last: int = 32) -> Column:
+    """The distinct integers of a record's titles that lie in the range."""
     titles = F.transform(F.coalesce(F.col("Label.objects"), F.array()), lambda o: o["title"])
     numbers = F.flatten(F.transform(titles, lambda t: F.transform(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))))
-    seen = F.array_distinct(F.filter(numbers, lambda n: n.between(first, last)))
-    rows = records.where(F.length(F.coalesce("External ID", F.lit(""))) > 0).select(stem(F.col("External ID")).alias("case_id"), "pos", seen.alias("seen"))
+    return F.array_distinct(F.filter(numbers, lambda n: n.between(first, last)))
+
+
+def complement(seen: Column | str, first: int, last: int) -> Column:
+    return F.array_except(F.sequence(F.lit(first), F.lit(last)), F.col(seen) if isinstance(seen, str) else seen)
+
+
+def missing_from_objects(records: DataFrame, first: int = 1, last: int = 32) -> DataFrame:
+    """case_id and its missing numbers: the complement of all integers in the titles. Of records with one id the last (by `pos`) counts."""
+    rows = records.where(F.length(F.coalesce("External ID", F.lit(""))) > 0).select(stem(F.col("External ID")).alias("case_id"), "pos", object_numbers(first, last).alias("seen"))
     rows = rows.groupBy("case_id").agg(F.max_by("seen", "pos").alias("seen"))
-    return rows.select("case_id", F.array_except(F.sequence(F.lit(first), F.lit(last)), F.col("seen")).alias("missing"))
+    return rows.select("case_id", complement("seen", first, last).alias("missing"))
+
+
+def object_support(records: DataFrame, images: DataFrame | None = None, first: int = 1, last: int = 32) -> DataFrame:
+    """One row: n_cases, n_slots, missing and present of all records; with images, only of those with an id and a readable image. Repeated ids count each time."""
+    rows = records.select(stem(F.col("External ID")).alias("case_id"), F.size(object_numbers(first, last)).alias("n"))
+    if images is not None:
+        rows = usable(rows.where(F.length(F.coalesce("case_id", F.lit(""))) > 0), images)
+    slots, whole = last - first + 1, lambda c, a: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(a)
+    return rows.agg(F.count("*").alias("n_cases"), (F.count("*") * slots).alias("n_slots"), whole(F.lit(slots) - F.col("n"), "missing"), whole("n", "present"))
+
+
+_MARK = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{},]', re.S)
+
+
+def _complete(raw: str) -> list:
+    """The elements of a JSON array that may be cut short, up to the first that isn't whole: they stand between the commas of the outermost level."""
+    begin = raw.find("[") + 1
+    ends, depth = [], 1
+    for sign in _MARK.finditer(raw, begin) if begin else ():
+        depth += {"[": 1, "{": 1, "]": -1, "}": -1}.get(sign[0], 0)
+        if depth == 0 or depth == 1 and sign[0] == ",":
+            ends.append(sign.start())
+        if depth == 0:
+            break
+    else:
+        ends.append(len(raw))
+    found = []
+    for end in ends if begin else ():
+        try:
+            found.append(json.loads(raw[begin:end]))
+        except ValueError:
+            break
+        begin = end + 1
+    return found
+
+
+def _elements(raw: str) -> tuple[list, bool]:
+    """A document's elements (a list's, or an object's values), and whether it was cut short."""
+    try:
+        whole = json.loads(raw)
+    except ValueError:
+        return _complete(raw), True
+    return (list(whole.values()) if isinstance(whole, dict) else whole if isinstance(whole, list) else []), False
 
 
 def salvaged_array(spark: SparkSession, path: str) -> DataFrame:
-    """Complete records of a JSON array that may be cut short: path, pos, json and truncated."""
+    """Records of JSON files: path, pos, json and truncated. Of an array that is cut short the whole records before the cut; of an object its values."""
 
     def records(frames):
-        decoder = json.JSONDecoder()
         for frame in frames:
-            rows = []
-            for name, raw in zip(frame["path"], frame["value"], strict=True):
-                at, found = raw.find("[") + 1, []
-                whole = False
-                while at:
-                    while at < len(raw) and raw[at] in " \n\r\t,":
-                        at += 1
-                    whole = raw[at : at + 1] == "]"
-                    try:
-                        item, at = decoder.raw_decode(raw, at)
-                    except ValueError:
-                        break
-                    found.append(json.dumps(item))
-                rows += [(name, i, text, not whole) for i, text in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["path", "pos", "json", "truncated"])
+            made = [(name, i, json.dumps(item), cut) for name, raw in zip(frame["path"], frame["value"], strict=True) for items, cut in [_elements(raw)] for i, item in enumerate(items)]
+            yield pd.DataFrame(made, columns=["path", "pos", "json", "truncated"])
 
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.mapInPandas(records, "path string, pos long, json string, truncated boolean")
@@ -88,16 +153,24 @@ def object_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def labelme_findings(spark: SparkSession, path: str) -> DataFrame:
-    """case_id, slot and conditions in first-seen order, from files of labels like `1-word-15`."""
+    """case_id, slot and conditions in first-seen order, from files of labels like `1-word-15`; white space around the parts doesn't count."""
     raw = spark.read.schema(SHAPES).option("multiLine", True).json(path).select(stem(F.col("_metadata.file_path")).alias("case_id"), F.posexplode("shapes").alias("pos", "shape"))
     parts = F.split(F.col("shape.label"), "-")
     words = F.create_map(*(F.lit(x) for pair in LABEL_WORDS.items() for x in pair))
-    rows = raw.where(F.size(parts) >= 3).select("case_id", "pos", words[F.lower(parts[1])].alias("condition"), F.element_at(parts, -1).try_cast("int").alias("slot"))
+    place = F.trim(F.element_at(parts, -1))
+    rows = raw.where(F.size(parts) >= 3).where(place.rlike(r"^\d+$")).select("case_id", "pos", words[F.lower(F.trim(parts[1]))].alias("condition"), place.try_cast("int").alias("slot"))
     rows = rows.where(F.col("condition").isNotNull() & F.col("slot").isin(*SLOTS)).groupBy("case_id", "slot", "condition").agg(F.min("pos").alias("pos"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "condition")))
     return rows.groupBy("case_id", "slot").agg(F.transform(ordered, lambda x: x["condition"]).alias("conditions"))
 
 
+def labelme_cases(images: DataFrame, findings: DataFrame) -> DataFrame:
+    """Every image's case_id and findings, a map from slot to conditions; empty for images without a file, shapes or known labels."""
+    maps = findings.groupBy("case_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slot", "conditions")))).alias("findings"))
+    none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<array<string>>"))
+    return images.select("case_id").join(maps, "case_id", "left").withColumn("findings", F.coalesce("findings", none))
+
+
 def split(parts: dict[str, DataFrame], name: str, held_out: DataFrame) -> DataFrame:
     """One split, `qed` (train and val) or `all`; held-out cases are left out of train, qed and all."""
     members = {"qed": ["train", "val"], "all": ["train", "val", "test"]}.get(name, [name])
@@ -107,6 +180,13 @@ def split(parts: dict[str, DataFrame], name: str, held_out: DataFrame) -> DataFr
     return out.join(held_out.select("case_id"), "case_id", "left_anti") if name in ("train", "qed", "all") else out
 
 
+def assert_no_leak(cases: DataFrame, held_out: DataFrame) -> DataFrame:
+    """cases, unless one of them is held out: then evaluating the row is an error."""
+    marked = cases.join(held_out.select("case_id").distinct().withColumn("__held", F.lit(True)), "case_id", "left")
+    leak = F.raise_error(F.concat(F.lit("held-out case "), F.col("case_id").cast("string"))).cast("boolean")
+    return marked.where(F.when(F.col("__held"), leak).otherwise(F.lit(True))).drop("__held")
+
+
 def reports(table: DataFrame, order: str) -> DataFrame:
     """case_id, report and stratum of rows with image (bytes, path) and report; a missing path is named by its place."""
     place = F.col(order).cast("string")
@@ -142,11 +222,21 @@ def finished_runs(spark: SparkSession, logs: str, sentinel: str) -> DataFrame:
     return lines.where(F.col("value").contains(sentinel)).select("run").distinct()
 
 
+#: How PNG and JPEG files begin and end, in hexadecimal digits.
+WHOLE_IMAGE = "^(89504E470D0A1A0A.*49454E44AE426082|FFD8FF.*FFD9)$"
+
+
 def image_files(spark: SparkSession, folder: str, types: tuple[str, ...] = IMAGE_TYPES) -> DataFrame:
-    """case_id, path and length of the first non-empty image of each stem in the order of types; contents aren't read."""
-    files = spark.read.format("binaryFile").load(folder).select("path", "length", stem(F.col("path")).alias("case_id"), F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("type"))
+    """case_id, path, length and readable of the first image of each stem in the order of types.
+
+    Readable means not empty, and begun and ended like a PNG or JPEG file; pixels aren't decoded.
+    """
+    files = spark.read.format("binaryFile").load(folder)
+    ends = F.concat(F.hex(F.substring("content", 1, 8)), F.hex(F.expr("substring(content, -8, 8)")))
+    files = files.select("path", "length", stem(F.col("path")).alias("case_id"), F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("type"), ((F.col("length") > 8) & ends.rlike(WHOLE_IMAGE)).alias("readable"))
     place = F.array_position(F.array(*map(F.lit, types)), F.col("type"))
-    return files.where((F.col("length") > 0) & (place > 0)).groupBy("case_id").agg(F.min_by("path", place).alias("path"), F.min_by("length", place).alias("length"))
+    first = F.min_by(F.struct("path", "length", "readable"), place).alias("x")
+    return files.where(place > 0).groupBy("case_id").agg(first).select("case_id", "x.*")
 
 
 def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -160,3 +250,25 @@ def case_list(spark: SparkSession, path: str, field: str = "case_ids") -> DataFr
 def references(spark: SparkSession, path: str) -> DataFrame:
     fields = "eval_cases array<struct<case_id:string,file_name:string,image_path:string,stratum:string,expert_report:string>>"
     return spark.read.schema(fields).option("multiLine", True).json(path).select(F.explode("eval_cases").alias("c")).select("c.*")
+
+
+def with_reference(rows: DataFrame, references_: DataFrame, default: str | None = "") -> DataFrame:
+    """rows with their case's `reference`; `default` where there is none, or, if that is None, no row."""
+    known = references_.select("case_id", F.col("expert_report").alias("reference")).dropDuplicates(["case_id"])
+    if default is None:
+        return rows.join(known, "case_id")
+    return rows.join(known, "case_id", "left").withColumn("reference", F.coalesce("reference", F.lit(default)))
+
+
+def held_out_cases(spark: SparkSession, path: str) -> DataFrame:
+    """case_id of the held-out list, and its exemplars' role and findings where it has them."""
+    schema = f"case_ids array<string>, exemplars array<struct<case_id:string,role:string,gt:{FINDINGS}>>"
+    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    told = raw.select(F.explode("exemplars").alias("e")).select("e.case_id", "e.role", F.col("e.gt").alias("findings"))
+    return raw.select(F.explode("case_ids").alias("case_id")).join(told, "case_id", "left")
+
+
+def first_boxes(findings: DataFrame, boxes: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """findings with `bbox`, that of their key's first box in the given order; null if there is none."""
+    first = boxes.groupBy(*keys).agg(F.min_by("bbox", order).alias("bbox"))
+    return findings.join(first, keys, "left")

@@ -19,7 +19,7 @@ def rendered(table: DataFrame, decimals: dict[str, int] | None = None, undefined
 
 
 def summary_csv(table: DataFrame, path: str, columns: list[str], decimals: dict[str, int] | None = None) -> None:
-    """A small table as one CSV file of the given columns; those it lacks are empty."""
+    """A small table as one CSV file of the given columns; those it lacks are empty. An empty table gives a file of the header alone."""
     full = table.select(*(F.col(c) if c in table.columns else F.lit(None).cast("string").alias(c) for c in columns))
     rendered(full, decimals, "").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
@@ -34,3 +34,15 @@ def inventory_json(table: DataFrame, path: str) -> None:
 
 def audit_text(rows: DataFrame, path: str, line: str) -> None:
     rows.select(F.expr(line).alias("value")).write.mode("overwrite").text(path)
+
+
+def provenance_json(runs: DataFrame, path: str, notes: dict[str, str]) -> None:
+    """One JSON document: the notes and, as `runs`, every run's columns in the order of their names."""
+    listed = runs.agg(F.array_sort(F.collect_list(F.struct(*runs.columns))).alias("runs"))
+    listed.select(F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in notes.items()), "runs")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def score_csv(table: DataFrame, path: str, columns: list[str], three: tuple[str, ...] = ("kl_bits_mean",)) -> None:
+    """Text scores with four decimals (three for some), N/A where undefined, as one CSV file of the given columns."""
+    decimals = {c: 3 if c in three else 4 for c in columns if dict(table.dtypes).get(c) == "double"}
+    rendered(table.select(*columns), decimals).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
