@@ -39,11 +39,11 @@ def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[byt
     return coded.indices.to_numpy(), coded.dictionary.to_pylist()
 
 
-def put(numbers: np.ndarray, made: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def put(numbers: np.ndarray, made: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """made[i] in place of each number i: the bytes end to end, and where each place's begin, with the end behind."""
     if not len(numbers):
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
-    taken = pa.array(made, pa.large_binary()).take(pa.array(numbers))
+    taken = (made if isinstance(made, pa.Array) else pa.array(made, pa.large_binary())).take(pa.array(numbers))
     _, offsets, data = taken.buffers()
     ends = np.frombuffer(offsets, np.int64, len(taken) + 1, taken.offset * 8)
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8))[: ends[-1]], ends
