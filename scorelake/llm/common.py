@@ -34,15 +34,16 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, large: bool = True) -> DataFrame:
     """Compute df once, keep it in the checkpoint folder and forget its lineage.
 
-    The shuffle files behind it are of no more use, so the cleaner gets a chance to drop them.
+    Where large shuffle files lie behind it, which are of no more use, the cleaner gets a chance to drop them.
     """
     checkpoint_dir(df.sparkSession)
     out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    if large:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
@@ -55,14 +56,16 @@ def hot_limit(total: int) -> int:
     return max(NEVER_HOT, total // MOST_HOT)
 
 
-def join_hot(rows: DataFrame, facts: DataFrame, key: str | list[str], total: int, by: str, how: str = "inner") -> DataFrame:
-    """rows and what facts, one row a key with the number of its rows as n, say of their key.
+def join_hot(rows: DataFrame, facts: DataFrame, key: str | list[str], total: int, by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """rows and what facts, one row a key with the number of its rows as n, say of their key. counts has key and n as well, where facts are dear to make.
 
     Rows of hot keys are dealt over SALTS tasks by the column `by`, and those keys' facts are copied to all of them. The
     list of hot keys is broadcast; it has fewer than MOST_HOT entries, as rows has at most `total`.
     """
     limit, keys = hot_limit(total), [key] if isinstance(key, str) else key
-    hot = facts.where(F.col("n") > limit).select(*keys, F.lit(True).alias("__hot"))
+    if total <= limit:  # no key can have more
+        return rows.join(facts.drop("n"), keys, how)
+    hot = (facts if counts is None else counts).where(F.col("n") > limit).select(*keys, F.lit(True).alias("__hot"))
     place = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", place).drop("__hot")
     salts = F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
