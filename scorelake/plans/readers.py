@@ -178,9 +178,9 @@ def read_csv_back(spark, sf_dir) -> DataFrame:
     return ingest.csv_table(spark, folder, "k bigint, balance double, absent string").select("k", "balance")
 
 
-@_query("SELECT 'c' || c_custkey AS case_id, CASE WHEN c_custkey % 2 = 0 THEN 'report of ' || c_custkey ELSE '' END AS reference FROM customer WHERE c_custkey <= 100")
+@_query("SELECT 'c' || c_custkey AS case_id, CASE WHEN c_custkey % 2 = 0 THEN 'report of ' || c_custkey ELSE '' END AS reference FROM customer")
 def read_references(spark, sf_dir) -> DataFrame:
-    c = _t(spark, sf_dir, "customer").where("c_custkey <= 100").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("case_id"), F.col("c_custkey").alias("k"))
+    c = _t(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("case_id"), F.col("c_custkey").alias("k"))
     told = c.where("k % 2 = 0").agg(F.collect_list(F.struct("case_id", F.concat(F.lit("report of "), F.col("k").cast("string")).alias("expert_report"))).alias("eval_cases"))
     references = ingest.references(spark, _written(told, F.to_json(F.struct("eval_cases")), "references"))
     listed = ingest.case_list(spark, _written(c.agg(F.collect_list("case_id").alias("case_ids")), F.to_json(F.struct("case_ids")), "cases"))
