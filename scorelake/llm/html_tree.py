@@ -2,7 +2,8 @@
 
 A page becomes a DOM tree whose nodes are its elements and its runs of text. Each node has a hidden label
 (boilerplate, content, or a mixture of both below it); parent-child potentials tie labels along the
-tree's edges, and what is seen at a node (tag, words of class and id, share of links) speaks for its label.
+tree's edges, and what is seen at a node speaks for its label: its tag, words of class and id, share of links, length, sentence ends,
+place on the page, and what its first short text says, as headings of comments and lines of rights do in many languages.
 Sum-product messages go up and down once and give each text run's exact content marginal; runs above the
 threshold are the main text.
 
@@ -53,17 +54,30 @@ _SPLIT_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACES = re.compile(r"\s+")
 #: Words of class, id and role that say what an element is for.
 HINTS = {
-    "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs topbar toolbar tabs pager pagination skip toc sitemap",
+    "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs topbar toolbar tabs pager pagination skip toc sitemap menue navigationsleiste navegacion fil",
     "head": "header masthead banner branding logo hero top",
-    "foot": "footer foot copyright legal bottom colophon",
-    "side": "sidebar side aside widget widgets related recommended recommendations popular trending more complementary rail",
-    "notice": "notice cookie cookies consent gdpr alert popup modal overlay subscribe newsletter signup paywall promo toast message warning",
-    "ad": "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors dfp adsense banner promotion",
-    "form": "form search login register contact input",
-    "talk": "comment comments reply replies discussion disqus respond response responses feedback thread reviews",
+    "foot": "footer foot copyright legal bottom colophon fusszeile impressum pied mentions pie",
+    "side": "sidebar side aside widget widgets related recommended recommendations popular trending more complementary rail seitenleiste randspalte barre laterale lateral",
+    "notice": "notice cookie cookies consent gdpr alert popup modal overlay subscribe newsletter signup paywall promo toast message warning hinweis datenschutz anmeldung aviso",
+    "ad": "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors dfp adsense banner promotion werbung anzeige anzeigen publicite pub publicidad anuncio anuncios",
+    "form": "form search login register contact input suche formular recherche formulaire buscar formulario",
+    "talk": "comment comments reply replies discussion disqus respond response responses feedback thread reviews kommentar kommentare antworten diskussion commentaire commentaires avis reponses comentario comentarios opiniones respuestas commenti reacties",
     "meta": "meta byline share sharing social tags author date time credits",
     "main": "article content post entry story main body text maincontent blog news document page prose lead single",
 }
+#: What short texts of boilerplate say: words, in several languages.
+TELLS = {
+    "talk": "comments comment replies discussion kommentare kommentar antworten commentaires commentaire réponses comentarios comentario respuestas opiniones commenti reacties",
+    "foot": "copyright © rights reserved rechte vorbehalten impressum droits réservés mentions derechos reservados diritti",
+    "side": "related recommended popular trending ähnliche beliebt empfohlen lire aussi relacionados destacados",
+    "notice": "cookies cookie newsletter abonnieren datenschutz abonnez inscrivez suscríbete consentimiento subscribe",
+    "form": "search login suche anmelden recherche connexion buscar contraseña password",
+    "ad": "advertisement sponsored werbung anzeige publicité publicidad anuncio",
+}
+_TELL_OF = {word: kind for kind in reversed(TELLS) for word in TELLS[kind].split()}
+SHORT_TEXT, MOST_SEEN = 80, 100_000
+_LETTERS = re.compile(r"©|[^\W\d_]+")
+_STOPS = re.compile(r"[.!?…。](?=[\s\"'”»)]|$)")
 _HINT_OF = {word: kind for kind in reversed(HINTS) for word in HINTS[kind].split()}
 _HINT_ORDER = {kind: i for i, kind in enumerate(("talk", "ad", "notice", "form", "side", "menu", "foot", "meta", "head", "main"))}
 _HEADINGS = {f"h{i}": "h" for i in range(1, 7)}
@@ -78,6 +92,17 @@ class Node:
     chars: int = 0
     linked: int = 0
     block: int = 0
+    stops: int = 0
+    #: What the first short text says, and characters of the page before the node and in all.
+    lead: str = ""
+    before: int = 0
+    whole: int = 0
+
+
+def _lead(text: str) -> str:
+    if len(text) > SHORT_TEXT:
+        return ""
+    return next((_TELL_OF[w] for w in _LETTERS.findall(text.lower()) if w in _TELL_OF), "")
 
 
 @lru_cache(maxsize=4096)
@@ -98,7 +123,8 @@ def parse(page: str) -> list[Node]:
     Text runs have the tag '#'; `block` numbers the block of text that a run belongs to.
     """
     nodes = [Node("html", -1)]
-    stack, n_block, fresh = [0], 0, True
+    stack, n_block = [0], 0
+    open_: Counter = Counter()
     in_link = in_hidden = 0
     run = -1
     at, end = 0, len(page)
@@ -110,6 +136,7 @@ def parse(page: str) -> list[Node]:
             if nodes[i].tag in BLOCK:
                 n_block += 1
                 run = -1
+            open_[nodes[i].tag] -= 1
             in_link -= nodes[i].tag == "a"
             in_hidden -= nodes[i].tag in HIDES
         del stack[depth:]
@@ -143,10 +170,12 @@ def parse(page: str) -> list[Node]:
         if not tag:
             continue
         if m[1]:
-            if tag == "br" or tag == "p" and not any(nodes[i].tag == "p" for i in stack):
+            if tag == "br" or tag == "p" and not open_["p"]:
                 run = run if tag == "br" else -1
                 n_block += tag == "p"
                 continue
+            if not open_[tag]:
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 other = nodes[stack[depth]].tag
                 if other == tag:
@@ -166,7 +195,7 @@ def parse(page: str) -> list[Node]:
                     close_to(depth)
                 elif other in ("template", "foreignobject"):
                     break
-            if any(nodes[i].tag == "svg" for i in stack) and (m[3] or "").endswith("/"):
+            if open_["svg"] and (m[3] or "").endswith("/"):
                 continue
         if tag == "br" or tag == "hr":
             n_block += tag == "hr"
@@ -175,7 +204,7 @@ def parse(page: str) -> list[Node]:
             elif run >= 0:
                 nodes[run].text.append(" ")
             continue
-        if tag in ("html", "body") and any(nodes[i].tag == tag for i in stack):
+        if tag == "html" or tag == "body" and open_["body"]:
             continue
         if tag in RAW:
             if lower is None:
@@ -191,7 +220,7 @@ def parse(page: str) -> list[Node]:
             # A template or object that is never closed hides nothing; start tags end the other two.
             if tag == "svg" and (m[3] or "").endswith("/") or tag in ("template", "object") and lower.find(f"</{tag}", at) < 0:
                 continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and open_["p"]:
             for depth in range(len(stack) - 1, 0, -1):
                 if nodes[stack[depth]].tag == "p":
                     close_to(depth)
@@ -200,7 +229,7 @@ def parse(page: str) -> list[Node]:
                     break
         if tag in CLOSED_BY:
             closes, stops = CLOSED_BY[tag]
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(open_[c] for c in closes) else ():
                 if nodes[stack[depth]].tag in closes:
                     close_to(depth)
                 elif nodes[stack[depth]].tag in stops:
@@ -210,15 +239,29 @@ def parse(page: str) -> list[Node]:
             run = -1
         nodes.append(Node(tag, stack[-1], _hint(m[3] or "")))
         stack.append(len(nodes) - 1)
+        open_[tag] += 1
         in_link += tag == "a"
         in_hidden += tag in HIDES
         run = -1 if tag in BLOCK else run
-        if len(stack) > 400:  # deeper nesting says nothing more
-            close_to(399)
+    told = [False] * len(nodes)
+    so_far = 0
+    for i, node in enumerate(nodes):
+        node.before = so_far
+        if node.tag == "#" and node.chars:
+            so_far += node.chars
+            shown = "".join(node.text)
+            node.stops, node.lead = len(_STOPS.findall(shown)), _lead(shown.strip())
+            at = node.parent
+            while at >= 0 and not told[at]:  # the first text in it
+                told[at], nodes[at].lead = True, node.lead
+                at = nodes[at].parent
     for i in range(len(nodes) - 1, 0, -1):
-        up = nodes[nodes[i].parent]
-        up.chars += nodes[i].chars
-        up.linked += nodes[i].linked
+        node, up = nodes[i], nodes[nodes[i].parent]
+        node.whole = so_far
+        up.chars += node.chars
+        up.linked += node.linked
+        up.stops += node.stops
+    nodes[0].whole = so_far
     return nodes
 
 
@@ -234,9 +277,15 @@ def _seen(node: Node) -> tuple:
     if tag not in _KNOWN_TAGS:
         tag = "other"
     links = 0 if not node.linked else 1 if node.linked * 4 < node.chars else 2 if node.linked * 4 < 3 * node.chars else 3
-    return tag, node.hint, links
+    size = min(5, max(0, node.chars.bit_length() - 2) // 2)
+    stops = 0 if not node.stops else 1 if node.stops < 3 else 2
+    begins = 0 if not node.before else 1 + min(3, 4 * node.before // max(1, node.whole))
+    ends = node.before + node.chars == node.whole
+    return tag, node.hint, links, node.lead, (size, stops), (begins, ends)
 
 
+#: How much each thing seen beside the tag counts. Length and place say little by themselves, and a node's say much the same as its parent's.
+WEIGHTS = (1.0, 1.0, 0.7, 0.3, 0.3)
 _KNOWN_TAGS = frozenset("# html body div p h a li ul ol nav aside footer header form article main section span b i em strong table tr td blockquote pre button label address figure figcaption dl dd dt".split())
 
 
@@ -262,12 +311,14 @@ class TreeModel:
         if known is None:
             tag, *values = seen
             n_tag, p = self.tags.get(tag, (0, 0, 0)), [1.0, 1.0, 1.0]
-            for view, value in zip(self.views, values, strict=True):
+            for view, weight, value in zip(self.views, WEIGHTS, values, strict=True):
                 overall, own = view.get(value, (0, 0, 0)), view.get((tag, value), (0, 0, 0))
                 for k in range(3):
                     general = (overall[k] + self.smooth) / (self.totals[k] + self.smooth * 12)
-                    p[k] *= (own[k] + 2 * general) / (n_tag[k] + 2)
+                    p[k] *= ((own[k] + 2 * general) / (n_tag[k] + 2)) ** weight
             most = max(p)
+            if len(self._memo) > MOST_SEEN:
+                self._memo.clear()
             known = self._memo[seen] = tuple(max(x / most, 1e-6) for x in p)
         return known
 
@@ -321,7 +372,7 @@ def fit(pages: Iterable[tuple[str, Callable[[str], bool]]], smooth: float = 0.5)
     """
     start, pairs = [smooth] * 3, {tag: [[0.0] * 3 for _ in range(3)] for tag in [*_KNOWN_TAGS, "other"]}
     tags: Counter = Counter()
-    views: list[Counter] = [Counter() for _ in range(2)]
+    views: list[Counter] = [Counter() for _ in range(5)]
     for page, is_content in pages:
         nodes = parse(page)
         below = [[0, 0] for _ in nodes]
@@ -358,16 +409,29 @@ def fit(pages: Iterable[tuple[str, Callable[[str], bool]]], smooth: float = 0.5)
 _MARK = "⁠"
 
 
-def training_pages(n: int = 600, seed: int = 11) -> list[tuple[str, Callable[[str], bool]]]:
+def training_pages(n: int = 900, seed: int = 11) -> list[tuple[str, Callable[[str], bool]]]:
     """Labelled pages in the layouts that pages use: articles in article, main or div elements, beside every sort of boilerplate."""
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("abcdefghilmnoprstuv") for _ in range(rnd.randint(2, 9)))
     words = lambda a, b: " ".join(word() for _ in range(rnd.randint(a, b)))
+
+    def sentences(a: int, b: int) -> str:
+        left, made = rnd.randint(a, b), []
+        while left > 0:
+            made.append(words(n := min(left, rnd.randint(1, 18)), n).capitalize())
+            left -= n
+        return ". ".join(made)
+
+    plain = lambda a, b: f"<p>{sentences(a, b)}.</p>" if rnd.random() < 0.6 else f"{sentences(a, b)}."
     hinted = lambda kind: rnd.choice([w for w in HINTS[kind].split() if _HINT_OF[w] == kind])
+    # Half of the short texts of boilerplate say what they are; now and then content has such a word, too.
+    tell = lambda kind, n: " ".join([rnd.choice(TELLS[kind].split()).capitalize(), words(0, n) if rnd.random() < 0.6 else ""]).strip() if rnd.random() < 0.6 else words(1, n + 1)
 
     def named(kind: str, tags: str) -> tuple[str, str]:
         tag = rnd.choice(tags.split())
         hint = f' {rnd.choice(("class", "id"))}="{hinted(kind)}"' if tag in ("div", "section", "ul", "p", "span", "ol") or rnd.random() < 0.4 else ""
+        if hint and rnd.random() < (0.5 if kind == "main" else 0.25):
+            hint = rnd.choice(["", f' class="{word()}"'])
         return f"<{tag}{hint}>", f"</{tag}>"
 
     def wrap(kind: str, tags: str, inner: str) -> str:
@@ -375,21 +439,20 @@ def training_pages(n: int = 600, seed: int = 11) -> list[tuple[str, Callable[[st
         return a + inner + b
 
     links = lambda a, b: "".join(f'<li><a href="/{word()}">{words(1, 3)}</a></li>' for _ in range(rnd.randint(a, b)))
-    plain = lambda a, b: f"<p>{words(a, b)}.</p>" if rnd.random() < 0.6 else f"{words(a, b)}."
     boiler = {
         "menu": lambda: wrap("menu", "nav nav nav div ul", plain(1, 9) if rnd.random() < 0.2 else f"<ul>{links(2, 9)}</ul>" if rnd.random() < 0.7 else " | ".join(f'<a href="#">{words(1, 2)}</a>' for _ in range(5))),
         "head": lambda: wrap("head", "header header div", rnd.choice([f"<h1>{words(1, 4)}</h1>", f"<a href='/'>{words(1, 3)}</a>", f"<p>{words(2, 8)}</p>", f"<h2>{words(1, 4)}</h2><p>{words(3, 9)}</p>"])),
-        "foot": lambda: wrap("foot", "footer footer footer div", rnd.choice([f"&copy; {words(1, 3)} &middot; {words(3, 12)}.", plain(4, 30), f"<ul>{links(2, 5)}</ul>{words(2, 5)}"])),
-        "side": lambda: wrap("side", "aside aside div section", rnd.choice([f"<h3>{words(1, 4)}</h3><ul>{links(2, 6)}</ul>", plain(5, 50), f"<h3>{words(1, 3)}</h3><p>{words(8, 40)}.</p>"])),
-        "notice": lambda: wrap("notice", "div div section", plain(5, 40) + (f"<button>{word()}</button>" if rnd.random() < 0.5 else "")),
+        "foot": lambda: wrap("foot", "footer footer footer div", rnd.choice([f"&copy; {words(1, 3)} &middot; {sentences(3, 12)}.", f"<p>{tell('foot', 4)} {rnd.randint(1995, 2026)}</p>", plain(4, 30), f"<ul>{links(2, 5)}</ul>{words(2, 5)}"])),
+        "side": lambda: wrap("side", "aside aside div section", rnd.choice([f"<h3>{tell('side', 3)}</h3><ul>{links(2, 6)}</ul>", plain(5, 50), f"<h3>{tell('side', 2)}</h3><p>{words(8, 40)}.</p>"])),
+        "notice": lambda: wrap("notice", "div div section", (f"<p>{tell('notice', 3)} {words(3, 20)}.</p>" if rnd.random() < 0.4 else plain(5, 40)) + (f"<button>{word()}</button>" if rnd.random() < 0.5 else "")),
         "ad": lambda: wrap("ad", "div div section aside", plain(2, 30)),
         "form": lambda: f"<form>{words(1, 4)}<label>{words(1, 3)}</label><input name=q><button>{word()}</button>{plain(3, 12)}</form>",
-        "talk": lambda: wrap("talk", "section div ol", f"<h3>{words(1, 2)}</h3>" + "".join(wrap("talk", "div article li", f"<p>{words(3, 60)}.</p>") for _ in range(rnd.randint(1, 5)))),
+        "talk": lambda: wrap("talk", "section div ol", f"<h3>{tell('talk', 1)}</h3>" + "".join(wrap("talk", "div article li", f"<p>{words(3, 60)}.</p>") if rnd.random() < 0.7 else f"<p>{word().capitalize()}: {words(2, 40)}.</p>" for _ in range(rnd.randint(1, 5)))),
         "meta": lambda: wrap("meta", "div p span", words(2, 6)),
     }
 
     def text(a: int, b: int) -> str:
-        made = words(a, b)
+        made = sentences(a, b)
         cut = rnd.random()
         if cut < 0.2:
             made += f' <a href="/{word()}">{_MARK}{words(1, 3)}</a> {words(1, 9)}'
@@ -397,16 +460,16 @@ def training_pages(n: int = 600, seed: int = 11) -> list[tuple[str, Callable[[st
             return f"<b>{_MARK}{made}<br>"
         elif cut < 0.4:
             made += f" <em>{_MARK}{words(1, 4)}</em> {words(2, 9)}"
-        return _MARK + made
+        return _MARK + (made if rnd.random() > 0.02 else f"{rnd.choice(sorted(_TELL_OF))} {made}")
 
     def article() -> str:
         parts = [f"<{(h := rnd.choice(['h1', 'h1', 'h2']))}>{_MARK}{words(2, 9)}</{h}>"] if rnd.random() < 0.85 else []
         if parts and rnd.random() < 0.15:
             parts = [f"<header>{parts[0]}</header>"]
-        for _ in range(rnd.randint(1, 9)):
+        for _ in range(rnd.choice([0, 1, 2, 4, 7, 10, 25])):
             x = rnd.random()
             if x < 0.72:
-                parts.append(f"<p>{text(1, rnd.choice([6, 20, 90]))}.</p>")
+                parts.append(f"<p>{text(1, rnd.choice([6, 20, 90, 90, 400]))}.</p>")
             elif x < 0.78:
                 parts.append(f"<h2>{_MARK}{words(1, 6)}</h2>")
             elif x < 0.84:
@@ -419,7 +482,7 @@ def training_pages(n: int = 600, seed: int = 11) -> list[tuple[str, Callable[[st
                 parts.append("<table>" + "".join(f"<tr><td>{_MARK}{words(1, 4)}</td><td>{_MARK}{words(1, 4)}</td></tr>" for _ in range(3)) + "</table>")
             else:
                 parts.append(boiler[rnd.choice(["ad", "meta", "side", "form", "notice", "talk", "talk"])]())
-        tag = rnd.choice(["article"] * 5 + ["main", "main", "div", "div", "section"])
+        tag = rnd.choice(["article"] * 5 + ["main", "main"] + ["div"] * 5 + ["section"])
         inner = "".join(parts)
         if tag in ("div", "section") or rnd.random() < 0.2:
             a, b = named("main", tag)
@@ -456,11 +519,11 @@ def main_text(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     give the empty text. Broken markup is read as browsers do: what is open is closed. Pages are worked off
     one by one, so repeated rows and null ids or urls just stay; an empty table gives an empty one.
     """
-    shared = None if model is None else pages.sparkSession.sparkContext.broadcast(model)
+    # A model is a few tables of counts, by tag and by what is seen; it is fitted once, on the driver.
+    shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        use = default_model() if shared is None else shared.value
-        texts = [use.extract(x) if x else "" for x in batch.column("html").to_pylist()]
+        texts = [shared.value.extract(x) if x else "" for x in batch.column("html").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
