@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from scorelake.llm.common import cut, held, map_batches, texts_of
 
 ORDER = 4
-MOST_DOCS = 1500
+MOST_DOCS, MOST_LANGS = 1500, 500
 UND = "und"
 #: Rejected: over this many deviations (of calibration texts of like length) above the median, and over this
 #: many times what all but a few calibration texts reached: those above the quantile SEEN may be wrongly labelled.
@@ -222,15 +222,15 @@ def scorer(model: LanguageModel) -> Scorer:
     return held(("language", id(model)), lambda: Scorer(model))
 
 
-def train(docs: DataFrame, most_docs: int = MOST_DOCS, holdout: int = 2) -> LanguageModel:
+def train(docs: DataFrame, most_docs: int = MOST_DOCS, holdout: int = 2, most_langs: int = MOST_LANGS) -> LanguageModel:
     """Learn from documents with a lang, a text and crc32(doc_id as text) mod 4 <> `holdout`.
 
     About `most_docs` documents a language are taken, whole: those whose hash is lowest. Every fifth of them only
-    calibrates the rejection. With no such document the model has no language and judges all texts `und`.
+    calibrates the rejection. Of more than `most_langs` languages those with most documents are learned. With no such document the model has no language and judges all texts `und`.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where("doc_id is not null and text is not null and lang is not null").where(F.crc32(F.col("doc_id").cast("string")) % 4 != holdout)
-    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not totals:
         return LanguageModel([])
     limits = F.create_map(*(F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, most_docs / n)))

@@ -26,6 +26,7 @@ from scorelake.llm.wordtok import tokenizer
 FINE = 16
 #: The finest class; smaller remainders take a slot of it.
 LEAST_SLOT_K = 128
+BUCKET, LEAST_BUCKETS = 20_000, 1024
 #: Sequence ids are bin * ID_STEP + class; class 0 has the bins of left-over pieces.
 ID_STEP = 256
 
@@ -90,7 +91,7 @@ def _best_fit(capacity: int):
     return pack
 
 
-def harmonic_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, buckets: int = 1024, with_ids: bool = False) -> DataFrame:
+def harmonic_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """docs: doc_id long, text string; other columns are ignored. Null text counts as empty.
 
     Returns a row for each piece: doc_id, start, length, ids_crc32, doc_tokens (with the end id),
@@ -102,7 +103,9 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, en
     if not 0 < LEAST_SLOT_K <= capacity:
         raise ValueError(f"capacity must be at least {LEAST_SLOT_K}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = cut(_pieces(docs, tokenizer_path, capacity, end_id, with_ids)).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    pieces = cut(_pieces(docs, tokenizer_path, capacity, end_id, with_ids))
+    # A bucket has about BUCKET pieces, whatever one document has.
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(max(LEAST_BUCKETS, pieces.count() // BUCKET))))
 
     group = Window.partitionBy("class", "bucket")
     counted = pieces.groupBy("class", "bucket").agg(F.count("*").alias("n"))
