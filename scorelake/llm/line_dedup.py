@@ -1,44 +1,43 @@
-"""Repeated passages by hashing of normalised units and of picked windows of words.
+"""Repeated lines and passages by hashing of normalised units and of picked windows of words.
 
-Units are lines, cut further at sentence ends and before capitalised words, so that a passage set into the
-middle of a line has units of its own; long units are cut before words picked by their hash. A digest covers a stretch of whole units: from every unit on, the
-shortest stretch of at least `min_words` words, and up to every unit's end likewise. Besides, windows of
+Every line has a digest of its words, however short it is. Besides, units are lines cut further at sentence ends and before
+capitalised words, so that a passage set into the middle of a line has units of its own; long units are cut before words picked by
+their hash. A digest covers a stretch of whole units: from every unit on, the shortest stretch of at least `min_words` words, and
+up to every unit's end likewise. And windows of
 `min_words` words are picked wherever they begin: of every min_words + 1 neighbours the one of lowest digest
 (winnowing), so two texts that share a run of 2 * min_words words share a picked window of it. Words are
 lower-cased and white space doesn't count. Of each digest the occurrence that comes first by (doc_id,
 version, word) stays; all others are cut out of their texts, and their offsets in the original text are kept.
 
-The cut-out runs are then extended word by word as far as the text goes on like that of the first place. The
+The cut-out runs of stretches and windows are then extended word by word as far as the text goes on like that of the first place. The
 outermost picked window of a run of 2 * min_words words lies at most min_words words from either end of it,
 so so many words beside the first place, hashed, are all that has to be fetched; only stretches
 near the ends of what is cut out ask for them.
 
-Digests are first only counted. What occurs more than once goes into a bit map of fixed size
-(2^26 bits, 8 MB), by which the second pass leaves out nearly all others before they are shuffled;
-ranking then is exact, so a chance hit in the map changes nothing. Digests that occur more than HOT times
-have a map of their own: their occurrences meet their first place under one of SALTS salts, so that a
-passage in a third of all documents is no single task's work. A third pass gives the words beside the
-first places that are asked for, found by a map of the same size.
+Digests are first only counted. What occurs more than once goes into a bit map, by which the second pass leaves out nearly all
+others before they are shuffled; ranking then is exact, so a chance hit in the map changes nothing. A map has
+BITS_EACH bits for each digest that it holds, at most 2^MOST_MAP_BITS (128 MB); beyond, it lets more through. Digests of very
+many occurrences meet their first place in several tasks, so that a passage in a third of all documents is no
+single task's work. A third pass gives the words beside the first places that are asked for, found by a map like the first.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import cut, map_batches, texts_of
+from scorelake.llm.common import cut, join_hot, map_batches, remove_folder, table, texts_of
 
-MIN_WORDS = 25
+MIN_WORDS, MIN_LINE_WORDS = 25, 1
 #: A unit of over min_words words is cut before words whose hash this number divides.
 LONG_UNIT_STEP = 8
-#: Fixed whatever the input: 2^MAP_BITS bits.
-MAP_BITS = 26
-#: A digest of more occurrences is dealt over so many tasks.
-HOT, SALTS = 1000, 256
+#: Bits of a map: BITS_EACH for each digest, rounded up to a power of two. They are made in parts of 2^PART_BITS.
+BITS_EACH, MOST_MAP_BITS, PART_BITS = 16, 30, 18
 _BASE = 0x9E3779B97F4A7C15
 _BASE2 = 0xC2B2AE3D27D4EB4F
 _SPACE = np.zeros(256, bool)
@@ -97,12 +96,12 @@ def _edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def stretches(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """digest, check, first and last word (exclusive) of each stretch of units and each picked window; and the words' hashes."""
+def stretches(text: str, min_words: int, min_line_words: int = MIN_LINE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """digest, check, first and last word (exclusive) of each line, stretch of units and picked window; and the words' hashes."""
     none = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     data = text.encode("utf-8", "surrogatepass")
     words = data.lower().split()
-    if len(words) < min_words:
+    if len(words) < min(min_words, max(1, min_line_words)):
         return none
     raw = np.frombuffer(data, np.uint8)
     first, last = _edges(raw)
@@ -110,9 +109,12 @@ def stretches(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.nda
     lines = np.concatenate([[0], np.cumsum(raw == 10)])
     lead, second = raw[first], raw[np.minimum(first + 1, len(raw) - 1)]
     begins = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    begins[1:] |= (lines[first[1:]] > lines[last[:-1]]) | _STOP[raw[last[:-1] - 1]]
-    begins[0] = True
+    fresh = np.append(True, lines[first[1:]] > lines[last[:-1]])
+    begins[1:] |= _STOP[raw[last[:-1] - 1]]
+    begins |= fresh
     h = _hashed(words)
+    line, line_end = np.flatnonzero(fresh), np.append(np.flatnonzero(fresh)[1:], len(words))
+    long_enough = line_end - line >= max(1, min_line_words)
     unit = np.cumsum(begins) - 1
     long = np.bincount(unit) > min_words
     begins |= long[unit] & (h % np.uint64(LONG_UNIT_STEP) == 0)
@@ -122,9 +124,9 @@ def stretches(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.nda
     back = np.searchsorted(bounds, bounds[1:] - min_words, side="right") - 1
     enough = back >= 0
     n = len(words) + 1
-    every = np.arange(len(words) - min_words + 1)
+    every = np.arange(max(0, len(words) - min_words + 1))
     window = every[_picked(_digests(h, every, every + min_words, _BASE), min_words + 1)]
-    pairs = np.unique(np.concatenate([bounds[:-1][fits] * n + bounds[to[fits]], bounds[back[enough]] * n + bounds[1:][enough], window * n + window + min_words]))
+    pairs = np.unique(np.concatenate([line[long_enough] * n + line_end[long_enough], bounds[:-1][fits] * n + bounds[to[fits]], bounds[back[enough]] * n + bounds[1:][enough], window * n + window + min_words]))
     if not len(pairs):
         return none
     a, b = pairs // n, pairs % n
@@ -132,36 +134,30 @@ def stretches(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _hits(bits: np.ndarray, digest: np.ndarray) -> np.ndarray:
-    bit = digest >> np.uint64(64 - MAP_BITS)
-    return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+    bit = digest >> np.uint64(64 - (len(bits).bit_length() + 2))
+    return bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0
 
 
 def _marks(doc_id: np.ndarray, version: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (doc_id.astype(np.uint64) * np.uint64(_BASE) + version.view(np.uint64) + start.astype(np.uint64)) * np.uint64(_BASE2)
 
 
-def _occurrences(docs: DataFrame, min_words: int, maps=None) -> DataFrame:
-    """A row for each stretch, its span the first word and, in the low 32 bits, the number of words; with the two bit maps, only those whose digest is in the first; salt is -1 for those that aren't in the second."""
+def _occurrences(docs: DataFrame, min_words: int, min_line_words: int, twice=None) -> DataFrame:
+    """A row for each line and stretch, its span the first word and, in the low 32 bits, the number of words; with the bit map, only those whose digest is in it."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [stretches(t, min_words) for t in texts_of(batch)]
+        made = [stretches(t, min_words, min_line_words) for t in texts_of(batch)]
         of = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
         digest, check, start, end = (np.concatenate([m[i] for m in made]) if made else np.empty(0, np.int64) for i in range(4))
         digest = digest.astype(np.uint64)
-        if maps is None:
+        if twice is None:
             return pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64))], ["digest"])
-        twice, hot = maps.value
-        keep = _hits(twice, digest)
+        keep = _hits(twice.value, digest)
         of, digest, check, start, end = of[keep], digest[keep], check[keep].astype(np.uint64), start[keep], end[keep]
-        doc_id, version = (batch.column(c).to_numpy()[of] for c in ("doc_id", "version"))
-        # The salt follows from the place alone, so a task that runs again deals alike.
-        mark = _marks(doc_id, version, start)
-        salt = np.where(_hits(hot, digest), (mark >> np.uint64(40)) % np.uint64(SALTS), 1 << 20).astype(np.int32)
-        salt[salt == 1 << 20] = -1
-        columns = [pa.array(digest.view(np.int64)), pa.array(check.view(np.int64)), pa.array(salt), pa.array(doc_id), pa.array(version), pa.array(start << 32 | end - start)]
-        return pa.RecordBatch.from_arrays(columns, ["digest", "check", "salt", "doc_id", "version", "span"])
+        columns = [pa.array(digest.view(np.int64)), pa.array(check.view(np.int64)), *(pa.array(batch.column(c).to_numpy()[of]) for c in ("doc_id", "version")), pa.array(start << 32 | end - start)]
+        return pa.RecordBatch.from_arrays(columns, ["digest", "check", "doc_id", "version", "span"])
 
-    return map_batches(docs, make, "digest long" if maps is None else "digest long, check long, salt int, doc_id long, version long, span long")
+    return map_batches(docs, make, "digest long" if twice is None else "digest long, check long, doc_id long, version long, span long")
 
 
 def _beside(h: np.ndarray, a: int, b: int, most: int) -> tuple[bytes, bytes]:
@@ -169,36 +165,48 @@ def _beside(h: np.ndarray, a: int, b: int, most: int) -> tuple[bytes, bytes]:
     return h[max(0, a - most) : a][::-1].astype(np.uint32).tobytes(), h[b : b + most].astype(np.uint32).tobytes()
 
 
-def _surroundings(docs: DataFrame, min_words: int, maps, wanted) -> DataFrame:
-    """The words beside each stretch whose mark is in the bit map `wanted`; hot if its digest is."""
+#: Stands for a whole document among the places of a mark.
+WHOLE = 1 << 40
+
+
+def _surroundings(docs: DataFrame, min_words: int, wanted) -> DataFrame:
+    """The words beside each stretch whose mark is in the bit map `wanted`; only documents whose own mark is in it are looked at."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, versions = (batch.column(c).to_numpy() for c in ("doc_id", "version"))
-        columns: list[list] = [[] for _ in range(7)]
-        for i, text in enumerate(texts_of(batch)):
-            digest, _, start, end, h = stretches(text, min_words)
+        columns: list[list] = [[] for _ in range(6)]
+        asked = _hits(wanted.value, _marks(ids, versions, np.full(len(ids), WHOLE)))
+        texts = batch.column("text")
+        for i in np.flatnonzero(asked).tolist():
+            digest, _, start, end, h = stretches(texts[i].as_py() or "", min_words, min_words)
             if not len(digest):
                 continue
             at = np.flatnonzero(_hits(wanted.value, _marks(ids[i : i + 1], versions[i : i + 1], start)))
-            for k, hot in zip(at, _hits(maps.value[1], digest[at]), strict=True):
-                row = ids[i], versions[i], start[k], end[k], hot, *_beside(h, start[k], end[k], min_words)
+            for k in at:
+                row = ids[i], versions[i], start[k], end[k], *_beside(h, start[k], end[k], min_words)
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["f_doc", "f_version", "f_start", "f_end", "hot", "before", "behind"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["f_doc", "f_version", "f_start", "f_end", "before", "behind"])
+
+    return map_batches(docs, make, "f_doc long, f_version long, f_start int, f_end int, before binary, behind binary")
+
 
-    return map_batches(docs, make, "f_doc long, f_version long, f_start int, f_end int, hot boolean, before binary, behind binary")
+def _bit_map(digests: DataFrame, n: int) -> np.ndarray:
+    """The highest bits of n digests as a map, in bytes. Its parts are made by the workers; the driver gets no more than the map itself."""
+    bits = min(MOST_MAP_BITS, max(PART_BITS, (BITS_EACH * n).bit_length()))
 
+    def part(rows: pd.DataFrame) -> pd.DataFrame:
+        marked = np.zeros(1 << PART_BITS, bool)
+        marked[rows["bit"].to_numpy() & ((1 << PART_BITS) - 1)] = True
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "bytes": [np.packbits(marked, bitorder="little").tobytes()]})
 
-def _bit_maps(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The highest bits of digests with n > 1, and of those with n > HOT, as maps of 2^MAP_BITS bits; they come to the driver as at most 2^(MAP_BITS - 6) rows."""
-    bit = f"shiftrightunsigned(digest, {64 - MAP_BITS})"
-    one = f"shiftleft(1L, cast({bit} & 63 as int))"
-    words = counted.groupBy(F.expr(f"shiftrightunsigned({bit}, 6)").alias("word")).agg(F.expr(f"bit_or({one})").alias("twice"), F.expr(f"bit_or(if(n > {HOT}, {one}, 0L))").alias("hot")).toArrow()
-    maps = np.zeros((2, 1 << (MAP_BITS - 6)), np.uint64)
-    for row, name in zip(maps, ("twice", "hot"), strict=True):
-        row[words["word"].to_numpy()] = words[name].to_numpy().view(np.uint64)
-    return maps[0], maps[1]
+    rows = digests.select(F.expr(f"shiftrightunsigned(digest, {64 - bits})").alias("bit")).withColumn("part", F.shiftright("bit", PART_BITS))
+    made = rows.groupBy("part").applyInPandas(part, "part long, bytes binary").toArrow()
+    out = np.zeros((1 << (bits - PART_BITS), 1 << (PART_BITS - 3)), np.uint8)
+    for k, data in zip(made["part"].to_pylist(), made["bytes"].to_pylist(), strict=True):
+        out[k] = np.frombuffer(data, np.uint8)
+    return out.ravel()
 
 
 def _ends(later: DataFrame, around: int) -> DataFrame:
@@ -214,13 +222,14 @@ def _ends(later: DataFrame, around: int) -> DataFrame:
 
 
 def _marked(ends: DataFrame) -> DataFrame:
-    """The marks of the first places, as digests for the bit map."""
+    """The marks of the first places and of their documents, as digests for a bit map."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        mark = _marks(*(batch.column(c).to_numpy() for c in ("f_doc", "f_version", "f_start")))
-        return pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(np.ones(len(mark), np.int64))], ["digest", "n"])
+        doc, version, start = (batch.column(c).to_numpy() for c in ("f_doc", "f_version", "f_start"))
+        mark = np.concatenate([_marks(doc, version, start), _marks(doc, version, np.full(len(doc), WHOLE))])
+        return pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64))], ["digest"])
 
-    return map_batches(ends.select("f_doc", "f_version", "f_start"), make, "digest long, n long")
+    return map_batches(ends.select("f_doc", "f_version", "f_start"), make, "digest long")
 
 
 def _extended(h: np.ndarray, spans: list[dict]) -> list[tuple[int, int]]:
@@ -238,19 +247,24 @@ def _extended(h: np.ndarray, spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut_text(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the bytes of the spans, and the spans' union as character offsets."""
-    data = text.encode("utf-8", "surrogatepass")
+def _union(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte spans, ascending; those with nothing but white space between them become one."""
     union: list[list[int]] = []
     for a, b in sorted(spans):
-        if union and not data[union[-1][1] : a].strip():
-            union[-1][1] = max(union[-1][1], b)
-        elif union and a <= union[-1][1]:
+        if union and (a <= union[-1][1] or not data[union[-1][1] : a].strip()):
             union[-1][1] = max(union[-1][1], b)
         else:
             union.append([a, b])
-    raw = np.frombuffer(data, np.uint8)
-    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    return [(a, b) for a, b in union]
+
+
+def _offsets(data: bytes, union: list[tuple[int, int]]) -> list[dict]:
+    """Byte spans as character offsets."""
+    chars = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+    return [{"start": int(chars[a]), "end": int(chars[b])} for a, b in union]
+
+
+def _without(data: bytes, union: list[tuple[int, int]]) -> str:
     kept, at = [], 0
     for a, b in union:
         kept.append(data[at:a])
@@ -260,65 +274,83 @@ def _cut_text(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[
             kept.append(b"\n")
     kept.append(data[at:])
     out = b"".join(kept)
-    return (out if data[-1:].isspace() else out.rstrip()).decode("utf-8", "surrogatepass"), [(int(chars[a]), int(chars[b])) for a, b in union]
+    return (out if data[-1:].isspace() else out.rstrip()).decode("utf-8", "surrogatepass")
+
 
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in (t.lower() for t in taken):
+        name += "_"
+    return name
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs: doc_id long, text string, any other columns but `version` and `removed`.
 
-    Returns docs, each row once, with `text` less its repeated passages, and `removed`: the cut-out
-    spans as an array of (start, end) character offsets in the original text, ascending. A text without
-    repeats is returned as it is.
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
+    """docs: doc_id long, text string, any other columns; those named removed or removed_lines are replaced.
 
-    A run of 2 * min_words words that repeats is found wherever it begins, and so are shorter ones, of min_words words
-    or more, of whole units. Extension follows the first place of each stretch.
+    Returns docs, each row once, with `text` less its repeated lines and passages, and the cut-out
+    spans as arrays of (start, end) character offsets in the original text, ascending: `removed` has passages, `removed_lines` the
+    lines of at least min_line_words and fewer than min_words words outside of these. A text without repeats is returned as it is.
 
-    Null text stays null and texts of fewer than min_words words are never touched. Rows with a null
-    doc_id have no rank: they neither lose nor claim passages. Rows that share doc_id and text count as one
-    document; rows that share just a doc_id rank by their text's hash. A passage that a document holds twice
+    A line that repeats as a whole is found whatever its length (min_line_words is 1 unless said otherwise; from min_words on, no
+    short line is looked for). A run of 2 * min_words words that repeats is found wherever it begins, and so are shorter ones, of
+    min_words words or more, of whole units. Extension follows the first place of each stretch.
+
+    Null text stays null; lines without words don't count. Rows with a null
+    doc_id have no rank: they neither lose nor claim anything. Rows that share doc_id and text count as one
+    document; rows that share just a doc_id rank by their text's hash. What a document holds twice
     keeps its first place. A document may be left with an empty text. An empty table gives an empty one.
     """
+    docs = docs.drop("removed", "removed_lines")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("version"))
     keyed = keyed.where("doc_id is not null and text is not null")
-    counted = _occurrences(keyed, min_words).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    shared = docs.sparkSession.sparkContext.broadcast(_bit_maps(counted))
-    found = cut(_occurrences(keyed, min_words, shared))
+    spark = docs.sparkSession
+    counted = cut(_occurrences(keyed, min_words, min_line_words).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
+    twice = spark.sparkContext.broadcast(_bit_map(counted, counted.count()))
+    # The occurrences are many and of no use once the later ones are known, so they are a table that can be deleted.
+    found, folder = table(_occurrences(keyed, min_words, min_line_words, twice), "occurrences")
     place = F.struct("doc_id", "version", "span")
-    first = found.groupBy("digest", "check").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("salt").alias("salt")).where("n > 1")
-    salts = F.when(F.col("salt") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    first = first.select("digest", "check", "first", F.explode(salts).alias("salt"))
-    later = found.join(first, ["digest", "check", "salt"]).where(place != F.col("first"))
+    first, firsts = table(found.groupBy("digest", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    later = join_hot(found, first, ["digest", "check"], found.count(), "version").where(place != F.col("first"))
     word = lambda span: F.shiftright(span, 32).cast("int")
     end = lambda span: word(span) + F.col(span).bitwiseAND(0xFFFFFFFF).cast("int")
-    later = later.select("doc_id", "version", word("span").alias("start"), end("span").alias("end"), "salt", F.col("first.doc_id").alias("f_doc"), F.col("first.version").alias("f_version"), word("first.span").alias("f_start"), end("first.span").alias("f_end"))
-    ends = cut(_ends(later, min_words))
-    wanted = docs.sparkSession.sparkContext.broadcast(_bit_maps(_marked(ends))[0])
-    at = ["f_doc", "f_version", "f_start", "f_end"]
-    beside = _surroundings(keyed, min_words, shared, wanted).dropDuplicates(at)
-    beside = beside.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1))))).drop("hot")
-    near = ends.join(beside, [*at, "salt"], "left").select("doc_id", "version", "low", "high", "start", "end", F.when(F.col("left"), F.col("before")).alias("before"), F.when(F.col("right"), F.col("behind")).alias("behind"))
-    spans = near.groupBy("doc_id", "version").agg(F.collect_set(F.struct("low", "high", "start", "end", "before", "behind")).alias("__spans"))
-
+    later, _ = table(later.select("doc_id", "version", word("span").alias("start"), end("span").alias("end"), F.col("first.doc_id").alias("f_doc"), F.col("first.version").alias("f_version"), word("first.span").alias("f_start"), end("first.span").alias("f_end")), "later")
+    remove_folder(spark, folder)
+    remove_folder(spark, firsts)
+    short = F.col("end") - F.col("start") < min_words
+    ends, _ = table(_ends(later.where(~short), min_words), "ends")
+    n_ends, at = ends.count(), ["f_doc", "f_version", "f_start", "f_end"]
+    wanted = spark.sparkContext.broadcast(_bit_map(_marked(ends), 2 * n_ends))
+    asked = ends.groupBy(*at).agg(F.count("*").alias("n"))
+    beside = asked.join(_surroundings(keyed, min_words, wanted).dropDuplicates(at), at)
+    near = join_hot(ends, beside, at, n_ends, "version", "left", asked).select("doc_id", "version", "low", "high", "start", "end", F.when(F.col("left"), F.col("before")).alias("before"), F.when(F.col("right"), F.col("behind")).alias("behind"))
+    lines = later.where(short).select("doc_id", "version", F.col("start").alias("low"), F.col("end").alias("high"), "start", "end", F.lit(None).cast("binary").alias("before"), F.lit(None).cast("binary").alias("behind"))
     names = docs.columns
-    left = docs.withColumn("__version", F.xxhash64(F.col("text").cast("string"))).alias("d")
-    joined = left.join(spans.alias("s"), (F.col("d.doc_id") == F.col("s.doc_id")) & (F.col("d.__version") == F.col("s.version")), "left")
-    joined = joined.select(*(F.col(f"d.`{c}`") for c in names), F.col("s.__spans"))
-    at = names.index("text")
-    schema = T.StructType([*docs.schema.fields]).add("removed", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
+    own, spans_name = _free("__version", names), _free("__spans", names)
+    spans = near.unionByName(lines).groupBy("doc_id", "version").agg(F.collect_set(F.struct("low", "high", "start", "end", "before", "behind")).alias(spans_name))
+
+    left = docs.withColumn(own, F.xxhash64(F.col("text").cast("string"))).alias("d")
+    joined = left.join(spans.alias("s"), (F.col("d.doc_id") == F.col("s.doc_id")) & (F.col(f"d.`{own}`") == F.col("s.version")), "left")
+    joined = joined.select(*(F.col(f"d.`{c}`") for c in names), F.col(f"s.`{spans_name}`"))
+    at = [n.lower() for n in names].index("text")
+    kind = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
+    schema = T.StructType([*docs.schema.fields]).add("removed", kind).add("removed_lines", kind)
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, removed = batch.column("text").to_pylist(), []
-        for i, spans in enumerate(batch.column("__spans").to_pylist()):
+        texts, removed, removed_lines = batch.column(at).to_pylist(), [], []
+        for i, spans in enumerate(batch.column(len(names)).to_pylist()):
+            passages, lines, data = [], [], b""
             if spans and texts[i] is not None:
                 data = texts[i].encode("utf-8", "surrogatepass")
                 first, last = _edges(np.frombuffer(data, np.uint8))
-                runs = _extended(_hashed(data.lower().split()), spans)
-                texts[i], gone = _cut_text(texts[i], [(int(first[a]), int(last[b - 1])) for a, b in set(runs)])
-                removed.append([{"start": a, "end": b} for a, b in gone])
-            else:
-                removed.append([])
+                long = [s for s in spans if s["end"] - s["start"] >= min_words]
+                if long:
+                    passages = _union(data, [(int(first[a]), int(last[b - 1])) for a, b in set(_extended(_hashed(data.lower().split()), long))])
+                lines = [(int(first[s["start"]]), int(last[s["end"] - 1])) for s in spans if s["end"] - s["start"] < min_words]
+                lines = _union(data, [(a, b) for a, b in lines if not any(c <= a and b <= d for c, d in passages)])
+                texts[i] = _without(data, _union(data, passages + lines))
+            removed.append(_offsets(data, passages))
+            removed_lines.append(_offsets(data, lines))
         columns = [batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.RecordBatch.from_arrays([*columns, pa.array(removed, kind)], [*names, "removed"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(removed, kind), pa.array(removed_lines, kind)], [*names, "removed", "removed_lines"])
 
     return map_batches(joined, apply, schema)

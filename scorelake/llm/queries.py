@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from scorelake.llm import byte_bpe, embed_dedup, gif, html_tree, langid, line_dedup, minhash, packing, quality, token_orc
+from scorelake.llm.common import remove_folder
 
 #: Places of public vocabulary files; operators take them as parameters.
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -30,7 +31,7 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_orc.new_folder(spark)
     token_orc.write_token_files(_table(spark, sf_dir, "documents"), folder, WORD_VOCABULARY, end_id=1)
     index = token_orc.token_index(token_orc.read_token_files(spark, folder))
-    token_orc.remove_folder(spark, folder)  # the index is in the checkpoint folder by now
+    remove_folder(spark, folder)  # the index is in the checkpoint folder by now
     return index
 
 

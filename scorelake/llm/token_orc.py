@@ -27,11 +27,6 @@ def new_folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
 
 
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1) -> None:
     """Encode every text and write doc_id, ids, part and pos (place within the part) in ascending doc_id order.
 
