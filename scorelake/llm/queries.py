@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scorelake.llm import byte_bpe, embed_dedup, gif, html_tree, langid, line_dedup, minhash, packing, quality, token_orc
+from scorelake.llm import byte_bpe, embed_dedup, gif, html_tree, langid, line_dedup, merkle, minhash, packing, quality, token_orc, toxicity
 from scorelake.llm.common import remove_folder
 
 #: Places of public vocabulary files; operators take them as parameters.
@@ -66,8 +67,23 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")), threshold=0.7)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fields = _table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return merkle.verified(docs, fields, group="source", order="doc_id", now=merkle.without_line_feeds(docs, fields, tampered))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_html_tree, op3_token_orc, op4_embed_dedup, op5_quality, op6_line_dedup, op7_byte_bpe, op8_gif, op9_language, op10_minhash)
+    f.__name__: f
+    for f in (
+        op1_packing, op2_html_tree, op3_token_orc, op4_embed_dedup, op5_quality, op6_line_dedup, op7_byte_bpe, op8_gif, op9_language, op10_minhash,
+        op11_toxicity, op12_merkle,
+    )
 }
 
 _COMPONENTS = """
