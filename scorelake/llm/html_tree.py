@@ -3,7 +3,7 @@
 A page becomes a DOM tree whose nodes are its elements and its runs of text. Each node has a hidden label
 (boilerplate, content, or a mixture of both below it); parent-child potentials tie labels along the
 tree's edges, and what is seen at a node speaks for its label: its tag, words of class and id, share of links, length, sentence ends,
-place on the page, and what its first short text says, as headings of comments and lines of rights do in many languages.
+place on the page, siblings of the same shape, and a heading that says nothing but what its section is, as those of comments do in many languages.
 Sum-product messages go up and down once and give each text run's exact content marginal; runs above the
 threshold are the main text.
 
@@ -75,7 +75,10 @@ TELLS = {
     "ad": "advertisement sponsored werbung anzeige publicité publicidad anuncio",
 }
 _TELL_OF = {word: kind for kind in reversed(TELLS) for word in TELLS[kind].split()}
-SHORT_TEXT, MOST_SEEN = 80, 100_000
+MOST_SEEN = 100_000
+#: What can be a section's heading, and what is never named by its first words.
+TITLES = frozenset("h2 h3 h4 h5 h6 b strong legend summary dt label caption".split())
+WHOLES = frozenset("article main body html".split())
 _LETTERS = re.compile(r"©|[^\W\d_]+")
 _STOPS = re.compile(r"[.!?…。](?=[\s\"'”»)]|$)")
 _HINT_OF = {word: kind for kind in reversed(HINTS) for word in HINTS[kind].split()}
@@ -93,16 +96,37 @@ class Node:
     linked: int = 0
     block: int = 0
     stops: int = 0
-    #: What the first short text says, and characters of the page before the node and in all.
+    #: What its heading says it is, siblings of the same shape, and characters of the page before the node and in all.
     lead: str = ""
+    alike: int = 0
+    #: Whether a heading of the page's highest rank stands in it.
+    heads: bool = False
+    #: Whether its parent is all links as well, which then says so for both; whether it is in an article or another part of the page with such a heading.
+    within: bool = False
+    under: bool = False
     before: int = 0
     whole: int = 0
 
 
 def _lead(text: str) -> str:
-    if len(text) > SHORT_TEXT:
-        return ""
-    return next((_TELL_OF[w] for w in _LETTERS.findall(text.lower()) if w in _TELL_OF), "")
+    """The sort of boilerplate that a text names, if at least half of its words do so."""
+    found = _LETTERS.findall(text.lower()) if len(text) <= 200 else []
+    told = [_TELL_OF[w] for w in found if w in _TELL_OF]
+    return told[0] if 2 * len(told) >= len(found) and told else ""
+
+
+def _same_shapes(nodes: list[Node]) -> None:
+    """Put into `alike` how many of its siblings have an element's tag and children's tags (0 to 3), where it has children of two tags or
+    more; what has none of its own takes its parent's.
+    """
+    kids: list[list[str]] = [[] for _ in nodes]
+    for n in nodes[1:]:
+        if n.tag != "#" and (not kids[n.parent] or kids[n.parent][-1] != n.tag):
+            kids[n.parent].append(n.tag)
+    shapes = [(n.parent, n.tag, *sorted(set(kids[i]))) for i, n in enumerate(nodes)]
+    counts = Counter(x for x in shapes if len(x) > 3)
+    for i, n in enumerate(nodes):
+        n.alike = min(3, counts[shapes[i]] - 1) if counts[shapes[i]] > 1 else nodes[n.parent].alike if i else 0
 
 
 @lru_cache(maxsize=4096)
@@ -243,25 +267,36 @@ def parse(page: str) -> list[Node]:
         in_link += tag == "a"
         in_hidden += tag in HIDES
         run = -1 if tag in BLOCK else run
-    told = [False] * len(nodes)
-    so_far = 0
+    so_far, titles = 0, []
     for i, node in enumerate(nodes):
         node.before = so_far
         if node.tag == "#" and node.chars:
-            so_far += node.chars
             shown = "".join(node.text)
-            node.stops, node.lead = len(_STOPS.findall(shown)), _lead(shown.strip())
-            at = node.parent
-            while at >= 0 and not told[at]:  # the first text in it
-                told[at], nodes[at].lead = True, node.lead
-                at = nodes[at].parent
+            node.stops = len(_STOPS.findall(shown))
+            titles.append((i, so_far, _lead(shown.strip())))
+            so_far += node.chars
+    top = min((n.tag for n in nodes if n.tag in _HEADINGS), default="h1")
     for i in range(len(nodes) - 1, 0, -1):
         node, up = nodes[i], nodes[nodes[i].parent]
         node.whole = so_far
         up.chars += node.chars
         up.linked += node.linked
         up.stops += node.stops
+        up.heads |= node.heads or node.tag == top
     nodes[0].whole = so_far
+    for i, before, lead in titles:
+        node, at = nodes[i], nodes[i].parent
+        if not lead or nodes[at].tag == top:
+            continue
+        node.lead, title = lead, nodes[at].tag in TITLES
+        # A heading names what it is the first text of, but neither an article nor what holds half of the page.
+        while at > 0 and title and nodes[at].before == before and nodes[at].tag not in WHOLES and 2 * nodes[at].chars < so_far:
+            nodes[at].lead, at = lead, nodes[at].parent
+    for node in nodes[1:]:
+        up = nodes[node.parent]
+        node.within = up.chars > 0 and up.linked == up.chars
+        node.under = up.under or up.heads and up.tag != "header" and (up.tag in WHOLES - {"body", "html"} or up.chars < so_far)
+    _same_shapes(nodes)
     return nodes
 
 
@@ -276,16 +311,16 @@ def _seen(node: Node) -> tuple:
     tag = _HEADINGS.get(node.tag, node.tag)
     if tag not in _KNOWN_TAGS:
         tag = "other"
-    links = 0 if not node.linked else 1 if node.linked * 4 < node.chars else 2 if node.linked * 4 < 3 * node.chars else 3
+    links = 4 if node.within else 0 if not node.linked else 1 if node.linked * 4 < node.chars else 2 if node.linked * 4 < 3 * node.chars else 3
     size = min(5, max(0, node.chars.bit_length() - 2) // 2)
     stops = 0 if not node.stops else 1 if node.stops < 3 else 2
     begins = 0 if not node.before else 1 + min(3, 4 * node.before // max(1, node.whole))
     ends = node.before + node.chars == node.whole
-    return tag, node.hint, links, node.lead, (size, stops), (begins, ends)
+    return tag, node.hint, links, node.lead, (size, stops), (begins, ends), (node.alike, min(size, 2), begins > 0), (node.heads, node.under, min(size, 3))
 
 
 #: How much each thing seen beside the tag counts. Length and place say little by themselves, and a node's say much the same as its parent's.
-WEIGHTS = (1.0, 1.0, 0.7, 0.3, 0.3)
+WEIGHTS = (1.0, 0.5, 0.4, 0.3, 0.4, 0.3, 0.8)
 _KNOWN_TAGS = frozenset("# html body div p h a li ul ol nav aside footer header form article main section span b i em strong table tr td blockquote pre button label address figure figcaption dl dd dt".split())
 
 
@@ -372,7 +407,7 @@ def fit(pages: Iterable[tuple[str, Callable[[str], bool]]], smooth: float = 0.5)
     """
     start, pairs = [smooth] * 3, {tag: [[0.0] * 3 for _ in range(3)] for tag in [*_KNOWN_TAGS, "other"]}
     tags: Counter = Counter()
-    views: list[Counter] = [Counter() for _ in range(5)]
+    views: list[Counter] = [Counter() for _ in WEIGHTS]
     for page, is_content in pages:
         nodes = parse(page)
         below = [[0, 0] for _ in nodes]
@@ -430,7 +465,7 @@ def training_pages(n: int = 900, seed: int = 11) -> list[tuple[str, Callable[[st
     def named(kind: str, tags: str) -> tuple[str, str]:
         tag = rnd.choice(tags.split())
         hint = f' {rnd.choice(("class", "id"))}="{hinted(kind)}"' if tag in ("div", "section", "ul", "p", "span", "ol") or rnd.random() < 0.4 else ""
-        if hint and rnd.random() < (0.5 if kind == "main" else 0.25):
+        if hint and rnd.random() < (0.65 if kind == "main" else 0.25):
             hint = rnd.choice(["", f' class="{word()}"'])
         return f"<{tag}{hint}>", f"</{tag}>"
 
@@ -449,8 +484,18 @@ def training_pages(n: int = 900, seed: int = 11) -> list[tuple[str, Callable[[st
         "form": lambda: f"<form>{words(1, 4)}<label>{words(1, 3)}</label><input name=q><button>{word()}</button>{plain(3, 12)}</form>",
         "talk": lambda: wrap("talk", "section div ol", f"<h3>{tell('talk', 1)}</h3>" + "".join(wrap("talk", "div article li", f"<p>{words(3, 60)}.</p>") if rnd.random() < 0.7 else f"<p>{word().capitalize()}: {words(2, 40)}.</p>" for _ in range(rnd.randint(1, 5)))),
         "meta": lambda: wrap("meta", "div p span", words(2, 6)),
+        "replies": lambda: replies(),
+        "cards": lambda: f"<div><h3>{words(1, 4)}</h3><ul>" + "".join(f"<li>{words(2, 7)}</li>" for _ in range(rnd.randint(2, 6))) + "</ul></div>",
     }
 
+    def replies() -> str:
+        """Comments without a heading or a name: who, when and what, several times."""
+        who, when = rnd.choice(["b", "strong", "cite", "h4", "a", "span"]), rnd.choice(["span", "time", "small", "em", "i"])
+        one = lambda: f"<{who}>{words(1, 2).title()}</{who}> <{when}>{words(1, 3)} {rnd.randint(1, 30)} {words(0, 1)}</{when}>"
+        tag = rnd.choice(["div", "li", "div"])
+        made = "".join(f"<{tag}>{one()}<p>{sentences(3, 50)}.</p></{tag}>" for _ in range(rnd.randint(2, 6)))
+        return made if tag == "div" and rnd.random() < 0.5 else f"<{'ol' if tag == 'li' else 'div'}>{made}</{'ol' if tag == 'li' else 'div'}>"
+
     def text(a: int, b: int) -> str:
         made = sentences(a, b)
         cut = rnd.random()
@@ -462,18 +507,27 @@ def training_pages(n: int = 900, seed: int = 11) -> list[tuple[str, Callable[[st
             made += f" <em>{_MARK}{words(1, 4)}</em> {words(2, 9)}"
         return _MARK + (made if rnd.random() > 0.02 else f"{rnd.choice(sorted(_TELL_OF))} {made}")
 
+    # Articles are about comments, cookies and rights, too.
+    title = lambda a, b: _MARK + (words(a, b) if rnd.random() < 0.85 else " ".join([rnd.choice(sorted(_TELL_OF)).capitalize(), words(0, 3)]).strip())
+
     def article() -> str:
-        parts = [f"<{(h := rnd.choice(['h1', 'h1', 'h2']))}>{_MARK}{words(2, 9)}</{h}>"] if rnd.random() < 0.85 else []
+        parts = [f"<{(h := rnd.choice(['h1', 'h1', 'h2']))}>{title(2, 9)}</{h}>"] if rnd.random() < 0.85 else []
         if parts and rnd.random() < 0.15:
             parts = [f"<header>{parts[0]}</header>"]
         for _ in range(rnd.choice([0, 1, 2, 4, 7, 10, 25])):
             x = rnd.random()
-            if x < 0.72:
+            if x < 0.66:
                 parts.append(f"<p>{text(1, rnd.choice([6, 20, 90, 90, 400]))}.</p>")
-            elif x < 0.78:
-                parts.append(f"<h2>{_MARK}{words(1, 6)}</h2>")
+            elif x < 0.72:
+                h = rnd.choice(["h2", "h3"])
+                part = f"<{h}>{title(1, 6)}</{h}>"
+                if rnd.random() < 0.4:
+                    part = "".join(f"<section>{part}<p>{text(5, 90)}.</p></section>" for _ in range(rnd.randint(1, 3)))
+                parts.append(part)
             elif x < 0.84:
-                parts.append("<ul>" + "".join(f"<li>{_MARK}{words(1, 20)}</li>" for _ in range(rnd.randint(1, 5))) + "</ul>")
+                linked = rnd.random() < 0.5
+                item = lambda: f'<a href="/{word()}">{_MARK}{words(1, 6)}</a>' if linked else _MARK + words(1, 20)  # noqa: B023, E731
+                parts.append("<ul>" + "".join(f"<li>{item()}</li>" for _ in range(rnd.randint(1, 7))) + "</ul>")
             elif x < 0.88:
                 parts.append(f"<blockquote><p>{text(3, 30)}</p></blockquote>")
             elif x < 0.91:
@@ -494,7 +548,7 @@ def training_pages(n: int = 900, seed: int = 11) -> list[tuple[str, Callable[[st
     pages = []
     for _ in range(n):
         before = [boiler[k]() for k in rnd.sample(["menu", "head", "ad", "notice", "form", "side"], rnd.randint(0, 4))]
-        after = [boiler[k]() for k in rnd.sample(["foot", "talk", "side", "ad", "form", "notice", "menu"], rnd.randint(0, 4))]
+        after = [boiler[k]() for k in rnd.sample(["foot", "talk", "side", "ad", "form", "notice", "menu", "replies", "cards"], rnd.randint(0, 5))]
         body = "".join([*before, article(), *after])
         if rnd.random() < 0.3:
             body = f'<div class="{rnd.choice(["wrapper", "container", "row", "layout"])}">{body}</div>'
