@@ -32,7 +32,9 @@ from scorelake.llm.pieces import LATIN, SPACE, chunks, distinct, put
 
 BLANK = "▁"  # how a piece shows a space
 #: Slices are given to the tokenizers in strings of so many bytes.
-JOB = 1 << 15
+JOB, AT_ONCE = 1 << 15, 8
+#: Bytes of text in a block of documents.
+BLOCK = 4 << 20
 #: A group with more pairs of tokens than this is expanded from its distinct ids and their numbers.
 WIDE = 4096
 _SEEN = np.zeros(256, bool)
@@ -92,10 +94,13 @@ class Tokenizers:
         self.first_b = 2 * len(shown)
 
     def encode(self, strings: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of strings that begin with a space; B puts its own in the place of that."""
-        texts = [s.decode() for s in strings]
-        a = [np.array(e.ids, np.int64) for e in self._a.encode_batch_fast(texts, add_special_tokens=False)]
-        return a, [np.array(ids, np.int64) for ids in self._b.encode([t[1:] for t in texts], num_threads=1)]
+        """Ids of strings that begin with a space; B puts its own in the place of that. A few strings at a time, as the libraries' own results are large."""
+        a, b = [], []
+        for k in range(0, len(strings), AT_ONCE):
+            texts = [s.decode() for s in strings[k : k + AT_ONCE]]
+            a += [np.array(e.ids, np.int64) for e in self._a.encode_batch_fast(texts, add_special_tokens=False)]
+            b += [np.array(ids, np.int64) for ids in self._b.encode([t[1:] for t in texts], num_threads=1)]
+        return a, b
 
     def same(self, string: bytes, a: np.ndarray, b: np.ndarray) -> bool:
         """Whether both id sequences stand for the string's bytes."""
@@ -274,7 +279,7 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             zero = pa.array(np.zeros(len(empty), np.int64))
             yield _batch(block=pa.array(np.full(len(empty), -1 - part)), doc_id=empty, **dict.fromkeys(COUNTS, zero), groups_sha256=pa.array([""] * len(empty)), at=pa.array([[]] * len(empty), pa.list_(pa.int32())), times=pa.array([[]] * len(empty), pa.list_(pa.int64())))
         ids, at = ids.filter(filled), 0
-        for data, first in chunks(pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts.filter(filled), pa.scalar("", pa.large_string()))):
+        for data, first in chunks(pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts.filter(filled), pa.scalar("", pa.large_string())), BLOCK):
             chunk, n = Chunk(of, data, first), len(first) - 1
             block, made[0] = part << 33 | made[0], made[0] + 1
             counts = {c: pa.array(chunk.counts[:, i]) for i, c in enumerate(COUNTS)}
