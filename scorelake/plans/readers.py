@@ -12,17 +12,22 @@ from scorelake.session import scratch_folder
 from scorelake.sources import ingest, sinks
 
 
-def _written(rows: DataFrame, value: Column, name: str, each: bool = False) -> str:
-    """A text file of all rows, or one for each, under names of Spark's own."""
+#: Records of a file that a query writes; there are as many files as that takes.
+SHARD = 2000
+
+
+def _written(rows: DataFrame, value: Column, name: str) -> str:
+    """A text file for each row, under names of Spark's own."""
     folder = scratch_folder(rows.sparkSession, name)
-    rows = rows.select(value.alias("value"))
-    if each:
-        rows.write.option("maxRecordsPerFile", 1).text(folder)
-    else:
-        rows.coalesce(1).write.text(folder)
+    rows.select(value.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
     return folder
 
 
+def _shard(rows: DataFrame, key: str) -> Column:
+    """Deals a table's rows to shards of about SHARD by their key."""
+    return F.pmod(F.xxhash64(key), F.lit(rows.count() // SHARD + 1)).alias("shard")
+
+
 # Annotations: customers' images, orders on them.
 
 _NAMES = "['Impacted', 'Caries', 'Deep Caries', 'Periapical Lesion']"
@@ -38,11 +43,15 @@ def _annotations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.array(k.cast("double"), F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("bbox"),
     )
     image = F.struct(F.col("c_custkey").alias("id"), F.concat(F.lit("train_"), F.col("c_custkey").cast("string"), F.lit(".png")).alias("file_name"))
-    notes = _t(spark, sf_dir, "orders").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), note.alias("note")))).alias("annotations")).select(F.transform("annotations", lambda x: x["note"]).alias("annotations"))
-    images = _t(spark, sf_dir, "customer").agg(F.collect_list(image).alias("images"))
+    customers = _t(spark, sf_dir, "customer")
+    shards = customers.count() // SHARD + 1
+    of = lambda c: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(shards)).alias("shard")
+    images = customers.groupBy(of("c_custkey")).agg(F.collect_list(image).alias("images"))
+    notes = _t(spark, sf_dir, "orders").groupBy(of("o_custkey")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), note.alias("note")))).alias("annotations"))
+    files = images.join(notes, "shard", "left").withColumn("annotations", F.transform(F.coalesce("annotations", F.array()), lambda x: x["note"]))
     named = lambda names: F.array(*(F.struct(F.lit(i).alias("id"), F.lit(n).alias("name")) for i, n in enumerate(names)))
     document = F.to_json(F.struct(named("1234").alias("categories_1"), named("12345678").alias("categories_2"), named(parsing.CONDITIONS).alias("categories_3"), "images", "annotations"))
-    return ingest.annotation_file(spark, _written(images.crossJoin(notes), document, "annotations"), "train")
+    return ingest.annotation_file(spark, _written(files, document, "annotations"), "train")
 
 
 @_query(f"WITH {_ANN} SELECT * FROM fi")
@@ -74,22 +83,23 @@ def read_split(spark, sf_dir) -> DataFrame:
     named = lambda t, c, p: _t(spark, sf_dir, t).select(F.concat(F.lit(p), F.col(c).cast("string")).alias("case_id"), F.col(c).alias("k"))
     train, val = named("customer", "c_custkey", "train_"), named("supplier", "s_suppkey", "val_")
     held = train.where("k % 10 = 0").select("case_id")
-    path = _written(held.agg(F.array_sort(F.collect_list("case_id")).alias("case_ids")), F.to_json(F.struct("case_ids")), "held-out")
+    path = _written(held.groupBy(_shard(held, "case_id")).agg(F.array_sort(F.collect_list("case_id")).alias("case_ids")), F.to_json(F.struct("case_ids")), "held-out")
     held = ingest.held_out_cases(spark, path).select("case_id")
     return ingest.assert_no_leak(ingest.split({"train": train, "val": val}, "qed", held), held).select("case_id")
 
 
-# Object records: suppliers, each with the parts of a few numbers.
+# Object records: users, each with the hours of their events; a file for each of ten groups of users.
 
-_OBJ = "ob AS (SELECT CAST(user_id AS VARCHAR) AS case_id, list(DISTINCT hour(ts) + 1) AS seen FROM events GROUP BY user_id)"
+_OBJ = "ob AS (SELECT user_id, CAST(user_id AS VARCHAR) AS case_id, list(DISTINCT hour(ts) + 1) AS seen FROM events GROUP BY user_id)"
 
 
 def _records(spark: SparkSession, sf_dir: str, cut: int = 0) -> DataFrame:
     hours = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.hour("ts") + 1)).alias("seen"))
     titles = F.transform("seen", lambda h: F.struct(F.concat(F.lit("tooth "), h.cast("string"), F.lit(" of 99")).alias("title")))
     record = F.struct(F.concat(F.col("user_id").cast("string"), F.lit(".jpg")).alias("External ID"), F.struct(titles.alias("objects")).alias("Label"))
-    rows = hours.agg(F.array_sort(F.collect_list(F.struct("user_id", record.alias("r")))).alias("all")).select(F.transform("all", lambda x: x["r"]).alias("all"))
-    text = F.to_json("all")
+    shards = 10 * (hours.count() // SHARD + 1)
+    rows = hours.groupBy((F.col("user_id") % shards).alias("shard")).agg(F.array_sort(F.collect_list(F.struct("user_id", record.alias("r")))).alias("all"))
+    text = F.to_json(F.transform("all", lambda x: x["r"]))
     return ingest.object_file(spark, _written(rows, F.substring(text, F.lit(1), F.length(text) - cut), "objects"))
 
 
@@ -98,9 +108,9 @@ def read_objects_missing(spark, sf_dir) -> DataFrame:
     return ingest.missing_from_objects(_records(spark, sf_dir)).select("case_id", F.array_join("missing", ",").alias("missing"))
 
 
-@_query(f"WITH {_OBJ} SELECT case_id, true AS truncated FROM ob WHERE CAST(case_id AS BIGINT) < (SELECT max(CAST(case_id AS BIGINT)) FROM ob)")
+@_query(f"WITH {_OBJ}, sh AS (SELECT case_id, user_id, max(user_id) OVER (PARTITION BY user_id % (10 * ((SELECT count(*) FROM ob) // 2000 + 1))) AS most FROM ob) SELECT case_id, true AS truncated FROM sh WHERE user_id < most")
 def read_objects_cut_short(spark, sf_dir) -> DataFrame:
-    """The file lacks its last ten characters, so its last record isn't whole."""
+    """Every file lacks its last ten characters, so its last record isn't whole."""
     return _records(spark, sf_dir, cut=10).select(parsing.stem(F.col("External ID")).alias("case_id"), "truncated")
 
 
@@ -126,7 +136,7 @@ def read_shape_labels(spark, sf_dir) -> DataFrame:
     word = lambda i: F.element_at(F.array(F.lit("gömülü"), F.lit("curuk"), F.lit("saglam"), F.lit("kanal")), ((F.col("k") + i) % 4 + 1).cast("int"))
     label = lambda i: F.struct(F.concat(F.lit("1- "), F.upper(word(i)) if i == 1 else word(i), F.lit(" - "), (11 + (F.col("k") + i) % 9).cast("string")).alias("label"))
     shapes = F.when(F.col("k") % 5 != 0, F.array(*(label(i) for i in range(3)))).otherwise(F.array().cast("array<struct<label:string>>"))
-    folder = _written(s.select("k", shapes.alias("shapes")), F.to_json(F.struct(F.col("k"), "shapes")), "shapes", each=True)
+    folder = _written(s.select("k", shapes.alias("shapes")), F.to_json(F.struct(F.col("k"), "shapes")), "shapes")
     files = spark.read.text(folder, wholetext=True).select(F.concat(F.lit("t"), F.get_json_object("value", "$.k")).alias("case_id"), parsing.stem(F.col("_metadata.file_path")).alias("file"))
     found = ingest.labelme_findings(spark, folder).withColumnRenamed("case_id", "file").join(files, "file").select("case_id", "slot", "conditions")
     cases = ingest.labelme_cases(files, found)
@@ -147,7 +157,7 @@ def read_run_results(spark, sf_dir) -> DataFrame:
     run = F.when(F.col("l_returnflag") == "A", F.to_json(F.struct(F.lit("D").alias("dataset"), F.col("l_returnflag").alias("strategy"), "models"))).otherwise(
         F.to_json(F.struct(F.struct(F.lit("D").alias("dataset"), F.col("l_returnflag").alias("strategy")).alias("run_config"), "models"))
     )
-    folder = _written(models, run, "runs", each=True)
+    folder = _written(models, run, "runs")
     return ingest.run_results(ingest.run_files(spark, folder, "*")).select("dataset", "strategy", "model", "image", "seconds", "error")
 
 
@@ -165,7 +175,7 @@ def read_reports(spark, sf_dir) -> DataFrame:
 def read_finished_runs(spark, sf_dir) -> DataFrame:
     o = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("k")).distinct()
     line = F.when(F.col("k") < 20, "begin\nall done: ok\n").otherwise("begin\nkilled\n")
-    folder = _written(o, F.concat(line, F.lit("run o"), F.col("k").cast("string")), "logs", each=True)
+    folder = _written(o, F.concat(line, F.lit("run o"), F.col("k").cast("string")), "logs")
     names = spark.read.text(folder, wholetext=True).select(parsing.stem(F.col("_metadata.file_path")).alias("run"), F.regexp_extract("value", r"run (o\d+)", 1).alias("name"))
     done = ingest.finished_runs(spark, folder, "all done")
     return names.join(done, "run", "left_semi").select(F.col("name").alias("run"))
@@ -181,9 +191,9 @@ def read_csv_back(spark, sf_dir) -> DataFrame:
 @_query("SELECT 'c' || c_custkey AS case_id, CASE WHEN c_custkey % 2 = 0 THEN 'report of ' || c_custkey ELSE '' END AS reference FROM customer")
 def read_references(spark, sf_dir) -> DataFrame:
     c = _t(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("case_id"), F.col("c_custkey").alias("k"))
-    told = c.where("k % 2 = 0").agg(F.collect_list(F.struct("case_id", F.concat(F.lit("report of "), F.col("k").cast("string")).alias("expert_report"))).alias("eval_cases"))
+    told = c.where("k % 2 = 0").groupBy(_shard(c, "case_id")).agg(F.collect_list(F.struct("case_id", F.concat(F.lit("report of "), F.col("k").cast("string")).alias("expert_report"))).alias("eval_cases"))
     references = ingest.references(spark, _written(told, F.to_json(F.struct("eval_cases")), "references"))
-    listed = ingest.case_list(spark, _written(c.agg(F.collect_list("case_id").alias("case_ids")), F.to_json(F.struct("case_ids")), "cases"))
+    listed = ingest.case_list(spark, _written(c.groupBy(_shard(c, "case_id")).agg(F.collect_list("case_id").alias("case_ids")), F.to_json(F.struct("case_ids")), "cases"))
     return ingest.with_reference(listed, references).select("case_id", "reference")
 
 

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.functions.parsing import SLOTS, stem, stratum
+from scorelake.sources import json_ranges
 
-CATEGORY = "array<struct<id:int,name:string>>"
-ANNOTATIONS = f"categories_1 {CATEGORY}, categories_2 {CATEGORY}, categories_3 {CATEGORY}, images array<struct<id:int,file_name:string>>, annotations array<struct<image_id:int,category_id_1:int,category_id_2:int,category_id_3:int,bbox:array<double>>>"
+SECTIONS = {f"categories_{level}": "id int, name string" for level in (1, 2, 3)} | {
+    "images": "id int, file_name string",
+    "annotations": "image_id int, category_id_1 int, category_id_2 int, category_id_3 int, bbox array<double>",
+}
 OBJECTS = "`External ID` string, Label struct<objects:array<struct<title:string>>>"
 SHAPES = "shapes array<struct<label:string>>"
 FINDINGS = "map<string,array<string>>"
@@ -37,27 +36,28 @@ IMAGE_TYPES = (".JPG", ".jpg", ".jpeg", ".JPEG", ".png", ".PNG")
 def annotation_file(spark: SparkSession, path: str, split: str) -> dict[str, DataFrame]:
     """images (image_id, case_id), boxes (a row an annotation) and findings (distinct, sorted labels a slot); images without any annotation stay in images.
 
-    An annotation of a category that the file doesn't name is an error; one of an image that it doesn't name belongs to none.
+    Files are read in byte ranges, so neither a large one nor many are a task's; ids hold within a file. An annotation of a category
+    that its file doesn't name is an error; one of an image that it doesn't name belongs to none.
     """
-    raw = spark.read.schema(ANNOTATIONS).option("multiLine", True).json(path)
-    part = lambda c: raw.select(F.explode(c).alias("x")).select("x.*")
-    images = part("images").select(F.col("id").alias("image_id"), "file_name", stem(F.col("file_name")).alias("case_id"), F.lit(split).alias("split"))
+    raw = json_ranges.members(spark, path)
+    part = lambda c: raw.where(F.col("section") == c).select("path", F.from_json("json", SECTIONS[c], {"mode": "FAILFAST"}).alias("x")).select("path", "x.*")
+    images = part("images").select(F.col("id").alias("image_id"), "file_name", stem(F.col("file_name")).alias("case_id"), F.lit(split).alias("split"), "path")
     boxes = part("annotations")
     for level, name in ((1, "quadrant"), (2, "position"), (3, "condition")):
         key = f"category_id_{level}"
-        names = part(f"categories_{level}").select(F.col("id").alias(key), F.col("name").alias(name))
+        names = part(f"categories_{level}").select("path", F.col("id").alias(key), F.col("name").alias(name))
         unknown = F.raise_error(F.concat(F.lit(f"unknown {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("string")
-        boxes = boxes.join(names, key, "left").withColumn(name, F.coalesce(name, unknown))
-    boxes = boxes.join(images.select("image_id", "case_id"), "image_id").select("image_id", "case_id", F.concat("quadrant", "position").cast("int").alias("slot"), "condition", "bbox")
-    findings = boxes.groupBy("image_id", "case_id", "slot").agg(F.array_sort(F.collect_set("condition")).alias("conditions"))
+        boxes = boxes.join(names, ["path", key], "left").withColumn(name, F.coalesce(name, unknown))
+    boxes = boxes.join(images.select("path", "image_id", "case_id"), ["path", "image_id"]).select("path", "image_id", "case_id", F.concat("quadrant", "position").cast("int").alias("slot"), "condition", "bbox")
+    findings = boxes.groupBy("path", "image_id", "case_id", "slot").agg(F.array_sort(F.collect_set("condition")).alias("conditions"))
     return {"images": images, "boxes": boxes, "findings": findings}
 
 
 def annotated_cases(parts: dict[str, DataFrame]) -> DataFrame:
     """case_id, file_name, split and findings (a map from slot to conditions) of every image, empty for those without annotations."""
-    maps = parts["findings"].groupBy("image_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slot", "conditions")))).alias("findings"))
+    maps = parts["findings"].groupBy("path", "image_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slot", "conditions")))).alias("findings"))
     none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<array<string>>"))
-    return parts["images"].join(maps, "image_id", "left").withColumn("findings", F.coalesce("findings", none))
+    return parts["images"].join(maps, ["path", "image_id"], "left").withColumn("findings", F.coalesce("findings", none))
 
 
 def annotation_inventory(parts: dict[str, DataFrame], files: DataFrame) -> DataFrame:
@@ -102,50 +102,9 @@ def object_support(records: DataFrame, images: DataFrame | None = None, first: i
     return rows.agg(F.count("*").alias("n_cases"), (F.count("*") * slots).alias("n_slots"), whole(F.lit(slots) - F.col("n"), "missing"), whole("n", "present"))
 
 
-_MARK = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{},]', re.S)
-
-
-def _complete(raw: str) -> list:
-    """The elements of a JSON array that may be cut short, up to the first that isn't whole: they stand between the commas of the outermost level."""
-    begin = raw.find("[") + 1
-    ends, depth = [], 1
-    for sign in _MARK.finditer(raw, begin) if begin else ():
-        depth += {"[": 1, "{": 1, "]": -1, "}": -1}.get(sign[0], 0)
-        if depth == 0 or depth == 1 and sign[0] == ",":
-            ends.append(sign.start())
-        if depth == 0:
-            break
-    else:
-        ends.append(len(raw))
-    found = []
-    for end in ends if begin else ():
-        try:
-            found.append(json.loads(raw[begin:end]))
-        except ValueError:
-            break
-        begin = end + 1
-    return found
-
-
-def _elements(raw: str) -> tuple[list, bool]:
-    """A document's elements (a list's, or an object's values), and whether it was cut short."""
-    try:
-        whole = json.loads(raw)
-    except ValueError:
-        return _complete(raw), True
-    return (list(whole.values()) if isinstance(whole, dict) else whole if isinstance(whole, list) else []), False
-
-
 def salvaged_array(spark: SparkSession, path: str) -> DataFrame:
-    """Records of JSON files: path, pos, json and truncated. Of an array that is cut short the whole records before the cut; of an object its values."""
-
-    def records(frames):
-        for frame in frames:
-            made = [(name, i, json.dumps(item), cut) for name, raw in zip(frame["path"], frame["value"], strict=True) for items, cut in [_elements(raw)] for i, item in enumerate(items)]
-            yield pd.DataFrame(made, columns=["path", "pos", "json", "truncated"])
-
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.mapInPandas(records, "path string, pos long, json string, truncated boolean")
+    """Records of JSON files, read in byte ranges: path, pos, json and truncated. Of an array that is cut short the whole records before the cut; of an object its values."""
+    return json_ranges.elements(spark, path)
 
 
 def object_file(spark: SparkSession, path: str) -> DataFrame:
