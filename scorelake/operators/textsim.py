@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +25,66 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) < n, none).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " ")))
 
 
+class Grams:
+    """N-grams of both sides of a batch's pairs, as whole numbers: a gram of n tokens is the number of its first n - 1 and the last, so equal grams have equal numbers and no others."""
+
+    def __init__(self, ref: pa.Array, hyp: pa.Array):
+        self.rows, parts, sides = len(ref), [], []
+        for side in (ref, hyp):
+            at = side.offsets.to_numpy()
+            parts.append(side.values[at[0] : at[-1]])
+            sides.append(np.diff(at))
+        self.tokens = pa.concat_arrays(parts).dictionary_encode().indices.to_numpy().astype(np.int64)
+        self.kinds = int(self.tokens.max(initial=-1)) + 1
+        # Where each token's side of a pair ends, and which it is: the first `rows` are references.
+        self.side = np.repeat(np.arange(2 * self.rows), np.concatenate(sides))
+
+    def counts(self, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """For n = 1 to most: pair, number of the gram, times in the reference and in the hypothesis, for each distinct gram of a pair."""
+        gram, n = self.tokens, 1
+        while True:
+            valid = self.side[: len(gram)] == self.side[n - 1 : n - 1 + len(gram)]
+            side, own = self.side[: len(gram)][valid], gram[valid]
+            width = int(own.max(initial=-1)) + 1
+            key, back = np.unique(side % self.rows * width + own, return_inverse=True) if len(own) else (own, own)
+            of = side < self.rows
+            yield key // max(1, width), key % max(1, width), np.bincount(back[of], minlength=len(key)), np.bincount(back[~of], minlength=len(key))
+            if n == most:
+                return
+            gram = gram[: max(0, len(gram) - 1)] * max(1, self.kinds) + self.tokens[n : n + max(0, len(gram) - 1)]
+            gram, n = (np.unique(gram, return_inverse=True)[1] if len(gram) else gram), n + 1
+
+
+def _overlap_columns(grams: Grams, most: int) -> dict[str, np.ndarray]:
+    out = {}
+    for n, (row, _, r, h) in enumerate(grams.counts(most), 1):
+        for name, v in (("hits", np.minimum(r, h)), ("ref", r), ("hyp", h)):
+            out[f"{name}_{n}"] = np.bincount(row, v, grams.rows).astype(np.int64)
+    return out
+
+
+def _divergence_columns(grams: Grams, alpha: float) -> dict[str, np.ndarray]:
+    row, _, r, h = next(grams.counts(1))
+    kinds, n_r, n_h = (np.bincount(row, v, grams.rows) for v in (np.ones(len(row)), r, h))
+    p, q = ((c + alpha) / (n[row] + alpha * kinds[row]) for c, n in ((r, n_r), (h, n_h)))
+    half, bits = (p + q) / 2, lambda v: np.where(kinds > 0, np.bincount(row, v, grams.rows) / math.log(2), np.nan)
+    return {"kl_bits": bits(p * np.log(p / q)), "js_bits": bits((p * np.log(p / half) + q * np.log(q / half)) / 2)}
+
+
+def _struct(columns: dict[str, np.ndarray]) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(v, from_pandas=True) for v in columns.values()], list(columns))
+
+
 def overlaps(pairs: DataFrame, keep: list[str], ref: str, hyp: str, sizes: tuple[int, ...]) -> DataFrame:
-    """A row for each row of pairs, repeated keys too: keep, and for each n hits_n (clipped), ref_n and hyp_n of the n-grams of token columns.
+    """A row for each row of pairs, repeated keys too: keep, and for each n hits_n (clipped), ref_n and hyp_n of the n-grams of token columns. Pairs are counted where they are, in Arrow batches."""
+    most = max(sizes)
+
+    @F.arrow_udf(", ".join(f"{c}_{n} long" for n in range(1, most + 1) for c in ("hits", "ref", "hyp")))
+    def count(r: pa.Array, h: pa.Array) -> pa.Array:
+        return _struct(_overlap_columns(Grams(r, h), most))
 
-    Rows are dealt out once, by a number of their own, so that n-grams are counted and summed where they are made.
-    """
-    grams = lambda c, n, r, h: F.transform(ngrams(F.col(c), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(r).alias("r"), F.lit(h).alias("h")))
-    made = F.concat(*(x for n in sizes for x in (grams(ref, n, 1, 0), grams(hyp, n, 0, 1))))
-    rows = pairs.withColumn("__row", F.monotonically_increasing_id()).repartition("__row").select("__row", *keep, F.explode_outer(made).alias("x"))
-    counts = rows.groupBy("__row", *keep, "x.n", "x.g").agg(F.sum("x.r").alias("r"), F.sum("x.h").alias("h"))
-    of = lambda n, v, a: F.coalesce(F.sum(F.when(F.col("n") == n, v)), F.lit(0)).alias(f"{a}_{n}")
-    return counts.groupBy("__row", *keep).agg(*(x for n in sizes for x in (of(n, F.least("r", "h"), "hits"), of(n, F.col("r"), "ref"), of(n, F.col("h"), "hyp")))).drop("__row")
+    names = [f"__x.{c}_{n}" for n in sizes for c in ("hits", "ref", "hyp")]
+    return pairs.select(*keep, count(ref, hyp).alias("__x")).select(*keep, *names)
 
 
 def rouge_n(pairs: DataFrame, key: str, ref: str, hyp: str, n: int) -> DataFrame:
@@ -69,39 +121,46 @@ def rouge_l(pairs: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
     return pairs.select(key, f1.alias("rouge_l_f1"))
 
 
+def _bleu4(x1: Column, x2: Column, x3: Column, x4: Column, len_r: Column, len_h: Column) -> Column:
+    logs = sum((F.ln(F.when(x == 0, F.lit(EPSILON)).otherwise(x.cast("double")) / F.greatest(len_h - (n - 1), F.lit(1))) for n, x in ((2, x2), (3, x3), (4, x4))), F.ln(x1.cast("double") / len_h))
+    brevity = F.when(len_h > len_r, 1.0).otherwise(F.exp(1 - len_r.cast("double") / len_h))
+    return F.when((len_r == 0) | (len_h == 0) | (x1 == 0), 0.0).otherwise(brevity * F.exp(logs / 4))
+
+
 def bleu4(pairs: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
     """Uniform weights to 4-grams; a zero numerator counts as EPSILON, no unigram in common gives 0, so does an empty side."""
-    parts = overlaps(pairs, [key], ref, hyp, (1, 2, 3, 4)).select(key, F.col("ref_1").alias("len_r"), F.col("hyp_1").alias("len_h"), *(F.col(f"hits_{n}").alias(f"x{n}") for n in (1, 2, 3, 4)))
-    logs = sum((F.ln(F.when(F.col(f"x{n}") == 0, F.lit(EPSILON)).otherwise(F.col(f"x{n}").cast("double")) / F.greatest(F.col("len_h") - (n - 1), F.lit(1))) for n in (2, 3, 4)), F.ln(F.col("x1").cast("double") / F.col("len_h")))
-    brevity = F.when(F.col("len_h") > F.col("len_r"), 1.0).otherwise(F.exp(1 - F.col("len_r").cast("double") / F.col("len_h")))
-    return parts.select(key, F.when((F.col("len_r") == 0) | (F.col("len_h") == 0) | (F.col("x1") == 0), 0.0).otherwise(brevity * F.exp(logs / 4)).alias("bleu4"))
+    parts = overlaps(pairs, [key], ref, hyp, (1, 2, 3, 4))
+    return parts.select(key, _bleu4(*(F.col(f"hits_{n}") for n in (1, 2, 3, 4)), F.col("ref_1"), F.col("hyp_1")).alias("bleu4"))
 
 
 def divergences(pairs: DataFrame, key: str, ref: str, hyp: str, alpha: float = ALPHA) -> DataFrame:
     """KL(ref || hyp) and Jensen-Shannon divergence in bits of smoothed word shares; null if both sides are empty. A row for each row of pairs."""
-    tagged = lambda c, r, h: F.transform(F.col(c), lambda g: F.struct(g.alias("g"), F.lit(r).alias("r"), F.lit(h).alias("h")))
-    rows = pairs.withColumn("__row", F.monotonically_increasing_id()).repartition("__row")
-    rows = rows.select("__row", key, F.size(ref).alias("n_r"), F.size(hyp).alias("n_h"), F.size(F.array_union(ref, hyp)).alias("v"), F.explode_outer(F.concat(tagged(ref, 1, 0), tagged(hyp, 0, 1))).alias("x"))
-    both = rows.groupBy("__row", key, "n_r", "n_h", "v", "x.g").agg(F.sum("x.r").alias("r"), F.sum("x.h").alias("h"))
-    share = lambda c, n: (F.col(c) + alpha) / (F.col(n) + alpha * F.col("v"))
-    p, q = F.col("p"), F.col("q")
-    half = (p + q) / 2
-    bits = both.select("__row", key, share("r", "n_r").alias("p"), share("h", "n_h").alias("q")).groupBy("__row", key).agg(
-        (F.sum(p * F.ln(p / q)) / math.log(2)).alias("kl_bits"), (F.sum(p * F.ln(p / half) + q * F.ln(q / half)) / (2 * math.log(2))).alias("js_bits")
-    )
-    return bits.drop("__row")
+
+    @F.arrow_udf("kl_bits double, js_bits double")
+    def bits(r: pa.Array, h: pa.Array) -> pa.Array:
+        return _struct(_divergence_columns(Grams(r, h), alpha))
+
+    return pairs.select(key, bits(ref, hyp).alias("__x")).select(key, "__x.*")
 
 
 #: The scores of a pair of texts, null where undefined.
 TEXT_SCORES = ("bleu4", "rouge1_f1", "rouge2_f1", "rouge_l_f1", "kl_bits", "js_bits")
 
 
-def text_scores(rows: DataFrame, key: str, reference: str, response: str) -> DataFrame:
-    """rows and all TEXT_SCORES of their reference and response; rows without a response have nulls. key names a row."""
-    pairs = rows.where(F.col(response).isNotNull()).select(key, tokens(reference).alias("r"), tokens(response).alias("h"))
-    for scores in (bleu4(pairs, key, "r", "h"), rouge_n(pairs, key, "r", "h", 1), rouge_n(pairs, key, "r", "h", 2), rouge_l(pairs, key, "r", "h"), divergences(pairs, key, "r", "h")):
-        rows = rows.join(scores, key, "left")
-    return rows
+def text_scores(rows: DataFrame, key: str, reference: str, response: str, alpha: float = ALPHA) -> DataFrame:
+    """rows and all TEXT_SCORES of their reference and response, in one pass over the rows; rows without a response have nulls. Repeated keys are rows of their own."""
+
+    @F.arrow_udf("lcs int, kl_bits double, js_bits double, " + ", ".join(f"{c}_{n} long" for n in range(1, 5) for c in ("hits", "ref", "hyp")))
+    def score(r: pa.Array, h: pa.Array) -> pa.Array:
+        grams = Grams(r, h)
+        common = np.array([_lcs(x, y) for x, y in zip(r.to_pylist(), h.to_pylist(), strict=True)], np.int32)
+        return _struct({"lcs": common, **_divergence_columns(grams, alpha), **_overlap_columns(grams, 4)})
+
+    made = rows.withColumn("__x", score(tokens(reference), tokens(response)))
+    x = lambda name: F.col(f"__x.{name}")
+    f1 = lambda hits, r, h: F.coalesce(F.try_divide(2.0 * x(hits), x(r) + x(h)), F.lit(0.0))
+    found = {"bleu4": _bleu4(*(x(f"hits_{n}") for n in range(1, 5)), x("ref_1"), x("hyp_1")), "rouge1_f1": f1("hits_1", "ref_1", "hyp_1"), "rouge2_f1": f1("hits_2", "ref_2", "hyp_2"), "rouge_l_f1": f1("lcs", "ref_1", "hyp_1"), "kl_bits": x("kl_bits"), "js_bits": x("js_bits")}
+    return made.select(*rows.columns, *(F.when(F.col(response).isNotNull(), c).alias(n) for n, c in found.items()))
 
 
 def score_means(scored: DataFrame, by: list[str], response: str, names: tuple[str, ...] = TEXT_SCORES) -> DataFrame:

@@ -349,7 +349,40 @@ def bootstrap_ci_md5(spark, sf_dir):
     return _rounded(resample.macro_f1_interval(c, resample.md5_draws(spark, c.count(), REPS), []))
 
 
-@_query()
+def _stream_sql(seed: int, reps: int, doublings: int) -> str:
+    """NumPy's draws in SQL. The generator's state s goes to A s + C modulo 2^128, so the states from 2^k on are those from 0 on, multiplied by A^(2^k) and moved: each step of the
+    recursion doubles them. Numbers of 128 bits are limbs of 32. A state's halves, xored and rotated by its top six bits, are two words; a word
+    times n gives a draw, unless its low half is under 2^32 mod n.
+    """
+    import numpy as np
+
+    state, whole = np.random.PCG64(seed).state["state"], 1 << 128
+    a, c = 0x2360ED051FC65DA44385DF649FCCF645, state["inc"]  # the multiplier is a fixed value of PCG64
+    limbs = lambda x: ", ".join(f"{x >> 32 * i & 0xFFFFFFFF}::UHUGEINT" for i in range(4))
+    first, jumps = (a * state["state"] + c) % whole, []
+    for k in range(doublings):
+        jumps.append(f"({k}, {limbs(a)}, {limbs(c)})")
+        a, c = a * a % whole, (a * c + c) % whole
+    parts = [" + ".join([*(f"s{i} * a{k - i}" for i in range(k + 1)), f"c{k}"]) for k in range(4)]
+    return f"""jumps(k, a0, a1, a2, a3, c0, c1, c2, c3) AS (VALUES {', '.join(jumps)}),
+states(k, i, s0, s1, s2, s3) AS (
+  SELECT 0, 0::BIGINT, {limbs(first)}
+  UNION ALL
+  SELECT k, i, CASE WHEN far THEN t0 & 4294967295 ELSE s0 END, CASE WHEN far THEN t1 & 4294967295 ELSE s1 END, CASE WHEN far THEN t2 & 4294967295 ELSE s2 END, CASE WHEN far THEN t3 & 4294967295 ELSE s3 END FROM (
+    SELECT *, {parts[3]} + (t2 >> 32) AS t3 FROM (SELECT *, {parts[2]} + (t1 >> 32) AS t2 FROM (SELECT *, {parts[1]} + (t0 >> 32) AS t1 FROM (SELECT *, {parts[0]} AS t0 FROM (
+      SELECT s.k + 1 AS k, s.i + CASE WHEN far THEN 1::BIGINT << s.k ELSE 0 END AS i, far, s0, s1, s2, s3, a0, a1, a2, a3, c0, c1, c2, c3
+      FROM states s JOIN jumps j ON j.k = s.k CROSS JOIN (VALUES (false), (true)) f(far)))))
+  )
+),
+halves AS (SELECT i, xor(s2, s0) + (xor(s3, s1) << 32) AS x, s3 >> 26 AS r FROM states WHERE k = {doublings}),
+turned AS (SELECT i, ((x >> r) | (x << (64::UHUGEINT - r))) & 18446744073709551615::UHUGEINT AS x FROM halves),
+words AS (SELECT 2 * i + h AS j, CAST((x >> (32 * h)::UHUGEINT) & 4294967295 AS BIGINT) AS w FROM turned, range(2) t(h)),
+many AS (SELECT count(*) AS n FROM cl),
+kept AS (SELECT row_number() OVER (ORDER BY j) - 1 AS d, CAST((w::HUGEINT * n) >> 32 AS BIGINT) AS idx, n FROM words, many WHERE (w::HUGEINT * n) & 4294967295 >= 4294967296 % n),
+draws AS (SELECT d // n AS rep, idx FROM kept WHERE d < {reps} * n)"""
+
+
+@_query(f"WITH RECURSIVE {_CL}, {_stream_sql(42, REPS, 12)}, {_REP}, v AS (SELECT {_MF1} AS v FROM rp) {_CI}")
 def bootstrap_ci_numpy(spark, sf_dir):
     c = _cluster_counts(spark, sf_dir)
     return _rounded(resample.macro_f1_interval(c, resample.numpy_draws(spark, c.count(), REPS), []))
@@ -398,7 +431,7 @@ def bootstrap_ci_md5_5000(spark, sf_dir):
     return _rounded(resample.macro_f1_interval(c, resample.md5_draws(spark, c.count(), FULL_REPS), []))
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_CL}, {_stream_sql(42, FULL_REPS, 17)}, {_REP}, v AS (SELECT {_MF1} AS v FROM rp) {_CI}")
 def bootstrap_ci_numpy_5000(spark, sf_dir):
     c = _cluster_counts(spark, sf_dir)
     return _rounded(resample.macro_f1_interval(c, resample.numpy_draws(spark, c.count(), FULL_REPS), []))

@@ -188,6 +188,29 @@ def paired_findings_md5(spark, sf_dir) -> DataFrame:
     return _rounded(resample.paired_findings(rows, resample.md5_draws(spark, n, IMAGE_REPS), "model", 0, 1))
 
 
+_ORD = "CASE model WHEN 2 THEN 1 WHEN 0 THEN 2 ELSE 999 END"
+_NAMES = ("images", "chr_a", "chr_b", "chr_delta", "chr_delta_low", "chr_delta_high", "fp_per_image_a", "fp_per_image_b", "fp_per_image_delta", "fp_per_image_delta_low", "fp_per_image_delta_high")
+
+
+@_query(f"""WITH {_IMG}, {_DRAWN}, y AS (SELECT *, {_ORD} AS ord FROM x),
+pw AS (SELECT model, ord, count(*) AS images, sum(fp) / nullif(CAST(sum(tp + fp) AS DOUBLE), 0) AS c, sum(fp) / CAST(count(*) AS DOUBLE) AS h FROM y GROUP BY ALL),
+pd AS (SELECT model, rep, sum(w * fp) / nullif(CAST(sum(w * (tp + fp)) AS DOUBLE), 0) AS c, sum(w * fp) / CAST(sum(w) AS DOUBLE) AS h FROM y JOIN dr USING (idx) GROUP BY ALL),
+pp AS (SELECT a.model AS model_a, b.model AS model_b, a.images, a.c AS ca, b.c AS cb, a.h AS ha, b.h AS hb FROM pw a JOIN pw b ON a.ord < b.ord OR (a.ord = b.ord AND a.model < b.model)),
+pq AS (SELECT model_a, model_b, quantile_cont(x.c - y.c, 0.025) AS c1, quantile_cont(x.c - y.c, 0.975) AS c2, quantile_cont(x.h - y.h, 0.025) AS h1, quantile_cont(x.h - y.h, 0.975) AS h2
+  FROM pp JOIN pd x ON x.model = model_a JOIN pd y ON y.model = model_b AND y.rep = x.rep GROUP BY ALL)
+SELECT 'same' AS grp, model_a, model_b, true AS paired, CAST(images AS DOUBLE) AS n_images, round(ca, 6) AS chr_a, round(cb, 6) AS chr_b, round(ca - cb, 6) AS chr_delta, round(c1, 6) AS chr_delta_low, round(c2, 6) AS chr_delta_high,
+  round(ha, 6) AS fp_per_image_a, round(hb, 6) AS fp_per_image_b, round(ha - hb, 6) AS fp_per_image_delta, round(h1, 6) AS fp_per_image_delta_low, round(h2, 6) AS fp_per_image_delta_high FROM pp JOIN pq USING (model_a, model_b)
+UNION ALL SELECT 'turned', model_a, model_b, false, {', '.join(['NULL'] * len(_NAMES))} FROM pp""")
+def paired_findings_all(spark, sf_dir) -> DataFrame:
+    """All pairs of models, 2 and 0 first; in the group `turned` model 1 lists the images the other way round, so its pairs aren't compared."""
+    rows, n = _image_counts(spark, sf_dir)
+    rows = select.ordered_models(rows, "model", [2, 0])
+    both = rows.select(F.lit("same").alias("grp"), "*").union(rows.select(F.lit("turned"), "*"))
+    places = both.select("grp", "model", "image", F.when((F.col("grp") == "turned") & (F.col("model") == 1), -F.col("idx")).otherwise(F.col("idx")).alias("pos"))
+    same = findings.aligned(places, ["grp"], "model", "image", "pos")
+    return _rounded(resample.all_pairs(both, resample.md5_draws(spark, n, IMAGE_REPS), ["grp"], "model", "ord", same)).withColumn("n_images", F.col("n_images").cast("double"))
+
+
 _ARMS = f"""{_PL}, cl AS (SELECT DISTINCT source, dense_rank() OVER (ORDER BY source) - 1 AS idx FROM s),
 two AS (SELECT 'a' AS arm, doc_id, cond, t, p FROM pl UNION ALL SELECT 'b', doc_id, cond, t, 1 - p FROM pl),
 k AS (SELECT arm, cond, idx, count(*) FILTER (two.t = 1 AND two.p = 1) AS tp, count(*) FILTER (two.t <> 1 AND two.p = 1) AS fp, count(*) FILTER (two.t = 1 AND two.p <> 1) AS fn FROM two JOIN s USING (doc_id) JOIN cl USING (source) GROUP BY ALL),
@@ -225,12 +248,13 @@ def merged_finding_report(spark, sf_dir) -> DataFrame:
 
 
 @_query(f"""WITH r1 AS ({base.ORACLE_SQL['rouge1_f1']}), r2 AS ({base.ORACLE_SQL['rouge2_f1']}), rl AS ({base.ORACLE_SQL['rouge_l_f1']}), b4 AS ({base.ORACLE_SQL['bleu4']}), kl AS ({base.ORACLE_SQL['kl_divergence']}), js AS ({base.ORACLE_SQL['js_divergence']})
-SELECT CAST(split_part(key, ':', 2) AS BIGINT) AS turn, CAST(count(*) AS BIGINT) AS n_scored, CAST(0 AS BIGINT) AS n_errors, round(avg(bleu4), 4) AS bleu4_mean, round(avg(rouge1_f1), 4) AS rouge1_f1_mean, round(avg(rouge2_f1), 4) AS rouge2_f1_mean, round(avg(rouge_l_f1), 4) AS rouge_l_f1_mean,
-  round(avg(kl_bits), 4) AS kl_bits_mean, round(avg(js_bits), 4) AS js_bits_mean FROM r1 JOIN r2 USING (key) JOIN rl USING (key) JOIN b4 USING (key) JOIN kl USING (key) JOIN js USING (key) GROUP BY 1""")
+SELECT CAST(split_part(key, ':', 2) AS BIGINT) AS turn, CAST(count(ok) AS BIGINT) AS n_scored, CAST(count(*) FILTER (ok IS NULL) AS BIGINT) AS n_errors, round(avg(bleu4) FILTER (ok), 4) AS bleu4_mean, round(avg(rouge1_f1) FILTER (ok), 4) AS rouge1_f1_mean, round(avg(rouge2_f1) FILTER (ok), 4) AS rouge2_f1_mean, round(avg(rouge_l_f1) FILTER (ok), 4) AS rouge_l_f1_mean,
+  round(avg(kl_bits) FILTER (ok), 4) AS kl_bits_mean, round(avg(js_bits) FILTER (ok), 4) AS js_bits_mean FROM (SELECT *, CASE WHEN CAST(split_part(key, ':', 1) AS BIGINT) % 7 <> 0 THEN true END AS ok FROM r1) JOIN r2 USING (key) JOIN rl USING (key) JOIN b4 USING (key) JOIN kl USING (key) JOIN js USING (key) GROUP BY 1""")
 def text_score_means(spark, sf_dir) -> DataFrame:
+    """Every seventh conversation counts as failed: it has no responses."""
     c = _t(spark, sf_dir, "conversations")
     u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("reference"))
-    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.coalesce("text", F.lit("")).alias("response"))
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.when(F.col("conv_id") % 7 != 0, F.coalesce("text", F.lit(""))).alias("response"))
     rows = u.join(a, ["conv_id", "turn"]).withColumn("key", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     scored = textsim.text_scores(rows, "key", "reference", "response").withColumn("turn", F.col("turn").cast("bigint"))
     return _rounded(_rounded(textsim.score_means(scored, ["turn"], "response"), 6), 4)
@@ -270,7 +294,10 @@ def audit_with_hard_cases(spark, sf_dir) -> DataFrame:
     return select.audit_cases(images, hard, "image")
 
 
-@_query("SELECT CAST(3 AS BIGINT) AS models, false AS aligned UNION ALL SELECT CAST(2 AS BIGINT), true")
+_LISTS = "us AS (SELECT DISTINCT user_id AS image FROM events), ls AS (SELECT 3 AS n, 0 AS model, image, image AS pos FROM us UNION ALL SELECT 3, 1, image, image * 3 + 1 FROM us UNION ALL SELECT 3, 2, image, -image FROM us)"
+
+
+@_query(f"WITH {_LISTS}, al AS (SELECT * FROM ls UNION ALL SELECT 2, model, image, pos FROM ls WHERE model < 2), sh AS (SELECT n, model, list(image ORDER BY pos) AS shown FROM al GROUP BY ALL) SELECT CAST(count(*) AS BIGINT) AS models, count(DISTINCT shown) = 1 AS aligned FROM sh GROUP BY n")
 def alignment_of_lists(spark, sf_dir) -> DataFrame:
     """Models 0 and 1 list the users in ascending order at different positions; model 2 turns the order round."""
     users = _t(spark, sf_dir, "events").select(F.col("user_id").alias("image")).distinct()
