@@ -51,6 +51,21 @@ def balanced(recall_: Column, specificity_: Column) -> Column:
     return (recall_ + specificity_) / 2
 
 
+def condition_rates() -> list[Column]:
+    """Of one condition's tp, fp, fn and tn."""
+    fp, tp, tn = F.col("fp"), F.col("tp"), F.col("tn")
+    return [precision().alias("precision"), recall().alias("recall"), f1_of_rates().alias("f1"), ratio(fp, fp + tn).alias("fpr"), ratio(fp, tp + fp).alias("chr")]
+
+
+def finding_rates() -> list[Column]:
+    """Of totals over images: tp, fp, fn, tn, images and images_with_fp."""
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    shares = {"fpr": (fp, fp + tn), "fnr": (fn, fn + tp), "chr": (fp, tp + fp)}
+    an_image = {"fp_per_image": fp, "image_rate": F.col("images_with_fp"), "predictions_per_image": tp + fp, "correct_per_image": tp}
+    whole = [accuracy().alias("accuracy"), precision().alias("precision"), recall().alias("recall"), f1_of_rates().alias("f1"), specificity().alias("specificity")]
+    return [*whole, *(ratio(a, b).alias(n) for n, (a, b) in shares.items()), *(ratio(a, F.col("images")).alias(n) for n, a in an_image.items())]
+
+
 def seed_of(key: Column | str) -> Column:
     """First eight hex digits of the md5 of the key, modulo 2^31."""
     return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"), F.lit(1 << 31))

@@ -34,10 +34,7 @@ def by_condition(matches: DataFrame, grid: int, by: list[str], conditions: DataF
         out = conditions.join(out, by, "left").fillna(0, list(COUNTS))
     out = out.withColumn("tn", F.lit(grid) - F.col("tp") - F.col("fp") - F.col("fn"))
     share = rates.ratio(100 * F.col("fp"), F.sum("fp").over(Window.partitionBy(*(of_all or [F.lit(0)]))))
-    return out.select(
-        "*", rates.precision().alias("precision"), rates.recall().alias("recall"), rates.f1_of_rates().alias("f1"),
-        rates.ratio(F.col("fp"), F.col("fp") + F.col("tn")).alias("fpr"), rates.ratio(F.col("fp"), F.col("tp") + F.col("fp")).alias("chr"), share.alias("fp_share"),
-    )
+    return out.select("*", *rates.condition_rates(), share.alias("fp_share"))
 
 
 def image_rows(images: DataFrame, matches: DataFrame, image: list[str], slots: int, location: str, condition: str) -> DataFrame:
@@ -58,13 +55,7 @@ def summary(images: DataFrame, matches: DataFrame, by: list[str], image: list[st
     out = rows.groupBy(*by).agg(
         long(F.count("*"), "images"), *(long(F.sum(c), c) for c in COUNTS), long(F.sum(F.lit(slots) - F.col("tp") - F.col("fp") - F.col("fn")), "tn"), long(F.count_if(F.col("fp") > 0), "images_with_fp")
     )
-    over_images = lambda top: rates.ratio(top, F.col("images"))
-    return out.select(
-        "*", rates.accuracy().alias("accuracy"), rates.precision().alias("precision"), rates.recall().alias("recall"), rates.f1_of_rates().alias("f1"),
-        rates.specificity().alias("specificity"), rates.ratio(F.col("fp"), F.col("fp") + F.col("tn")).alias("fpr"), rates.ratio(F.col("fn"), F.col("fn") + F.col("tp")).alias("fnr"),
-        rates.ratio(F.col("fp"), F.col("tp") + F.col("fp")).alias("chr"), over_images(F.col("fp")).alias("fp_per_image"), over_images(F.col("images_with_fp")).alias("image_rate"),
-        over_images(F.col("tp") + F.col("fp")).alias("predictions_per_image"), over_images(F.col("tp")).alias("correct_per_image"),
-    )
+    return out.select("*", *rates.finding_rates())
 
 
 def located(matches: DataFrame, image: list[str], location: str, condition: str) -> DataFrame:

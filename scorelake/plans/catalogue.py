@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.functions import parsing, rates
-from scorelake.operators import confusion, findings, resample, select, textsim
+from scorelake.operators import confusion, findings, packed, resample, select, textsim
 from scorelake.sources import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 LOCATIONS, KINDS = 8, ["click", "error", "purchase", "signup", "view"]
+GRID = packed.Grid(tuple(range(LOCATIONS)), tuple(KINDS))
 
 
 def _query(sql: str | None = None):
@@ -54,6 +55,10 @@ def _matches(spark, sf_dir):
     return findings.match(e.where("is_truth"), e.where("not is_truth"), ["image", "loc", "cond"])
 
 
+def _packed(spark, sf_dir):
+    return packed.pack(_events(spark, sf_dir), ["image"], "loc", "cond", "is_truth", GRID)
+
+
 def _n_images(spark, sf_dir) -> int:
     return _t(spark, sf_dir, "events").agg(F.count_distinct("user_id")).first()[0]
 
@@ -78,7 +83,7 @@ SELECT *, round({_P}, 6) AS precision, round({_R}, 6) AS recall, round({_F}, 6)
 
 
 def _by_condition(spark, sf_dir):
-    return findings.by_condition(_matches(spark, sf_dir), _n_images(spark, sf_dir) * LOCATIONS, ["cond"])
+    return packed.by_condition(_packed(spark, sf_dir), [], "cond", GRID)
 
 
 @_query(_BYCOND)
@@ -122,8 +127,10 @@ WITH {_MM} SELECT *, round((tp + tn) / nullif(CAST(tp + fp + fn + tn AS DOUBLE),
 
 
 def _summary(spark, sf_dir):
-    images, matches = _model_matches(spark, sf_dir)
-    return findings.summary(images, matches, ["model"], ["image"], LOCATIONS * len(KINDS))
+    # Every model has the truth, its own predictions, and all images.
+    e = _events(spark, sf_dir).withColumn("of", F.col("model")).withColumn("model", F.explode(F.array(*(F.lit(m).cast("bigint") for m in range(3)))))
+    own = F.when(F.col("is_truth") | (F.col("model") == F.col("of")), F.col("loc"))
+    return packed.summary(packed.pack(e.withColumn("loc", own), ["model", "image"], "loc", "cond", "is_truth", GRID), ["model"], GRID)
 
 
 @_query(_SUM)
@@ -145,7 +152,7 @@ SELECT image, coalesce(string_agg(name, '; ' ORDER BY name) FILTER (is_gt), '')
   round(count(*) FILTER (NOT is_gt AND is_pred) / nullif(CAST(count(*) FILTER (is_pred) AS DOUBLE), 0), 6) AS hallucination_rate FROM n GROUP BY image
 """)
 def finding_image_rows(spark, sf_dir):
-    return _rounded(findings.image_rows(_events(spark, sf_dir), _matches(spark, sf_dir), ["image"], LOCATIONS * len(KINDS), "loc", "cond")).withColumn("tn", F.col("tn").cast("bigint"))
+    return _rounded(packed.image_rows(_packed(spark, sf_dir), ["image"], GRID))
 
 
 _LOC = f"""{_EV}, l AS (SELECT image, loc, cond, CASE WHEN is_gt THEN 'correct' WHEN EXISTS (SELECT 1 FROM g WHERE g.image = m.image AND g.cond = m.cond) THEN 'wrong_location'
@@ -154,7 +161,7 @@ _LOC = f"""{_EV}, l AS (SELECT image, loc, cond, CASE WHEN is_gt THEN 'correct'
 
 @_query(f"WITH {_LOC} SELECT bucket, CAST(count(*) AS BIGINT) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS rate FROM l GROUP BY bucket")
 def finding_location_breakdown(spark, sf_dir):
-    return _rounded(findings.location_breakdown(findings.located(_matches(spark, sf_dir), ["image"], "loc", "cond"), []))
+    return _rounded(packed.location_breakdown(_packed(spark, sf_dir), [], GRID))
 
 
 @_query(f"WITH {_LOC}, k AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY image, loc, cond) AS rank FROM l) SELECT image, loc, cond, bucket, CAST(rank AS INT) AS rank FROM k WHERE rank <= 20")
