@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.functions import rates
+from scorelake.operators import select
 
 COUNTS = ("tp", "fp", "fn")
 
@@ -91,11 +92,11 @@ def pairwise_delta(summaries: DataFrame, by: list[str], model: str, value: list[
 
 
 def aligned(rows: DataFrame, by: list[str], model: str, image: str, position: str) -> DataFrame:
-    """Whether the models of a group (two at least) have the same images in the same order: each one's positions are
-    ranked from 1, and a digest of (rank, image) pairs is compared."""
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by, model).orderBy(position, image)))
-    pair = F.xxhash64("__r", image)
-    lists = ranked.groupBy(*by, model).agg(F.count("*").alias("n"), F.bit_xor(pair).alias("x"), F.sum(F.shiftright(pair, 34)).alias("s"))
+    """Whether the models of a group (two at least) have the same images in the same order: each one's images are
+    placed (select.places, so a model's list lies in many tasks), and a digest of (place, image) pairs is compared."""
+    placed = select.places(rows.select(*by, model, position, image), [*by, model], [position, image])
+    pair = F.xxhash64("place", image)
+    lists = placed.groupBy(*by, model).agg(F.count("*").alias("n"), F.bit_xor(pair).alias("x"), F.sum(F.shiftright(pair, 34)).alias("s"))
     return lists.groupBy(*by).agg(F.count("*").cast("bigint").alias("models"), ((F.count_distinct("n", "x", "s") == 1) & (F.count("*") > 1)).alias("aligned"))
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import random
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelake.session import scratch_folder
+
 
 def numeric_order(key: str) -> list[Column]:
     """Numbers first and by value, then the rest by text."""
@@ -107,12 +113,78 @@ def audit_cases(images: DataFrame, hard: DataFrame, key: str, n: int = 10, seed:
     return both.orderBy("__o", drawn, key).limit(n).select(key, "role")
 
 
+def places(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows with `place`, from 0 in the order of their group, and `size`, the group's rows.
+
+    Rows are sorted by range partitions and numbered within each; the counts of the partitions' groups give the rest, so a group of any size lies in
+    many tasks. Sorted rows are a table, so numbers and counts are of the same partitions. Nulls come first; equal rows stand side by side.
+    """
+    folder = scratch_folder(rows.sparkSession, "places")
+    sort = [*by, *order]
+    rows.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("__at", F.monotonically_increasing_id()).write.parquet(folder)
+    found = rows.sparkSession.read.parquet(folder).withColumn("__part", F.shiftright("__at", 33))
+    counts = found.groupBy("__part", *by).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))  # a row for each partition that has rows of the group
+    before = F.sum("__n").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
+    starts = counts.select(F.col("__part").alias("__p"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(by)), (F.col("__first") - before).alias("__shift"), F.sum("__n").over(group).alias("size"))
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"__{i}"))
+    return found.join(starts, same).select(*rows.columns, (F.col("__at") - F.col("__shift")).alias("place"), "size")
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """by and a column for each wanted quantile, by linear interpolation; nulls and NaN don't count, a group without values has no row.
+
+    Values are placed (places), and each quantile is made of the one or two that stand where it falls, so no task holds a group's values.
+    """
+    placed = places(rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, value), by, [value])
+    at = {name: (F.col("size") - 1) * F.lit(float(q)) for name, q in wanted.items()}
+    low = lambda name: F.floor(at[name])
+    near = lambda name: (F.col("place") == low(name)) | (F.col("place") == F.ceil(at[name]))
+    hit = reduce(lambda a, b: a | b, map(near, wanted))
+
+    def made(name: str) -> Column:
+        weight = F.when(F.col("place") == low(name), 1 - (at[name] - low(name))).otherwise(at[name] - low(name))
+        return F.sum(F.when(near(name), F.col(value) * weight)).alias(name)
+
+    return placed.where(hit).groupBy(*by).agg(*map(made, wanted))
+
+
 def whiskers(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """A box plot's whiskers, the furthest values within one and a half times the quartiles' distance of the box, and the number of values beyond."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    box = rows.groupBy(*by).agg(q.alias("__q")).select(*by, F.col("__q")[0].alias("__q1"), F.col("__q")[1].alias("__q3"))
+    box = quantiles(rows, by, value, {"__q1": 0.25, "__q3": 0.75})
     reach = 1.5 * (F.col("__q3") - F.col("__q1"))
     low, high, v = F.col("__q1") - reach, F.col("__q3") + reach, F.col(value)
-    return rows.join(box, by).groupBy(*by).agg(
+    return rows.join(F.broadcast(box) if not by else box, by or F.lit(True)).groupBy(*by).agg(
         F.count_if((v < low) | (v > high)).alias("outliers"), F.min(F.when(v >= low, v)).alias("whisker_low"), F.max(F.when(v <= high, v)).alias("whisker_high")
     )
+
+
+def shuffled(n: int, most: int, seed: int) -> list[int]:
+    """The first `most` of random.Random(seed).shuffle(list(range(n))): where each of them comes from follows from the swaps, read backwards. Holds eight bytes a place."""
+    rnd = random.Random(seed)
+    with_ = np.fromiter((rnd.randrange(i + 1) for i in range(n - 1, 0, -1)), np.int64, max(0, n - 1))
+    at = list(range(min(most, n)))
+    for i, j in zip(range(1, n), with_[::-1].tolist(), strict=True):
+        if i < len(at) or j < len(at) or i in at or j in at:
+            at = [j if k == i else i if k == j else k for k in at]
+    return at
+
+
+def audit_as_shuffled(images: DataFrame, hard: DataFrame, key: str, order: list[str], n: int = 10, seed: int = 42) -> DataFrame:
+    """key, role and ord: the hard cases in their order, then others as Python's seeded shuffle deals them from the list in the given order, n in all.
+
+    hard: key, role and ord; it has a few rows, which come to the driver, as do the places of the others that are drawn.
+    """
+    listed = places(images.select(key, *order).distinct(), [], [*order, key])
+    first = listed.join(hard.select(key, "role", F.col("ord").alias("__o")), key).select(key, "role", "__o", "place").orderBy("__o").limit(n).collect()
+    taken, size = sorted(r["place"] for r in first), listed.count()
+    drawn = shuffled(size - len(taken), n - len(first), seed)
+    picks = [(r["place"], r["role"], i) for i, r in enumerate(first)]
+    for i, rank in enumerate(drawn):
+        for place in taken:  # ascending: each hard case before it moves it on
+            rank += place <= rank
+        picks.append((rank, None, len(first) + i))
+    table = images.sparkSession.createDataFrame(picks, "place long, role string, ord int")
+    return listed.join(F.broadcast(table), "place").select(key, "role", "ord")

@@ -534,8 +534,9 @@ def text_summary_by_role(spark, sf_dir):
 
 @_query("SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def quartiles_by_group(spark, sf_dir):
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return _rounded(_t(spark, sf_dir, "events").groupBy("event_type").agg(q.alias("q"), F.avg("value").alias("mean")).select("event_type", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mean"))
+    e = _t(spark, sf_dir, "events").select("event_type", "value")
+    q = select.quantiles(e, ["event_type"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return _rounded(q.join(e.groupBy("event_type").agg(F.avg("value").alias("mean")), "event_type"))
 
 
 @_query("SELECT event_type, round(regr_slope(value, user_id), 6) AS slope, round(regr_intercept(value, user_id), 6) AS intercept FROM events GROUP BY event_type")

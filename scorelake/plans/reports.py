@@ -294,6 +294,15 @@ def audit_with_hard_cases(spark, sf_dir) -> DataFrame:
     return select.audit_cases(images, hard, "image")
 
 
+@_query()
+def audit_as_shuffled(spark, sf_dir) -> DataFrame:
+    """The hard cases, then others as a seeded shuffle of the users deals them. tests/test_places.py has the same from a list."""
+    images = base._matches(spark, sf_dir).groupBy("image").agg(F.count_if("is_gt").alias("g"), F.count_if("is_pred").alias("p"))
+    g, p = F.col("g"), F.col("p")
+    hard = select.hard_cases(images, {"empty_gt_pred": (g == 0) & (p > 0), "empty_pred": (g > 0) & (p == 0), "over_predict": (p > g) & (g > 0)}, ["image"])
+    return select.audit_as_shuffled(images, hard.withColumn("ord", F.col("image")), "image", [])
+
+
 _LISTS = "us AS (SELECT DISTINCT user_id AS image FROM events), ls AS (SELECT 3 AS n, 0 AS model, image, image AS pos FROM us UNION ALL SELECT 3, 1, image, image * 3 + 1 FROM us UNION ALL SELECT 3, 2, image, -image FROM us)"
 
 
