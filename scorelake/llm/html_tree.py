@@ -104,6 +104,8 @@ class Node:
     #: Whether its parent is all links as well, which then says so for both; whether it is in an article or another part of the page with such a heading.
     within: bool = False
     under: bool = False
+    #: Whether the page has a heading.
+    headed: bool = False
     before: int = 0
     whole: int = 0
 
@@ -292,10 +294,12 @@ def parse(page: str) -> list[Node]:
         # A heading names what it is the first text of, but neither an article nor what holds half of the page.
         while at > 0 and title and nodes[at].before == before and nodes[at].tag not in WHOLES and 2 * nodes[at].chars < so_far:
             nodes[at].lead, at = lead, nodes[at].parent
+    for node in nodes:
+        node.headed = nodes[0].heads
     for node in nodes[1:]:
         up = nodes[node.parent]
         node.within = up.chars > 0 and up.linked == up.chars
-        node.under = up.under or up.heads and up.tag != "header" and (up.tag in WHOLES - {"body", "html"} or up.chars < so_far)
+        node.under = up.under or up.tag in ("article", "main") or up.heads and up.tag != "header" and up.chars < so_far
     _same_shapes(nodes)
     return nodes
 
@@ -316,11 +320,11 @@ def _seen(node: Node) -> tuple:
     stops = 0 if not node.stops else 1 if node.stops < 3 else 2
     begins = 0 if not node.before else 1 + min(3, 4 * node.before // max(1, node.whole))
     ends = node.before + node.chars == node.whole
-    return tag, node.hint, links, node.lead, (size, stops), (begins, ends), (node.alike, min(size, 2), begins > 0), (node.heads, node.under, min(size, 3))
+    return tag, node.hint, links, node.lead, (size, stops), (begins, ends), (node.alike, begins > 0), (node.heads, node.under, node.headed)
 
 
 #: How much each thing seen beside the tag counts. Length and place say little by themselves, and a node's say much the same as its parent's.
-WEIGHTS = (1.0, 0.5, 0.4, 0.3, 0.4, 0.3, 0.8)
+WEIGHTS = (1.0, 0.5, 0.4, 0.3, 0.3, 0.3, 0.6)
 _KNOWN_TAGS = frozenset("# html body div p h a li ul ol nav aside footer header form article main section span b i em strong table tr td blockquote pre button label address figure figcaption dl dd dt".split())
 
 

@@ -236,3 +236,10 @@ def test_repeated_pages_and_ties(spark):
     rows = spark.createDataFrame([(1, "u", _page(f"<article><h1>T</h1><p>{FIRST}</p></article>"))] * 3 + [(None, None, "<p>"), (2, "v", "&nbsp;")], "page_id long, url string, html string")
     got = html_tree.main_text(rows.withColumn("text", F.lit("x"))).collect()
     assert Counter((r.page_id, r.text) for r in got) == Counter({(1, f"T\n{FIRST}"): 3, (None, ""): 1, (2, ""): 1})
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "main"])
+@pytest.mark.parametrize("n", [2, 40])
+def test_articles_without_a_heading_stay(tag, n):
+    body = f"<{tag}>" + "".join(f"<p>{i} {FIRST}</p>" for i in range(n)) + f"</{tag}>"
+    assert html_tree.default_model().extract(_page(body)) == "\n".join(f"{i} {FIRST}" for i in range(n))
