@@ -299,7 +299,9 @@ def parse(page: str) -> list[Node]:
     for node in nodes[1:]:
         up = nodes[node.parent]
         node.within = up.chars > 0 and up.linked == up.chars
-        node.under = up.under or up.tag in ("article", "main") or up.heads and up.tag != "header" and up.chars < so_far
+        # Where no heading says which part of the page is meant, it is the one with most of the text.
+        meant = up.heads and up.tag != "header" if node.headed else 2 * up.chars - 2 * up.linked >= so_far and up.tag not in ("html", "body")
+        node.under = up.under or up.tag in ("article", "main") or meant and up.chars < so_far
     _same_shapes(nodes)
     return nodes
 
