@@ -257,7 +257,7 @@ def text_score_means(spark, sf_dir) -> DataFrame:
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.when(F.col("conv_id") % 7 != 0, F.coalesce("text", F.lit(""))).alias("response"))
     rows = u.join(a, ["conv_id", "turn"]).withColumn("key", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     scored = textsim.text_scores(rows, "key", "reference", "response").withColumn("turn", F.col("turn").cast("bigint"))
-    return _rounded(_rounded(textsim.score_means(scored, ["turn"], "response"), 6), 4)
+    return _rounded(textsim.score_means(_rounded(scored), ["turn"], "response"), 4)
 
 
 # Selections.

@@ -1,13 +1,16 @@
 """Draws made in blocks against NumPy's own and against a plain sum over draws; pairs of models; all text scores in one pass."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 from scorelake.operators import draws, resample, textsim
+from scorelake.plans import catalogue
 
 
 @pytest.mark.parametrize(("n", "reps"), [(12, 40), (1, 3), (1000, 37)])
@@ -84,3 +87,16 @@ def test_all_scores_in_one_pass(spark):
         else:
             assert got[i].kl_bits is None and got[i].js_bits is None
     assert got[61].rouge_l_f1 == 1 and got[61].js_bits == 0 and got[60].bleu4 == 0
+
+
+def test_means_of_scores_are_rounded_once(spark):
+    """The SQL rounds each score to six digits and the mean to four; a mean between 0.xxxx4995 and 0.xxxx5 must not go up."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{folder}/conversations.parquet'")
+    want = con.execute(catalogue.ORACLE_SQL["text_score_means"]).fetchdf().sort_values("turn").reset_index(drop=True)
+    got = catalogue.QUERIES["text_score_means"](spark, folder).toPandas().sort_values("turn").reset_index(drop=True)
+    for c in want.columns:
+        np.testing.assert_allclose(got[c], want[c], rtol=0, atol=1e-9)
