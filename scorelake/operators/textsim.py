@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALPHA, EPSILON = 1e-3, 0.1
+#: About so many tokens of pairs are counted at once, so a worker's memory doesn't follow the rows of an Arrow batch. A pair is never cut.
+TOKENS_AT_ONCE = 100_000
 
 
 def tokens(text: Column | str) -> Column:
@@ -71,6 +72,18 @@ def _divergence_columns(grams: Grams, alpha: float) -> dict[str, np.ndarray]:
     return {"kl_bits": bits(p * np.log(p / q)), "js_bits": bits((p * np.log(p / half) + q * np.log(q / half)) / 2)}
 
 
+def _sliced(r: pa.Array, h: pa.Array, make: Callable[[pa.Array, pa.Array], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """What make gives for the pairs of a batch, a slice of about TOKENS_AT_ONCE tokens at a time."""
+    ends = np.cumsum(sum(np.diff(x.offsets.to_numpy()).astype(np.int64) for x in (r, h)))
+    parts, at = [], 0
+    while at < len(r) or not parts:
+        before = int(ends[at - 1]) if at else 0
+        n = max(1, int(np.searchsorted(ends, before + TOKENS_AT_ONCE, side="right")) - at)
+        parts.append(make(r.slice(at, n), h.slice(at, n)))
+        at += n
+    return {c: np.concatenate([x[c] for x in parts]) for c in parts[0]}
+
+
 def _struct(columns: dict[str, np.ndarray]) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(v, from_pandas=True) for v in columns.values()], list(columns))
 
@@ -81,7 +94,7 @@ def overlaps(pairs: DataFrame, keep: list[str], ref: str, hyp: str, sizes: tuple
 
     @F.arrow_udf(", ".join(f"{c}_{n} long" for n in range(1, most + 1) for c in ("hits", "ref", "hyp")))
     def count(r: pa.Array, h: pa.Array) -> pa.Array:
-        return _struct(_overlap_columns(Grams(r, h), most))
+        return _struct(_sliced(r, h, lambda x, y: _overlap_columns(Grams(x, y), most)))
 
     names = [f"__x.{c}_{n}" for n in sizes for c in ("hits", "ref", "hyp")]
     return pairs.select(*keep, count(ref, hyp).alias("__x")).select(*keep, *names)
@@ -106,12 +119,16 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return len(b) - row.bit_count()
 
 
+def _lcs_column(a: pa.Array, b: pa.Array) -> dict[str, np.ndarray]:
+    return {"lcs": np.array([_lcs(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], np.int32)}
+
+
 def lcs(a: str, b: str) -> Column:
     """Length of the longest common subsequence of two token columns, in Arrow batches: a token costs one operation on whole numbers of as many bits as the other side has tokens."""
 
-    @F.pandas_udf("int")
-    def length(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([_lcs(list(x), list(y)) for x, y in zip(left, right, strict=True)], dtype="int32")
+    @F.arrow_udf("int")
+    def length(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array(_sliced(left, right, _lcs_column)["lcs"])
 
     return length(F.col(a), F.col(b))
 
@@ -138,7 +155,7 @@ def divergences(pairs: DataFrame, key: str, ref: str, hyp: str, alpha: float = A
 
     @F.arrow_udf("kl_bits double, js_bits double")
     def bits(r: pa.Array, h: pa.Array) -> pa.Array:
-        return _struct(_divergence_columns(Grams(r, h), alpha))
+        return _struct(_sliced(r, h, lambda x, y: _divergence_columns(Grams(x, y), alpha)))
 
     return pairs.select(key, bits(ref, hyp).alias("__x")).select(key, "__x.*")
 
@@ -152,9 +169,11 @@ def text_scores(rows: DataFrame, key: str, reference: str, response: str, alpha:
 
     @F.arrow_udf("lcs int, kl_bits double, js_bits double, " + ", ".join(f"{c}_{n} long" for n in range(1, 5) for c in ("hits", "ref", "hyp")))
     def score(r: pa.Array, h: pa.Array) -> pa.Array:
-        grams = Grams(r, h)
-        common = np.array([_lcs(x, y) for x, y in zip(r.to_pylist(), h.to_pylist(), strict=True)], np.int32)
-        return _struct({"lcs": common, **_divergence_columns(grams, alpha), **_overlap_columns(grams, 4)})
+        def made(x: pa.Array, y: pa.Array) -> dict[str, np.ndarray]:
+            grams = Grams(x, y)
+            return {**_lcs_column(x, y), **_divergence_columns(grams, alpha), **_overlap_columns(grams, 4)}
+
+        return _struct(_sliced(r, h, made))
 
     made = rows.withColumn("__x", score(tokens(reference), tokens(response)))
     x = lambda name: F.col(f"__x.{name}")

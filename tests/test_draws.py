@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scorelake.operators import draws, resample, textsim
@@ -89,6 +90,29 @@ def test_all_scores_in_one_pass(spark):
     assert got[61].rouge_l_f1 == 1 and got[61].js_bits == 0 and got[60].bleu4 == 0
 
 
+def test_pairs_are_counted_a_slice_at_a_time(monkeypatch):
+    """A worker holds the grams of TOKENS_AT_ONCE tokens at a time, and scores don't depend on the slices."""
+    rnd = random.Random(5)
+    words = lambda n: [rnd.choice("abcdefg") for _ in range(rnd.randint(0, n))]
+    r, h = (pa.array([[], *(words(30) for _ in range(50)), ["a"] * 500, []], pa.list_(pa.string())) for _ in range(2))
+    seen = []
+
+    def make(x, y):
+        grams = textsim.Grams(x, y)
+        seen.append((len(grams.tokens), len(x)))
+        return textsim._divergence_columns(grams, 1e-3) | textsim._overlap_columns(grams, 4)
+
+    for part in ((r, h), (r[3:20], h[3:20]), (r[:0], h[:0])):
+        whole = textsim._sliced(*part, make)
+        monkeypatch.setattr(textsim, "TOKENS_AT_ONCE", 100)
+        seen.clear()
+        sliced = textsim._sliced(*part, make)
+        monkeypatch.undo()
+        assert all(n <= 100 or rows == 1 for n, rows in seen) and sum(rows for _, rows in seen) == len(part[0])
+        for c in whole:
+            np.testing.assert_allclose(sliced[c], whole[c], rtol=1e-12)
+
+
 def test_means_of_scores_are_rounded_once(spark):
     """The SQL rounds each score to six digits and the mean to four; a mean between 0.xxxx4995 and 0.xxxx5 must not go up."""
     folder = "/root/testdata/sf0.01"
