@@ -111,9 +111,19 @@ def object_file(spark: SparkSession, path: str) -> DataFrame:
     return salvaged_array(spark, path).select("path", "pos", "truncated", F.from_json("json", OBJECTS).alias("r")).select("path", "pos", "truncated", "r.*")
 
 
-def labelme_findings(spark: SparkSession, path: str) -> DataFrame:
-    """case_id, slot and conditions in first-seen order, from files of labels like `1-word-15`; white space around the parts doesn't count."""
-    raw = spark.read.schema(SHAPES).option("multiLine", True).json(path).select(stem(F.col("_metadata.file_path")).alias("case_id"), F.posexplode("shapes").alias("pos", "shape"))
+def labelme_files(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """case_id and shapes of LabelMe documents: a file each, named by the file, or, where packed, a line each, named by its imagePath.
+
+    Packed files are split by bytes and are as many as their writer had tasks, so neither the driver nor a task has work for each case.
+    """
+    if not packed:
+        return spark.read.schema(SHAPES).option("multiLine", True).json(path).select(stem(F.col("_metadata.file_path")).alias("case_id"), "shapes")
+    return spark.read.schema(f"imagePath string, {SHAPES}").json(path).select(stem(F.col("imagePath")).alias("case_id"), "shapes")
+
+
+def labelme_findings(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """case_id, slot and conditions in first-seen order, from labels like `1-word-15` of labelme_files; white space around the parts doesn't count."""
+    raw = labelme_files(spark, path, packed).select("case_id", F.posexplode("shapes").alias("pos", "shape"))
     parts = F.split(F.col("shape.label"), "-")
     words = F.create_map(*(F.lit(x) for pair in LABEL_WORDS.items() for x in pair))
     place = F.trim(F.element_at(parts, -1))

@@ -1,7 +1,10 @@
 import json
+import os
 
 import pytest
 
+from scorelake.plans import readers
+from scorelake.session import scratch_folder
 from scorelake.sources import ingest, sinks
 
 
@@ -122,3 +125,32 @@ def test_sinks(spark, tmp_path):
     assert json.loads(text("provenance")) == {"rule": "exact", "runs": [{"model": "m"}, {"model": "n"}]}
     sinks.audit_text(rows, at("audit"), "concat('--- ', model)")
     assert sorted(text("audit").split("\n")) == ["--- m", "--- n"]
+
+
+def test_packed_labelme(spark, tmp_path):
+    """Documents that are a line each give what the same documents give as files."""
+    labels = {"t1": ["1-çürük-15", "1-kanal-15", "bad-15"], "t2": [], "a.b": ["1-gomulu-11"]}
+    (tmp_path / "one").mkdir()
+    (tmp_path / "packed").mkdir()
+    lines = []
+    for name, own in labels.items():
+        shapes = [{"label": x} for x in own]
+        (tmp_path / "one" / f"{name}.json").write_text(json.dumps({"shapes": shapes}))
+        lines.append(json.dumps({"imagePath": f"images/{name}.png", "shapes": shapes}))
+    (tmp_path / "packed" / "part.txt").write_text("\n".join(lines) + "\n")
+    got = []
+    for folder, packed in (("one", False), ("packed", True)):
+        path = str(tmp_path / folder)
+        got.append({r.case_id: r.findings for r in ingest.labelme_cases(ingest.labelme_files(spark, path, packed), ingest.labelme_findings(spark, path, packed)).collect()})
+    assert got[0] == got[1] == {"t1": {15: ["Caries", "Periapical Lesion"]}, "t2": {}, "a.b": {11: ["Impacted"]}}
+
+
+def test_shape_labels_take_no_file_a_case(spark, monkeypatch):
+    """The query writes as many files as its table has tasks, not one for each supplier."""
+    folder, made = "/root/testdata/sf0.001", []
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    monkeypatch.setattr(readers, "scratch_folder", lambda *a: made.append(scratch_folder(*a)) or made[-1])
+    rows = readers.read_shape_labels(spark, folder).count()
+    files = [f for f in os.listdir(made[0].removeprefix("file:")) if f.startswith("part-")]
+    assert rows == spark.read.parquet(f"{folder}/supplier.parquet").count() > len(files)
