@@ -16,9 +16,10 @@ near the ends of what is cut out ask for them.
 
 Digests are first only counted. What occurs more than once goes into a bit map, by which the second pass leaves out nearly all
 others before they are shuffled; ranking then is exact, so a chance hit in the map changes nothing. A map has
-BITS_EACH bits for each digest that it holds, at most 2^MOST_MAP_BITS (128 MB); beyond, it lets more through. Digests of very
-many occurrences meet their first place in several tasks, so that a passage in a third of all documents is no
-single task's work. A third pass gives the words beside the first places that are asked for, found by a map like the first.
+BITS_EACH bits for each digest that it holds, at most 2^MOST_MAP_BITS (128 MB); beyond, it lets more through. Hot digests, fewer than
+MOST_HOT whatever the input, are known from the count: their occurrences stay together as a row a document and meet their first places,
+which are broadcast, so a passage in a third of all documents is neither a single task's work nor a join with a row for each
+occurrence. A third pass gives the words beside the first places that are asked for, found by a map like the first.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import cut, join_hot, map_batches, remove_folder, table, texts_of
+from scorelake.llm.common import cut, hot_limit, join_hot, map_batches, remove_folder, table, texts_of
 
 MIN_WORDS, MIN_LINE_WORDS = 25, 1
 #: A unit of over min_words words is cut before words whose hash this number divides.
@@ -142,54 +143,166 @@ def _marks(doc_id: np.ndarray, version: np.ndarray, start: np.ndarray) -> np.nda
     return (doc_id.astype(np.uint64) * np.uint64(_BASE) + version.view(np.uint64) + start.astype(np.uint64)) * np.uint64(_BASE2)
 
 
-def _occurrences(docs: DataFrame, min_words: int, min_line_words: int, twice=None) -> DataFrame:
-    """A row for each line and stretch, its span the first word and, in the low 32 bits, the number of words; with the bit map, only those whose digest is in it."""
+def _occurrences(docs: DataFrame, min_words: int, min_line_words: int, known=None) -> DataFrame:
+    """A row for each line and stretch, its span the first word and, in the low 32 bits, the number of words.
+
+    With `known`, the bit map and the hot digests, only those whose digest is in the map; hot ones are one row a document: digests, checks and spans in `hot`.
+    """
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [stretches(t, min_words, min_line_words) for t in texts_of(batch)]
         of = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
         digest, check, start, end = (np.concatenate([m[i] for m in made]) if made else np.empty(0, np.int64) for i in range(4))
         digest = digest.astype(np.uint64)
-        if twice is None:
+        if known is None:
             return pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64))], ["digest"])
-        keep = _hits(twice.value, digest)
-        of, digest, check, start, end = of[keep], digest[keep], check[keep].astype(np.uint64), start[keep], end[keep]
-        columns = [pa.array(digest.view(np.int64)), pa.array(check.view(np.int64)), *(pa.array(batch.column(c).to_numpy()[of]) for c in ("doc_id", "version")), pa.array(start << 32 | end - start)]
-        return pa.RecordBatch.from_arrays(columns, ["digest", "check", "doc_id", "version", "span"])
+        twice, hot = known.value
+        keep = _hits(twice, digest)
+        of, digest, check, span = of[keep], digest[keep].view(np.int64), check[keep].astype(np.uint64).view(np.int64), (start << 32 | end - start)[keep]
+        often = np.isin(digest, hot, kind="sort") if len(hot) else np.zeros(len(digest), bool)
+        owners, begin = np.unique(of[often], return_index=True)
+        packed = _binary(np.stack([digest[often], check[often], span[often]], axis=1), begin)
+        ids, versions = (batch.column(c).to_numpy() for c in ("doc_id", "version"))
+        at, none = np.concatenate([of[~often], owners]), np.zeros(len(owners), np.int64)
+        marks = _marks(ids[owners], versions[owners], np.full(len(owners), WHOLE)).view(np.int64)
+        columns = [np.concatenate([digest[~often], marks]), np.concatenate([check[~often], none]), ids[at], versions[at], np.concatenate([span[~often], none])]
+        packed = pa.concat_arrays([pa.nulls(len(at) - len(owners), pa.binary()), packed])
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), packed], ["digest", "check", "doc_id", "version", "span", "hot"])
+
+    return map_batches(docs, make, "digest long" if known is None else "digest long, check long, doc_id long, version long, span long, hot binary")
+
+
+def _binary(rows: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The bytes of the rows from each begin up to the next."""
+    width = rows.itemsize * (rows.shape[1] if rows.ndim > 1 else 1)
+    offsets = (np.append(begin, len(rows)) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
-    return map_batches(docs, make, "digest long" if twice is None else "digest long, check long, doc_id long, version long, span long")
 
+def _hot_rows(hots: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """digest, check and span of each occurrence in `hot` columns, and how many each of them holds."""
+    each = hots.to_pylist()
+    return np.frombuffer(b"".join(each), np.int64).reshape(-1, 3), np.array([len(x) // 24 for x in each], np.int64)
+
+
+def _hot_firsts(later: DataFrame) -> np.ndarray:
+    """digest, check, doc_id, version and span of the first place of each hot digest, in the order of _pair_keys: fewer than MOST_HOT rows, whatever the input."""
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, n = _hot_rows(batch.column("hot"))
+        doc, version = (np.repeat(batch.column(c).to_numpy(), n) for c in ("doc_id", "version"))
+        order = np.lexsort((rows[:, 2], version, doc, rows[:, 1], rows[:, 0]))
+        pairs = rows[order, :2]
+        order = order[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))] if len(order) else order
+        return pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (rows[:, 0], rows[:, 1], doc, version, rows[:, 2])], ["digest", "check", "doc_id", "version", "span"])
+
+    each = map_batches(later.where("hot is not null").select("doc_id", "version", "hot"), make, "digest long, check long, doc_id long, version long, span long")
+    firsts = each.groupBy("digest", "check").agg(F.min(F.struct("doc_id", "version", "span")).alias("first")).select("digest", "check", "first.*").toArrow()
+    rows = np.stack([c.to_numpy() for c in firsts.columns], axis=1)
+    return rows[np.argsort(_pair_keys(rows))]
 
-def _beside(h: np.ndarray, a: int, b: int, most: int) -> tuple[bytes, bytes]:
-    """The hashes, cut to 32 bits, of at most so many words before a and from b on, the nearest first."""
-    return h[max(0, a - most) : a][::-1].astype(np.uint32).tobytes(), h[b : b + most].astype(np.uint32).tobytes()
 
+def _pair_keys(rows: np.ndarray) -> np.ndarray:
+    return rows[:, 0].view() * np.int64(_BASE2 - (1 << 64)) + rows[:, 1]
 
-#: Stands for a whole document among the places of a mark.
-WHOLE = 1 << 40
+
+def _fresh(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where spans, ascending by group and start, neither touch nor overlap what came before them in their group."""
+    size = int(end.max()) + 1 if len(end) else 1
+    reached = np.maximum.accumulate(group * size + end)
+    return np.append(True, group[1:] * size + start[1:] > reached[:-1]) if len(end) else np.empty(0, bool)
+
+
+def _by_document(later: DataFrame, firsts, min_words: int) -> DataFrame:
+    """What is to be cut out of each document, and which words beside first places can add to it.
+
+    Rows at RUNS and at LINES hold first and last word (exclusive) of a document's runs and short lines. Stretches that touch and
+    have their first places in one document, equally far off, are one piece of text there as well: only its ends ask for the words
+    beside it, and only if they can reach over the end of their run. A row that asks has its own end, 2 * word + side, as `at`, and the
+    first place's as `f_at`; side 0 asks for words before it, side 1 for those behind.
+    """
+    columns = ["span", "f_doc", "f_version", "f_span"]
+    grouped = later.groupBy("doc_id", "version").agg(F.collect_list(F.when(F.col("hot").isNull(), F.struct(*columns))).alias("rows"), F.collect_list("hot").alias("hots"))
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, versions = (batch.column(c).to_numpy() for c in ("doc_id", "version"))
+        lists, hots = batch.column("rows"), batch.column("hots")
+        of = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
+        span, f_doc, f_version, f_span = (lists.flatten().field(i).to_numpy() for i in range(len(columns)))
+        if firsts is not None:
+            rows, n = _hot_rows(hots.flatten())
+            owner = np.repeat(np.repeat(np.arange(len(ids)), hots.value_lengths().to_numpy()), n)
+            known, keys = firsts.value, _pair_keys(firsts.value)
+            to = known[np.minimum(np.searchsorted(keys, _pair_keys(rows)), len(keys) - 1)]
+            places = np.stack([ids[owner], versions[owner], rows[:, 2]], axis=1)
+            use = (to[:, :2] == rows[:, :2]).all(axis=1) & (to[:, 2:] != places).any(axis=1)
+            of = np.concatenate([of, owner[use]])
+            span, f_doc, f_version, f_span = (np.concatenate(x) for x in ((span, rows[use, 2]), (f_doc, to[use, 2]), (f_version, to[use, 3]), (f_span, to[use, 4])))
+        start, f_start = span >> 32, f_span >> 32
+        end = start + (span & 0xFFFFFFFF)
+        out = []
+
+        def spans(of: np.ndarray, low: np.ndarray, high: np.ndarray, at: int) -> None:
+            owners, begin = np.unique(of, return_index=True)
+            none = pa.nulls(len(owners), pa.int64())
+            out.append([pa.array(ids[owners]), pa.array(versions[owners]), pa.array(np.full(len(owners), at)), _binary(np.stack([low, high], axis=1).astype(np.int32), begin), none, none, none])
+
+        short = np.flatnonzero(end - start < min_words)
+        short = short[np.lexsort((start[short], of[short]))]
+        spans(of[short], start[short], end[short], LINES)
+        long = np.flatnonzero(end - start >= min_words)
+        long = long[np.lexsort((start[long], of[long]))]
+        fresh = np.flatnonzero(_fresh(of[long], start[long], end[long]))
+        low, high = start[long][fresh], np.maximum.reduceat(end[long], fresh) if len(fresh) else fresh
+        spans(of[long][fresh], low, high, RUNS)
+        run = np.empty(len(start), np.int64)
+        run[long] = np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(long))))
+        far = f_start - start
+        long = long[np.lexsort((start[long], far[long], f_version[long], f_doc[long], of[long]))]
+        same = np.stack([of[long], f_doc[long], f_version[long], far[long]], axis=1)
+        group = np.cumsum(np.append(True, (same[1:] != same[:-1]).any(axis=1))) if len(long) else long
+        fresh = np.flatnonzero(_fresh(group, start[long], end[long]))
+        first = long[fresh]
+        left, right = start[first], np.maximum.reduceat(end[long], fresh) if len(fresh) else fresh
+        for side, own, asks in ((0, left, left - min_words < low[run[first]]), (1, right, right + min_words > high[run[first]])):
+            who, own = first[asks], own[asks]
+            row = ids[of[who]], versions[of[who]], 2 * own + side, None, f_doc[who], f_version[who], 2 * (own + far[who]) + side
+            out.append([pa.array(x) if x is not None else pa.nulls(len(who), pa.binary()) for x in row])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out, strict=True)], ["doc_id", "version", "at", "words", "f_doc", "f_version", "f_at"])
+
+    return map_batches(grouped, make, "doc_id long, version long, at long, words binary, f_doc long, f_version long, f_at long")
+
+
+#: Stands for a whole document among the places of a mark; the rows of a document's runs and short lines.
+WHOLE, RUNS, LINES = 1 << 40, -1, -2
+
+
+def _beside(h: np.ndarray, at: int, most: int) -> bytes:
+    """The hashes, cut to 32 bits, of at most so many words before a place (2 * word) or from there on (2 * word + 1), the nearest first."""
+    word = at >> 1
+    return (h[word : word + most] if at & 1 else h[max(0, word - most) : word][::-1]).astype(np.uint32).tobytes()
 
 
 def _surroundings(docs: DataFrame, min_words: int, wanted) -> DataFrame:
-    """The words beside each stretch whose mark is in the bit map `wanted`; only documents whose own mark is in it are looked at."""
+    """The words beside each place whose two marks are in the bit map `wanted`; only documents whose own mark is in it are looked at."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, versions = (batch.column(c).to_numpy() for c in ("doc_id", "version"))
-        columns: list[list] = [[] for _ in range(6)]
+        columns: list[list] = [[] for _ in range(4)]
         asked = _hits(wanted.value, _marks(ids, versions, np.full(len(ids), WHOLE)))
         texts = batch.column("text")
         for i in np.flatnonzero(asked).tolist():
-            digest, _, start, end, h = stretches(texts[i].as_py() or "", min_words, min_words)
-            if not len(digest):
-                continue
-            at = np.flatnonzero(_hits(wanted.value, _marks(ids[i : i + 1], versions[i : i + 1], start)))
-            for k in at:
-                row = ids[i], versions[i], start[k], end[k], *_beside(h, start[k], end[k], min_words)
-                for column, value in zip(columns, row, strict=True):
+            h = _hashed((texts[i].as_py() or "").encode("utf-8", "surrogatepass").lower().split())
+            at = np.arange(2 * len(h) + 2)
+            at = at[_hits(wanted.value, _marks(ids[i : i + 1], versions[i : i + 1], at))]
+            at = at[_hits(wanted.value, _marks(ids[i : i + 1], versions[i : i + 1], at + 2 * WHOLE))]
+            for k in at.tolist():
+                for column, value in zip(columns, (ids[i], versions[i], k, _beside(h, k, min_words)), strict=True):
                     column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["f_doc", "f_version", "f_start", "f_end", "before", "behind"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["f_doc", "f_version", "f_at", "words"])
 
-    return map_batches(docs, make, "f_doc long, f_version long, f_start int, f_end int, before binary, behind binary")
+    return map_batches(docs, make, "f_doc long, f_version long, f_at long, words binary")
 
 
 def _bit_map(digests: DataFrame, n: int) -> np.ndarray:
@@ -209,42 +322,24 @@ def _bit_map(digests: DataFrame, n: int) -> np.ndarray:
     return out.ravel()
 
 
-def _ends(later: DataFrame, around: int) -> DataFrame:
-    """Of the stretches to cut out, those within `around` words of an end of their run: low and high are the run's ends, left and right say which."""
-    doc = Window.partitionBy("doc_id", "version").orderBy("start", "end")
-    reached = F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))
-    runs = later.withColumn("fresh", (F.coalesce(reached, F.lit(-1)) < F.col("start")).cast("int"))
-    runs = runs.withColumn("run", F.sum("fresh").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy("doc_id", "version", "run")
-    runs = runs.withColumn("low", F.min("start").over(run)).withColumn("high", F.max("end").over(run))
-    runs = runs.withColumn("left", F.col("start") - around < F.col("low")).withColumn("right", F.col("end") + around > F.col("high"))
-    return runs.where("left or right").drop("fresh", "run")
-
-
-def _marked(ends: DataFrame) -> DataFrame:
-    """The marks of the first places and of their documents, as digests for a bit map."""
+def _marked(asked: DataFrame) -> DataFrame:
+    """Two marks of each first place and one of its document, as digests for a bit map."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, version, start = (batch.column(c).to_numpy() for c in ("f_doc", "f_version", "f_start"))
-        mark = np.concatenate([_marks(doc, version, start), _marks(doc, version, np.full(len(doc), WHOLE))])
+        doc, version, at = (batch.column(c).to_numpy() for c in ("f_doc", "f_version", "f_at"))
+        mark = np.concatenate([_marks(doc, version, x) for x in (at, at + 2 * WHOLE, np.full(len(doc), WHOLE))])
         return pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64))], ["digest"])
 
-    return map_batches(ends.select("f_doc", "f_version", "f_start"), make, "digest long")
+    return map_batches(asked.select("f_doc", "f_version", "f_at"), make, "digest long")
 
 
-def _extended(h: np.ndarray, spans: list[dict]) -> list[tuple[int, int]]:
-    """Runs of words, each stretch as far as the words beside it equal those beside its first place."""
-    out = []
-    for s in spans:
-        a, b = s["start"], s["end"]
-        n = []
-        for own, first in zip(_beside(h, a, b, b - a), (s["before"], s["behind"]), strict=True):
-            x, y = np.frombuffer(own, np.uint32), np.frombuffer(first or b"", np.uint32)
-            size = min(len(x), len(y))
-            other = np.flatnonzero(x[:size] != y[:size])
-            n.append(int(other[0]) if len(other) else size)
-        out += [(s["low"], s["high"]), (a - n[0], b + n[1])]
-    return out
+def _extended(h: np.ndarray, at: int, beside: bytes, most: int) -> tuple[int, int]:
+    """First and last word (exclusive) of what goes on from a place like the words beside its first place."""
+    x, y = np.frombuffer(_beside(h, at, most), np.uint32), np.frombuffer(beside, np.uint32)
+    size = min(len(x), len(y))
+    other = np.flatnonzero(x[:size] != y[:size])
+    n, word = int(other[0]) if len(other) else size, at >> 1
+    return (word, word + n) if at & 1 else (word - n, word)
 
 
 def _union(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -260,6 +355,8 @@ def _union(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _offsets(data: bytes, union: list[tuple[int, int]]) -> list[dict]:
     """Byte spans as character offsets."""
+    if not union:
+        return []
     chars = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
     return [{"start": int(chars[a]), "end": int(chars[b])} for a, b in union]
 
@@ -303,29 +400,29 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_line_words:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("version"))
     keyed = keyed.where("doc_id is not null and text is not null")
     spark = docs.sparkSession
-    counted = cut(_occurrences(keyed, min_words, min_line_words).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
-    twice = spark.sparkContext.broadcast(_bit_map(counted, counted.count()))
-    # The occurrences are many and of no use once the later ones are known, so they are a table that can be deleted.
-    found, folder = table(_occurrences(keyed, min_words, min_line_words, twice), "occurrences")
+    counted = cut(_occurrences(keyed, min_words, min_line_words).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"))
+    n_digests, total = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    hot = np.sort(counted.where(F.col("n") > hot_limit(total)).select("digest").toArrow()["digest"].to_numpy())
+    known = spark.sparkContext.broadcast((_bit_map(counted, n_digests), hot))
+    # Only digests that aren't hot are ranked here, so no window holds more than hot_limit rows; hot ones come as a row a document.
     place = F.struct("doc_id", "version", "span")
-    first, firsts = table(found.groupBy("digest", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
-    later = join_hot(found, first, ["digest", "check"], found.count(), "version").where(place != F.col("first"))
-    word = lambda span: F.shiftright(span, 32).cast("int")
-    end = lambda span: word(span) + F.col(span).bitwiseAND(0xFFFFFFFF).cast("int")
-    later, _ = table(later.select("doc_id", "version", word("span").alias("start"), end("span").alias("end"), F.col("first.doc_id").alias("f_doc"), F.col("first.version").alias("f_version"), word("first.span").alias("f_start"), end("first.span").alias("f_end")), "later")
+    first = F.first(place).over(Window.partitionBy("digest", "check").orderBy("doc_id", "version", "span"))
+    later = _occurrences(keyed, min_words, min_line_words, known).withColumn("first", first).where((place != F.col("first")) | F.col("hot").isNotNull())
+    later, folder = table(later.select("doc_id", "version", "span", F.col("first.doc_id").alias("f_doc"), F.col("first.version").alias("f_version"), F.col("first.span").alias("f_span"), "hot"), "later")
+    firsts = spark.sparkContext.broadcast(_hot_firsts(later)) if len(hot) else None
+    found, _ = table(_by_document(later, firsts, min_words), "found")
     remove_folder(spark, folder)
-    remove_folder(spark, firsts)
-    short = F.col("end") - F.col("start") < min_words
-    ends, _ = table(_ends(later.where(~short), min_words), "ends")
-    n_ends, at = ends.count(), ["f_doc", "f_version", "f_start", "f_end"]
-    wanted = spark.sparkContext.broadcast(_bit_map(_marked(ends), 2 * n_ends))
-    asked = ends.groupBy(*at).agg(F.count("*").alias("n"))
+    asks, at = found.where("f_doc is not null").drop("words"), ["f_doc", "f_version", "f_at"]
+    asked = cut(asks.groupBy(*at).agg(F.count("*").alias("n")), large=False)
+    n_asked, n_asks = asked.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    wanted = spark.sparkContext.broadcast(_bit_map(_marked(asked), 3 * n_asked))
     beside = asked.join(_surroundings(keyed, min_words, wanted).dropDuplicates(at), at)
-    near = join_hot(ends, beside, at, n_ends, "version", "left", asked).select("doc_id", "version", "low", "high", "start", "end", F.when(F.col("left"), F.col("before")).alias("before"), F.when(F.col("right"), F.col("behind")).alias("behind"))
-    lines = later.where(short).select("doc_id", "version", F.col("start").alias("low"), F.col("end").alias("high"), "start", "end", F.lit(None).cast("binary").alias("before"), F.lit(None).cast("binary").alias("behind"))
+    near = join_hot(asks, beside, at, n_asks, "version", "inner", asked)
+    columns = "doc_id", "version", "at", "words"
+    spans = found.where("f_doc is null").select(*columns).unionByName(near.select(*columns))
     names = docs.columns
     own, spans_name = _free("__version", names), _free("__spans", names)
-    spans = near.unionByName(lines).groupBy("doc_id", "version").agg(F.collect_set(F.struct("low", "high", "start", "end", "before", "behind")).alias(spans_name))
+    spans = spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "words")).alias(spans_name))
 
     left = docs.withColumn(own, F.xxhash64(F.col("text").cast("string"))).alias("d")
     joined = left.join(spans.alias("s"), (F.col("d.doc_id") == F.col("s.doc_id")) & (F.col(f"d.`{own}`") == F.col("s.version")), "left")
@@ -336,15 +433,21 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, min_line_words:
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, removed, removed_lines = batch.column(at).to_pylist(), [], []
-        for i, spans in enumerate(batch.column(len(names)).to_pylist()):
+        lists = batch.column(len(names))
+        spots, words = (lists.flatten().field(i).to_pylist() for i in range(2))
+        bounds = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())).tolist()
+        for i, text in enumerate(texts):
             passages, lines, data = [], [], b""
-            if spans and texts[i] is not None:
-                data = texts[i].encode("utf-8", "surrogatepass")
+            spans = dict.fromkeys(zip(spots[bounds[i] : bounds[i + 1]], words[bounds[i] : bounds[i + 1]], strict=True))
+            if spans and text is not None:
+                data = text.encode("utf-8", "surrogatepass")
                 first, last = _edges(np.frombuffer(data, np.uint8))
-                long = [s for s in spans if s["end"] - s["start"] >= min_words]
-                if long:
-                    passages = _union(data, [(int(first[a]), int(last[b - 1])) for a, b in set(_extended(_hashed(data.lower().split()), long))])
-                lines = [(int(first[s["start"]]), int(last[s["end"] - 1])) for s in spans if s["end"] - s["start"] < min_words]
+                pairs = {kind: [tuple(p) for where, x in spans if where == kind for p in np.frombuffer(x, np.int32).reshape(-1, 2).tolist()] for kind in (RUNS, LINES)}
+                asks = [s for s in spans if s[0] >= 0]
+                h = _hashed(data.lower().split()) if asks else None
+                runs = {*pairs[RUNS], *(_extended(h, where, x, min_words) for where, x in asks)}
+                passages = _union(data, [(int(first[a]), int(last[b - 1])) for a, b in runs if a < b])
+                lines = [(int(first[a]), int(last[b - 1])) for a, b in pairs[LINES]]
                 lines = _union(data, [(a, b) for a, b in lines if not any(c <= a and b <= d for c, d in passages)])
                 texts[i] = _without(data, _union(data, passages + lines))
             removed.append(_offsets(data, passages))
