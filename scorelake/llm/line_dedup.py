@@ -24,6 +24,8 @@ occurrence. A third pass gives the words beside the first places that are asked
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,13 +34,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import cut, hot_limit, join_hot, map_batches, remove_folder, table, texts_of
+from scorelake.llm.common import cut, hot_limit, join_hot, map_batches, remove_folder, table
 
 MIN_WORDS, MIN_LINE_WORDS = 25, 1
 #: A unit of over min_words words is cut before words whose hash this number divides.
 LONG_UNIT_STEP = 8
 #: Bits of a map: BITS_EACH for each digest, rounded up to a power of two. They are made in parts of 2^PART_BITS.
 BITS_EACH, MOST_MAP_BITS, PART_BITS = 16, 30, 18
+#: Texts are taken so many bytes at a time; a longer one is taken by itself.
+CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _BASE2 = 0xC2B2AE3D27D4EB4F
 _SPACE = np.zeros(256, bool)
@@ -72,9 +76,9 @@ def _digests(words: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.n
 
 
 def _picked(digest: np.ndarray, n: int) -> np.ndarray:
-    """Places of digests that are the lowest of any n neighbours; equal ones all count."""
+    """Which digests are the lowest of any n neighbours; equal ones all count. A 0 ends a text: no neighbours go over it."""
     if len(digest) < n:
-        return np.empty(0, np.int64)
+        return np.zeros(len(digest), bool)
 
     def slide(row: np.ndarray, of) -> np.ndarray:
         size = 1
@@ -84,7 +88,7 @@ def _picked(digest: np.ndarray, n: int) -> np.ndarray:
         return of(row[: len(row) - n + size], row[n - size :]) if size < n else row
 
     pad = np.zeros(n - 1, np.uint64)
-    return np.flatnonzero(slide(np.concatenate([pad, slide(digest, np.minimum), pad]), np.maximum) == digest)
+    return slide(np.concatenate([pad, slide(digest, np.minimum), pad]), np.maximum) == digest
 
 
 def _hashed(words: list[bytes]) -> np.ndarray:
@@ -97,41 +101,69 @@ def _edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def stretches(text: str, min_words: int, min_line_words: int = MIN_LINE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """digest, check, first and last word (exclusive) of each line, stretch of units and picked window; and the words' hashes."""
-    none = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    data = text.encode("utf-8", "surrogatepass")
-    words = data.lower().split()
-    if len(words) < min(min_words, max(1, min_line_words)):
-        return none
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts in a row, as bytes, a few hundred thousand bytes at a time, and the place of the first."""
+    chunk, size, at = [], 0, 0
+    for i, text in enumerate(texts):
+        data = (text or "").encode("utf-8", "surrogatepass")
+        if chunk and size + len(data) > CHUNK:
+            yield at, chunk
+            chunk, size, at = [], 0, i
+        chunk.append(data)
+        size += len(data)
+    if chunk:
+        yield at, chunk
+
+
+def _word_counts(first: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """How many words of the texts, joined by a byte each, come before each text, and all of them."""
+    return np.searchsorted(first, np.append(0, np.cumsum([len(t) + 1 for t in texts])))
+
+
+def stretches(texts: list[bytes], min_words: int, min_line_words: int = MIN_LINE_WORDS, checks: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
+    """Of many texts at once, in their order: number of the text, digest, check, first and last word (exclusive) of each line, stretch of units and picked window."""
+    data = b"\n".join(texts)
     raw = np.frombuffer(data, np.uint8)
+    words = data.lower().split()
+    if not words:
+        none = np.empty(0, np.int64)
+        return none, none.view(np.uint64), none.view(np.uint64), none, none
     first, last = _edges(raw)
+    # Words count on over the texts; a text has those from edge[t] up to edge[t + 1].
+    edge = _word_counts(first, texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(edge))
     # A word begins a unit after a line's or a sentence's end, or if it begins with A-Z or a capital of U+00C0 to U+00DE.
-    lines = np.concatenate([[0], np.cumsum(raw == 10)])
+    lines = np.append(0, np.cumsum(raw == 10, dtype=np.int32))
     lead, second = raw[first], raw[np.minimum(first + 1, len(raw) - 1)]
     begins = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     fresh = np.append(True, lines[first[1:]] > lines[last[:-1]])
     begins[1:] |= _STOP[raw[last[:-1] - 1]]
     begins |= fresh
     h = _hashed(words)
-    line, line_end = np.flatnonzero(fresh), np.append(np.flatnonzero(fresh)[1:], len(words))
+    line = np.flatnonzero(fresh)
+    line_end = np.append(line[1:], len(words))
     long_enough = line_end - line >= max(1, min_line_words)
     unit = np.cumsum(begins) - 1
     long = np.bincount(unit) > min_words
     begins |= long[unit] & (h % np.uint64(LONG_UNIT_STEP) == 0)
     bounds = np.append(np.flatnonzero(begins), len(words))
-    to = np.searchsorted(bounds, bounds[:-1] + min_words)
-    fits = to < len(bounds)
-    back = np.searchsorted(bounds, bounds[1:] - min_words, side="right") - 1
-    enough = back >= 0
+    whose = owner[bounds[:-1]]
+    # A text's end is a bound as well.
+    to = bounds[np.minimum(np.searchsorted(bounds, bounds[:-1] + min_words), len(bounds) - 1)]
+    fits = bounds[:-1] + min_words <= edge[whose + 1]
+    back = bounds[np.maximum(np.searchsorted(bounds, bounds[1:] - min_words, side="right") - 1, 0)]
+    enough = bounds[1:] - min_words >= edge[whose]
     n = len(words) + 1
-    every = np.arange(max(0, len(words) - min_words + 1))
-    window = every[_picked(_digests(h, every, every + min_words, _BASE), min_words + 1)]
-    pairs = np.unique(np.concatenate([line[long_enough] * n + line_end[long_enough], bounds[:-1][fits] * n + bounds[to[fits]], bounds[back[enough]] * n + bounds[1:][enough], window * n + window + min_words]))
-    if not len(pairs):
-        return none
+    every = np.arange(len(words))
+    every = every[every + min_words <= edge[owner + 1]]
+    row, slot = np.zeros(len(words) + len(texts), np.uint64), every + owner[every]
+    row[slot] = _digests(h, every, every + min_words, _BASE)
+    window = every[_picked(row, min_words + 1)[slot]]
+    pairs = np.sort(np.concatenate([line[long_enough] * n + line_end[long_enough], bounds[:-1][fits] * n + to[fits], back[enough] * n + bounds[1:][enough], window * n + window + min_words]))
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
     a, b = pairs // n, pairs % n
-    return _digests(h, a, b, _BASE), _digests(h, a, b, _BASE2), a, b, h
+    of = owner[a] if len(a) else a
+    return of, _digests(h, a, b, _BASE), _digests(h, a, b, _BASE2) if checks else None, a - edge[of], b - edge[of]
 
 
 def _hits(bits: np.ndarray, digest: np.ndarray) -> np.ndarray:
@@ -149,16 +181,17 @@ def _occurrences(docs: DataFrame, min_words: int, min_line_words: int, known=Non
     With `known`, the bit map and the hot digests, only those whose digest is in the map; hot ones are one row a document: digests, checks and spans in `hot`.
     """
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [stretches(t, min_words, min_line_words) for t in texts_of(batch)]
-        of = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
-        digest, check, start, end = (np.concatenate([m[i] for m in made]) if made else np.empty(0, np.int64) for i in range(4))
-        digest = digest.astype(np.uint64)
+    def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at, texts in _chunks(batch.column("text").to_pylist()):
+            yield some(batch.slice(at, len(texts)), texts)
+
+    def some(batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        of, digest, check, start, end = stretches(texts, min_words, min_line_words, known is not None)
         if known is None:
             return pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64))], ["digest"])
         twice, hot = known.value
         keep = _hits(twice, digest)
-        of, digest, check, span = of[keep], digest[keep].view(np.int64), check[keep].astype(np.uint64).view(np.int64), (start << 32 | end - start)[keep]
+        of, digest, check, span = of[keep], digest[keep].view(np.int64), check[keep].view(np.int64), (start << 32 | end - start)[keep]
         often = np.isin(digest, hot, kind="sort") if len(hot) else np.zeros(len(digest), bool)
         owners, begin = np.unique(of[often], return_index=True)
         packed = _binary(np.stack([digest[often], check[often], span[often]], axis=1), begin)
@@ -289,16 +322,23 @@ def _surroundings(docs: DataFrame, min_words: int, wanted) -> DataFrame:
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, versions = (batch.column(c).to_numpy() for c in ("doc_id", "version"))
         columns: list[list] = [[] for _ in range(4)]
-        asked = _hits(wanted.value, _marks(ids, versions, np.full(len(ids), WHOLE)))
-        texts = batch.column("text")
-        for i in np.flatnonzero(asked).tolist():
-            h = _hashed((texts[i].as_py() or "").encode("utf-8", "surrogatepass").lower().split())
-            at = np.arange(2 * len(h) + 2)
-            at = at[_hits(wanted.value, _marks(ids[i : i + 1], versions[i : i + 1], at))]
-            at = at[_hits(wanted.value, _marks(ids[i : i + 1], versions[i : i + 1], at + 2 * WHOLE))]
-            for k in at.tolist():
-                for column, value in zip(columns, (ids[i], versions[i], k, _beside(h, k, min_words)), strict=True):
-                    column.append(value)
+        asked = np.flatnonzero(_hits(wanted.value, _marks(ids, versions, np.full(len(ids), WHOLE))))
+        for begin, texts in _chunks(batch.column("text").take(pa.array(asked)).to_pylist()):
+            data = b"\n".join(texts)
+            h = _hashed(data.lower().split())
+            edge = _word_counts(_edges(np.frombuffer(data, np.uint8))[0], texts)
+            # Each text has two places more than twice its words.
+            n = 2 * np.diff(edge) + 2
+            of = np.repeat(np.arange(len(texts)), n)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            for shift in (0, 2 * WHOLE):
+                who = asked[begin + of]
+                hit = _hits(wanted.value, _marks(ids[who], versions[who], at + shift))
+                of, at = of[hit], at[hit]
+            who = asked[begin + of]
+            for column, value in zip(columns, (ids[who], versions[who], at), strict=False):
+                column += value.tolist()
+            columns[3] += [_beside(h[edge[t] : edge[t + 1]], k, min_words) for t, k in zip(of.tolist(), at.tolist(), strict=True)]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["f_doc", "f_version", "f_at", "words"])
 

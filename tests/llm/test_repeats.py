@@ -54,3 +54,23 @@ def test_runs_of_several_first_places(spark, monkeypatch, hot):
             if len(key) >= 26 and key in seen and text.count(line) == 1:
                 assert any(s.start <= at and at + len(line) <= s.end for s in cut_out)
             seen.add(key)
+
+
+@pytest.mark.parametrize(("min_words", "min_line_words"), [(25, 1), (25, 25), (1, 1), (3, 50)])
+def test_texts_many_at_a_time(min_words, min_line_words):
+    """What a text gives doesn't depend on the texts beside it; short, empty and odd ones included; lines are words in a row."""
+    r = random.Random(7)
+    texts = [" ".join(r.choice(["a", "B", "c.", "Éa", "\n", "d\n", "É", "!"]) for _ in range(r.randrange(120))) for _ in range(60)] + ["", " \n", "x", "\n\n", words(300), "É"]
+    r.shuffle(texts)
+    data = [t.encode() for t in texts]
+    of, *together = line_dedup.stretches(data, min_words, min_line_words)
+    for i, text in enumerate(data):
+        alone = line_dedup.stretches([text], min_words, min_line_words)
+        assert all((x[of == i] == y).all() for x, y in zip(together, alone[1:], strict=True)) and (alone[0] == 0).all()
+        spans, n = set(zip(alone[3].tolist(), alone[4].tolist(), strict=True)), 0
+        for line in text.split(b"\n"):
+            size = len(line.split())
+            assert size < max(1, min_line_words) or (n, n + size) in spans
+            n += size
+        assert all(0 <= a < b <= n for a, b in spans)
+    assert [(at, len(c)) for at, c in line_dedup._chunks(["x" * line_dedup.CHUNK, None, "y", "z" * line_dedup.CHUNK])] == [(0, 2), (2, 1), (3, 1)]
