@@ -36,6 +36,8 @@ MOST_PIECES = MOST_WORDS = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _CHARS_AT_ONCE, WORDS_AT_ONCE = 2_000_000, 20_000
+#: Words times languages that are scored at once; a word has a row of numbers for each of its letters meanwhile.
+NUMBERS_AT_ONCE = 40_000
 
 
 def words_of(piece: str) -> list[str]:
@@ -173,7 +175,8 @@ class Scorer:
         if new:
             start = len(self.words)
             self.words.update((w, start + i) for i, w in enumerate(new))
-            self.bits = np.vstack([self.bits[:start], self.model.word_bits(new)])
+            step = max(1, NUMBERS_AT_ONCE // self.width)
+            self.bits = np.vstack([self.bits[:start], *(self.model.word_bits(new[i : i + step]) for i in range(0, len(new), step))])
         start = len(self.pieces)
         while start + len(pieces) > len(self.table):
             self.table = np.vstack([self.table, np.zeros_like(self.table)])
